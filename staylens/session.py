@@ -29,6 +29,7 @@ def build_session(app_name: str = "staylens", master: str | None = None, shuffle
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
