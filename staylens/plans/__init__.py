@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["cleaning_queries", "booking_queries", "prediction_queries", "model_queries", "stream_queries"]
+_MODULES = ["cleaning_queries", "booking_queries", "prediction_queries", "model_queries", "stream_queries", "training_queries"]
 
 
 def _load():

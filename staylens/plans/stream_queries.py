@@ -158,8 +158,8 @@ def stream_enrich_bookings(spark, sf):
     """Events resolve to full bookings; bookings of one country are unknown here and fall out."""
     out = fresh_dir(spark, "resolved")
     known = fresh_dir(spark, "bookings")
-    files.write_bookings_table(_active(spark, sf).where(F.col("country_code") != "PRT"), known)
-    bookings = files.read_bookings_table(spark, known).select(*S.CONTRACT_COLUMNS)
+    files.write_lookup_table(_active(spark, sf).where(F.col("country_code") != "PRT"), known)
+    bookings = files.read_lookup_table(spark, known)
     columns = ["booking_id", "generated_at", "customer_type_name", "deposit_type", "adr"]
 
     def write(batch, batch_id):
@@ -271,10 +271,10 @@ def _realtime_job(spark, sf):
     """Run every output of the job over the scored events, in several micro-batches."""
     log, out = fresh_dir(spark, "delivered"), fresh_dir(spark, "realtime")
     known = fresh_dir(spark, "bookings")
-    files.write_bookings_table(D.bookings(spark, sf), known)
+    files.write_lookup_table(D.bookings(spark, sf), known)
     rows = D.predictions(spark, sf).where(F.col("source") == S.STREAM_SOURCE)
     rows.repartitionByRange(4, "predicted_at").write.parquet(log)
-    stored = files.read_bookings_table(spark, known).select("booking_id", "hotel_name", "country_name", "market_segment")
+    stored = files.read_lookup_table(spark, known).select("booking_id", "hotel_name", "country_name", "market_segment")
     score = lambda batch: batch.withColumn("risk_level_name", risk.risk_name(F.col("risk_level")))
     stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA, max_files=2)
     K.run_available(stream, J.realtime_outputs(out, stored, score))

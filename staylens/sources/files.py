@@ -82,6 +82,15 @@ def read_bookings_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def write_lookup_table(cleaned: DataFrame, path: str) -> None:
+    """Parquet ranged and sorted by id, so that an id range reads only the row groups it touches."""
+    cleaned.select(*S.CONTRACT_COLUMNS).repartitionByRange("booking_id").sortWithinPartitions("booking_id").write.parquet(path)
+
+
+def read_lookup_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.CONTRACT_SCHEMA).parquet(path)
+
+
 def read_jdbc_table(
     spark: SparkSession, url: str, table: str, lower: int, upper: int, partitions: int, key: str = "booking_id", **options
 ) -> DataFrame:
