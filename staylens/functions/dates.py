@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from staylens.functions.numbers import int_or_null
+
 # English month names in calendar order.
 MONTHS = (
     "January February March April May June July August September October November December"
@@ -20,14 +22,15 @@ def month_number(name: Column) -> Column:
 
 def assemble_date(year: Column, month_name: Column, day: Column, strict: bool = False) -> Column:
     """Date from its three text parts. An impossible date is null, or an error when strict."""
-    month = month_number(month_name)
+    y, m, d = int_or_null(year), month_number(month_name), int_or_null(day)
     if strict:
-        return F.make_date(year.cast("int"), month, day.cast("int"))
-    return F.try_to_date(F.concat_ws("-", year, F.coalesce(month.cast("string"), F.lit("x")), day), "yyyy-M-d")
+        return F.make_date(y, m, d)
+    month_start = F.when(y.between(1, 9999), F.make_date(y, m, F.lit(1)))
+    return F.when(d.between(1, F.day(F.last_day(month_start))), F.date_add(month_start, d - 1))
 
 
 def iso_date(text: Column, strict: bool = False) -> Column:
-    return F.to_date(text, "yyyy-MM-dd") if strict else F.try_to_date(text, "yyyy-MM-dd")
+    return text.cast("date") if strict else text.try_cast("date")
 
 
 def month_bounds(month: str) -> tuple[dt.date, dt.date]:

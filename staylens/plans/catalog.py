@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from staylens.functions.wire import normalize_record
 from staylens.plans.oracle_tables import TABLES
+from staylens.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +22,7 @@ def query(name: str, oracle: str | None = None):
     def register(build: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: normalize_record(build(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: normalize_record(build(configure(spark), sf_dir))
         if oracle is not None:
             ORACLES[name] = TABLES + oracle.strip()
         return build

