@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from staylens.functions.labels import literal_list
 from staylens.functions.numbers import int_or_null
 
 # English month names in calendar order.
@@ -16,7 +17,7 @@ MONTHS = (
 
 def month_number(name: Column) -> Column:
     """1 to 12, or null for a name that is not an English month."""
-    position = F.array_position(F.array(*(F.lit(month) for month in MONTHS)), name)
+    position = F.array_position(F.expr(f"array({literal_list(MONTHS)})"), name)
     return F.when(position > 0, position.cast("int"))
 
 

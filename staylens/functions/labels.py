@@ -1,4 +1,8 @@
-"""Code to label lookups."""
+"""Code to label lookups.
+
+Literal lists are built as one SQL expression: a column object per entry would cost a call
+into the JVM each, which adds up over some hundred entries.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,18 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def literal_list(values) -> str:
+    return ", ".join(sql_literal(value) for value in values)
+
+
 def literal_map(entries: dict) -> Column:
-    return F.create_map(*(F.lit(item) for item in chain.from_iterable(entries.items())))
+    return F.expr(f"map({literal_list(chain.from_iterable(entries.items()))})")
 
 
 def label_or_code(code: Column, entries: dict[str, str]) -> Column:
@@ -21,6 +35,6 @@ def label_or_null(flag: Column, entries: dict[int, str]) -> Column:
     return F.try_element_at(literal_map(entries), flag)
 
 
-def null_tokens(text: Column, tokens: list[str]) -> Column:
-    """Missing-value tokens become null."""
-    return F.when(~text.isin(tokens), text)
+def null_tokens(name: str, tokens: list[str]) -> Column:
+    """The text column, with missing-value tokens as null."""
+    return F.expr(f"CASE WHEN `{name}` NOT IN ({literal_list(tokens)}) THEN `{name}` END").alias(name)

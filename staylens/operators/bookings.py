@@ -98,21 +98,26 @@ def _page_bounds(page, size, default_size: int) -> tuple[int, int]:
     return (max(int(page or 1), 1) - 1) * size, size
 
 
+def slice_by_id(df: DataFrame, offset: int, count: int, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
+    """The rows at positions [offset, offset + count) in id order.
+
+    Near the front this is a top-k per task. Far back that would move every row before the slice
+    through one task, so there only the ids are range sorted and ranked, and the slice's ids
+    fetch the rows; up to a page's worth of them is broadcast.
+    """
+    if offset + count <= top_k_rows:
+        return df.orderBy("booking_id").offset(offset).limit(count)
+    ranked = dense_position(df.select("booking_id"), "booking_id")
+    wanted = ranked.where(F.col("position").between(offset + 1, offset + count)).select("booking_id")
+    return df.join(F.broadcast(wanted) if count <= MAX_PAGE_SIZE else wanted, "booking_id", "left_semi")
+
+
 def paginate(
     df: DataFrame, page: int = 1, size: int = 20, fields: list[str] = S.LIST_COLUMNS, top_k_rows: int = TOP_K_ROWS
 ) -> DataFrame:
-    """One page of rows by booking id.
-
-    A page near the front is a top-k per task. For a page far back that would move every row
-    before it through one task, so there only the ids are range sorted and ranked, and the at
-    most MAX_PAGE_SIZE ids of the page are broadcast back to fetch the rows.
-    """
+    """One page of rows by booking id; page at least 1, size 1 to MAX_PAGE_SIZE."""
     offset, size = _page_bounds(page, size, 20)
-    if offset + size <= top_k_rows:
-        return df.orderBy("booking_id").offset(offset).limit(size).select(*fields)
-    ranked = dense_position(df.select("booking_id"), "booking_id")
-    on_page = ranked.where(F.col("position").between(offset + 1, offset + size)).select("booking_id")
-    return df.join(F.broadcast(on_page), "booking_id", "left_semi").select(*fields)
+    return slice_by_id(df, offset, size, top_k_rows).select(*fields)
 
 
 def page_after(df: DataFrame, last_id: int, size: int = 20, fields: list[str] = S.LIST_COLUMNS) -> DataFrame:

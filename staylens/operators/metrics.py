@@ -150,6 +150,14 @@ def serve_risk(snapshot: DataFrame, metrics: DataFrame, metric_type: str) -> Dat
     return first_available([fresh, stored]).withColumn("status", F.lit("running"))
 
 
+def serve_recent(snapshot: DataFrame, stored: DataFrame, limit: int = 10) -> DataFrame:
+    """The latest predictions: snapshot items, else the stored ones; no rows while the stream has none."""
+    columns = ["booking_id", "hotel_name", "country_name", "cancel_probability", "risk_level_name", "business_time"]
+    sides = [snapshot.select(*columns), stored.select(*columns)]
+    rows = first_available([side.withColumn("cancel_probability", F.col("cancel_probability").cast("double")) for side in sides])
+    return rows.orderBy(F.desc("business_time"), F.desc("booking_id")).limit(limit)
+
+
 def top_risk(rows: DataFrame, limit: int = 5) -> DataFrame:
     """The highest rates per dimension with a total order for ties.
 
@@ -177,6 +185,11 @@ def dashboard_totals(offline: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
+def listed_total(totals: DataFrame, dashboard: DataFrame, filtered: bool) -> DataFrame:
+    """The total a list page shows: its own under a filter, else the dashboard's."""
+    return totals.select("total") if filtered else dashboard.select(F.col("total_bookings").alias("total"))
+
+
 def output_checks(predictions: DataFrame, metrics: DataFrame, summary: DataFrame) -> DataFrame:
     """One row: how much the stream job wrote to each output, and whether that passes."""
     stream = predictions.where(F.col("source") == S.STREAM_SOURCE).agg(F.count("*").alias("prediction_results"))

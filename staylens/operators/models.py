@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from staylens import schemas as S
 from staylens.functions import risk
+from staylens.functions.labels import sql_literal
 from staylens.functions.numbers import half_even
 from staylens.operators.cleaning import require_columns
-from staylens.operators.predictions import best_model, confusion_matrix, quality
+from staylens.operators.predictions import confusion_matrix, quality
 from staylens.operators.splits import category_modes, class_weights, in_test_part, offline_side, split_counts
 
 # A category list lives on the driver and in every task, so its size is checked; a column with
@@ -52,9 +53,8 @@ def preprocessing(train: DataFrame) -> list:
     hashed = wide_categories(train)
     indexed = [name for name in S.CATEGORICAL_FEATURES if name not in hashed]
     modes = {row["column_name"]: row["mode"] for row in category_modes(train).collect()}  # one row per column
-    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
     filled = [
-        f"coalesce(`{name}`, {quoted(modes[name])}) AS `{name}_filled`" if name in modes else f"`{name}` AS `{name}_filled`"
+        f"coalesce(`{name}`, {sql_literal(modes[name])}) AS `{name}_filled`" if name in modes else f"`{name}` AS `{name}_filled`"
         for name in S.CATEGORICAL_FEATURES
     ]
     numbers = [f"cast(`{name}` AS double) AS `{name}_number`" for name in S.NUMERIC_FEATURES]
@@ -105,7 +105,7 @@ def candidates(train_rows: int, max_depth: int = MAX_DEPTH, trees: int = 120) ->
         ),
         "random_forest": RandomForestClassifier(
             numTrees=trees, minInstancesPerNode=2, maxDepth=max_depth, seed=42, featureSubsetStrategy="sqrt",
-            maxMemoryInMB=1024, **common
+            cacheNodeIds=True, **common
         ),
     }
 
@@ -126,6 +126,15 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", weight)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: a fit visits the data many times, so idle cores cost many times.
+
+    With more partitions than cores, as on any large table, the rows stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass
 class Trained:
     """What one training run leaves behind."""
@@ -174,7 +183,7 @@ def train(
         fits = candidates(train_part.count(), max_depth, trees)
         wanted = {name: fits[name] for name in only or fits}
         prepared = Pipeline(stages=preprocessing(train_part)).fit(train_part)
-        features = prepared.transform(train_part).select("label", "weight", "features").persist()
+        features = spread(prepared.transform(train_part).select("label", "weight", "features")).persist()
         models, grades = {}, []
         for name, estimator in wanted.items():
             models[name] = PipelineModel(stages=[*prepared.stages, estimator.fit(features)])
@@ -183,9 +192,8 @@ def train(
     finally:
         train_part.unpersist()
         test_part.unpersist()
-    spark = bookings.sparkSession
-    report = spark.createDataFrame(grades)  # one row per model
-    selected = best_model(report).first()["selected_model"]
+    selected = max(grades, key=lambda grade: (grade["f1_score"], grade["accuracy"], grade["model_name"]))["model_name"]
+    report = bookings.sparkSession.createDataFrame(grades)  # one row per model
     return Trained(models, report.withColumn("is_selected", (F.col("model_name") == selected).cast("int")), selected)
 
 
@@ -240,6 +248,24 @@ def save_artifacts(trained: Trained, document: DataFrame, path: str) -> None:
     document.write.mode("overwrite").json(f"{path}/metrics")
 
 
+def metrics_of(documents: DataFrame) -> DataFrame:
+    """The served view of metrics documents: the selected model, its version and its four measures.
+
+    A document may lack parts: the names then say unknown and the measures are 0.
+    """
+    has = lambda name: name in documents.columns
+    text = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if has(name) else F.lit(default)
+    held = documents.schema["metrics"].dataType.names if has("metrics") else []
+    measure = lambda name: F.coalesce(F.col(f"metrics.{name}").cast("double"), F.lit(0.0)) if name in held else F.lit(0.0)
+    return documents.select(
+        text("selected_model", "unknown_model").alias("model_name"),
+        text("model_version", "unknown_model_v1").alias("model_version"),
+        F.lit(1).alias("is_selected"),
+        text("selection_reason", "selected by training pipeline").alias("reason"),
+        *(measure(name).alias(name) for name in ("accuracy", "precision_score", "recall_score", "f1_score")),
+    )
+
+
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path}/model")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staylens import schemas as S
 from staylens.functions.numbers import half_even
+from staylens.operators.bookings import slice_by_id
 from staylens.operators.cleaning import require_columns
 
 # The published date boundary.
@@ -40,8 +41,7 @@ def split_counts(df: DataFrame, cutoff: str = OFFLINE_CUTOFF, start: str = REALT
 
 def event_slice(df: DataFrame, start: int, count: int, first_day: str = REALTIME_START) -> DataFrame:
     """`count` realtime rows from position `start`, in id order, with the event fields."""
-    rows = realtime_side(df, first_day).orderBy("booking_id").offset(start).limit(count)
-    return as_events(rows)
+    return as_events(slice_by_id(realtime_side(df, first_day), start, count))
 
 
 def as_events(df: DataFrame) -> DataFrame:
@@ -106,70 +106,49 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact median per numeric column without holding a column's values in one task.
-
-    A sketch brackets the median between two values (its rank error is a tenth of the margin);
-    one more pass counts the rows below the bracket and the rows per value inside it. Only
-    those few values are then put in order.
-    """
-    bracket = df.agg(
-        *(F.percentile_approx(F.col(name).cast("double"), [0.499, 0.501], 10_000).alias(name) for name in columns)
-    )
-    bounds = bracket.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(F.lit(name).alias("column_name"), F.col(name)[0].alias("lo"), F.col(name)[1].alias("hi"))
-                    for name in columns
-                )
+def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per numeric column: bounds that enclose the median, mean and population deviation; one pass, one row per column."""
+    measures = []
+    for name in columns:
+        value = F.col(name).cast("double")
+        bounds = F.percentile_approx(value, [0.499, 0.501], 10_000)
+        measures.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                bounds[0].alias("lo"),
+                bounds[1].alias("hi"),
+                F.avg(value).alias("mean"),
+                F.stddev_pop(value).alias("deviation"),
             )
         )
+    return df.agg(F.array(*measures).alias("rows")).select(F.inline("rows"))
+
+
+def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> DataFrame:
+    """Exact median, mean and population deviation per numeric feature.
+
+    No task holds a column's values: a sketch encloses the median between two values (its rank
+    error is a tenth of the margin), and a second pass counts the rows below and above them and
+    the rows per value between. Only those few values are then put in order.
+    """
+    profile = _profile(df, columns)
+    placed = _long(df, columns, "double").join(F.broadcast(profile.select("column_name", "lo", "hi")), "column_name")
+    place = (
+        F.when(F.col("value") < F.col("lo"), F.lit(float("-inf")))
+        .when(F.col("value") > F.col("hi"), F.lit(float("inf")))
+        .otherwise(F.col("value"))
     )
-    placed = _long(df, columns, "double").join(F.broadcast(bounds), "column_name")
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    # One row per value inside the bracket; the values outside it fall into one row per side.
-    counts = (
-        placed.groupBy(
-            "column_name",
-            F.when(inside, F.col("value")).when(F.col("value") < F.col("lo"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))).alias("value"),
-        )
-        .agg(F.count("*").alias("n"))
-    )
+    counts = placed.groupBy("column_name", place.alias("value")).agg(F.count("*").alias("n"))
     through = Window.partitionBy("column_name").orderBy("value")
     ranked = counts.withColumns(
         {"upto": F.sum("n").over(through), "total": F.sum("n").over(Window.partitionBy("column_name"))}
     )
-    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    covers = lambda rank: (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
-    return ranked.groupBy("column_name").agg(
-        ((F.max(F.when(covers(lower), F.col("value"))) + F.max(F.when(covers(upper), F.col("value")))) / 2).alias("median")
+    at_rank = lambda rank: F.max(
+        F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("value"))
     )
-
-
-def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> DataFrame:
-    """Median, mean and population deviation per numeric feature."""
-    value = lambda name: F.col(name).cast("double")
-    moments = df.agg(
-        *(
-            F.struct(F.avg(value(name)).alias("mean"), F.stddev_pop(value(name)).alias("deviation")).alias(name)
-            for name in columns
-        )
-    ).select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(name).alias("column_name"),
-                        F.col(f"{name}.mean").alias("mean"),
-                        F.col(f"{name}.deviation").alias("deviation"),
-                    )
-                    for name in columns
-                )
-            )
-        )
-    )
-    return exact_medians(df, columns).join(F.broadcast(moments), "column_name")
+    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+    medians = ranked.groupBy("column_name").agg(((at_rank(lower) + at_rank(upper)) / 2).alias("median"))
+    return medians.join(F.broadcast(profile.select("column_name", "mean", "deviation")), "column_name")
 
 
 def category_modes(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:

@@ -367,6 +367,26 @@ def realtime_output_checks(spark, sf):
     return M.output_checks(D.predictions(spark, sf), D.stored_metrics(spark, sf), _summary_snapshot(spark, sf))
 
 
+_RECENT_ITEMS = f"""SELECT booking_id, hotel_name, country_name, cancel_probability, risk_level_name, business_time
+    FROM ({_JOINED}) ORDER BY business_time DESC, booking_id DESC LIMIT 10"""
+
+
+@query("serve_recent", _RECENT_ITEMS)
+def serve_recent(spark, sf):
+    """No snapshot is fresh, so the stored predictions serve."""
+    stored = P.recent(D.predictions(spark, sf), D.bookings(spark, sf), 10)
+    return M.serve_recent(_missing(stored), stored)
+
+
+@query("listed_total", f"SELECT o + processed_count AS total FROM ({_TOTALS}), (SELECT count(*) AS o FROM active WHERE arrival_date <= DATE '{D.CUTOFF}')")
+def listed_total(spark, sf):
+    active = _active(spark, sf)
+    dashboard = M.dashboard_totals(
+        L.split_counts(active, D.CUTOFF, D.START), M.serve_summary(_summary_snapshot(spark, sf), D.stored_metrics(spark, sf))
+    )
+    return M.listed_total(B.page_totals(active), dashboard, filtered=False)
+
+
 # --- chart series ----------------------------------------------------------------------------
 
 _MONTHS = f"""(SELECT strftime(arrival_date,'%Y-%m') AS x, count(*)::double AS b, sum(is_canceled)::double AS c,

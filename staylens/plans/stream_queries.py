@@ -116,9 +116,12 @@ def _scored(spark, sf):
 
 
 def _named(spark, sf):
-    """The scored stream with the names of its bookings; unknown bookings keep their events."""
+    """The scored stream as events that carry the names of their bookings; unknown bookings keep their events."""
+    log = fresh_dir(spark, "named-events")
     names = D.bookings(spark, sf).select("booking_id", "hotel_name", "country_name", "market_segment")
-    return _scored(spark, sf).join(names, "booking_id", "left")
+    stored = D.predictions(spark, sf).where(F.col("source") == S.STREAM_SOURCE).join(names, "booking_id", "left")
+    stored.write.parquet(log)
+    return streams.parquet_stream(spark, log, stored.schema)
 
 
 _PRED = f"""prediction_id, booking_id, model_version, cancel_probability::double AS cancel_probability, predicted_label, risk_level,
@@ -163,7 +166,8 @@ def stream_enrich_bookings(spark, sf):
     columns = ["booking_id", "generated_at", "customer_type_name", "deposit_type", "adr"]
 
     def write(batch, batch_id):
-        K.append_batches(out)(J.resolve(batch, bookings).select(*columns), batch_id)
+        K.append_batches(out)(J.resolved(J.lookup(batch.persist(), bookings)).select(*columns), batch_id)
+        batch.unpersist()
 
     K.run_available(V.accepted(V.parse_events(streams.file_lines(spark, _event_log(spark, sf)))), write)
     return spark.read.parquet(out).select(*columns)
@@ -175,10 +179,11 @@ def stream_enrich_bookings(spark, sf):
 )
 def stream_unresolved_events(spark, sf):
     out = fresh_dir(spark, "unresolved")
-    bookings = _active(spark, sf).where(F.col("country_code") != "PRT")
+    ids = _active(spark, sf).where(F.col("country_code") != "PRT").select("booking_id")
 
     def write(batch, batch_id):
-        K.append_batches(out)(J.unresolved(batch, bookings).select("booking_id", "country_code"), batch_id)
+        K.append_batches(out)(J.unresolved(J.lookup(batch.persist(), ids), "country_code"), batch_id)
+        batch.unpersist()
 
     K.run_available(V.accepted(V.parse_events(streams.file_lines(spark, _event_log(spark, sf)))), write)
     return spark.read.parquet(out).select("booking_id", "country_code")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from staylens import schemas as S
 from staylens.functions import risk
+from staylens.functions.labels import null_tokens
 from staylens.functions.numbers import four_digits, ratio
 from staylens.operators.cleaning import clean_bookings
 
@@ -78,16 +79,13 @@ def raw_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .withColumns({"k": F.col("o_orderkey"), "nl": F.coalesce("n_lines", F.lit(0))})
     )
-    columns = [F.expr(sql).cast("string").alias(name) for name, sql in _RAW_COLUMNS.items()]
-    return joined.select(F.col("k").alias("src_pos"), *columns)
+    columns = [f"cast({sql} as string) as {name}" for name, sql in _RAW_COLUMNS.items()]
+    return joined.selectExpr("k as src_pos", *columns)
 
 
 def raw_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw rows as the CSV reader returns them: missing-value tokens are null."""
-    from staylens.functions.labels import null_tokens
-
-    raw = raw_bookings(spark, sf_dir)
-    return raw.withColumns({name: null_tokens(F.col(name), S.MISSING_TOKENS) for name in S.RAW_COLUMNS})
+    return raw_bookings(spark, sf_dir).select("src_pos", *(null_tokens(name, S.MISSING_TOKENS) for name in S.RAW_COLUMNS))
 
 
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,19 @@ def ml_artifact_roundtrip(spark, sf):
     return before.join(after, "booking_id").select("booking_id", "saved", "loaded", (F.col("saved") == F.col("loaded")).alias("equal"))
 
 
+@query("train_and_select")
+def train_and_select(spark, sf):
+    """Both candidates, the selection, the saved artifacts, and the served view of the metrics document.
+
+    The forest is a small one; `train_rf` fits it in full.
+    """
+    path = fresh_dir(spark, "artifacts")
+    active = _active(spark, sf)
+    trained = T.train(active, D.CUTOFF, max_depth=8, trees=20)
+    T.save_artifacts(trained, T.metrics_document(trained, active, D.CUTOFF, D.START), path)
+    return T.metrics_of(spark.read.json(f"{path}/metrics"))
+
+
 @query("stream_score")
 def stream_score(spark, sf):
     """The whole realtime job with a trained model: parse, resolve, score, store."""

@@ -50,6 +50,8 @@ def build_session(app_name: str = "staylens", master: str | None = None, shuffle
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # one JVM does the work of all executors
+            builder = builder.config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return configure(builder.getOrCreate())

@@ -15,7 +15,7 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = S.RAW_SC
     The reader's `nullValue` takes one token only, so the token list is a projection.
     """
     rows = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
-    return rows.select(*(null_tokens(F.col(field.name), S.MISSING_TOKENS).alias(field.name) for field in schema.fields))
+    return rows.select(*(null_tokens(field.name, S.MISSING_TOKENS) for field in schema.fields))
 
 
 def file_position(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from staylens import schemas as S
+from staylens.operators.joins import join_unique
 from staylens.operators.metrics import top_risk
 from staylens.sources.versions import read_version, write_version
 from staylens.streaming.metrics import merge_states, metric_rows, rate_columns, state_of, summary_columns
@@ -46,16 +47,26 @@ def in_batch_range(bookings: DataFrame, batch: DataFrame) -> DataFrame:
     return bookings.where((F.col("booking_id") >= low) & (F.col("booking_id") <= high))
 
 
-def resolve(batch: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Each event with its booking. Columns that the event has too come from the booking."""
+def lookup(batch: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Each event of a held batch with its booking; `is_known` tells whether there is one.
+
+    Columns that the event has too come from the booking. One lookup serves the resolved and the
+    unresolved output.
+    """
     own = [name for name in batch.columns if name == "booking_id" or name not in bookings.columns]
-    return batch.select(*own).join(in_batch_range(bookings, batch), "booking_id")
+    known = in_batch_range(bookings, batch).withColumn("is_known", F.lit(True))
+    return join_unique(batch.select(*own), known, "booking_id").withColumn(
+        "is_known", F.coalesce("is_known", F.lit(False))
+    )
+
+
+def resolved(looked_up: DataFrame) -> DataFrame:
+    return looked_up.where("is_known").drop("is_known")
 
 
-def unresolved(batch: DataFrame, bookings: DataFrame) -> DataFrame:
+def unresolved(looked_up: DataFrame, *columns: str) -> DataFrame:
     """Events whose booking is unknown or deleted."""
-    known = in_batch_range(bookings.select("booking_id"), batch)
-    return batch.join(known, "booking_id", "left_anti")
+    return looked_up.where(~F.col("is_known")).select("booking_id", *columns)
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -92,9 +103,11 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        scored = score(resolve(batch, bookings)).persist()
+        found = lookup(batch, bookings).persist()
+        scored = score(resolved(found)).persist()
+        event_only = [name for name in batch.columns if name not in bookings.columns]
         try:
-            write_version(unresolved(batch, bookings), f"{out}/unresolved", batch_id)
+            write_version(unresolved(found, *event_only), f"{out}/unresolved", batch_id)
             write_version(scored.select(*S.PREDICTION_SCHEMA.names), f"{out}/predictions", batch_id)
             before = read_version(spark, f"{out}/state", STATE_SCHEMA, before=batch_id)
             write_version(merge_states(before, state_of(scored)), f"{out}/state", batch_id, keep=2)
@@ -107,8 +120,8 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
             write_version(metric_rows(state, latest), f"{out}/metrics", batch_id)
             keep_recent(f"{out}/recent")(scored, batch_id)
         finally:
-            scored.unpersist()
-            batch.unpersist()
+            for held in (scored, found, batch):
+                held.unpersist()
 
     return write
 
