@@ -28,16 +28,23 @@ def summary(df: DataFrame) -> DataFrame:
 
 
 def trend(df: DataFrame, granularity: str = "month") -> DataFrame:
-    """Counts and cancel rate per day or month, in order; rows without a date belong to no period."""
+    """Counts and cancel rate per day or month, in order; rows without a date belong to no period.
+
+    Rows group by the date value; only the result is formatted as text.
+    """
     return (
         df.where(F.col("arrival_date").isNotNull())
-        .groupBy(period(F.col("arrival_date"), granularity).alias("period"))
+        .groupBy(_period_start(granularity).alias("start"))
         .agg(*_counts())
-        .select("period", "booking_count", "cancel_count", _cancel_rate())
+        .select(period(F.col("start"), granularity).alias("period"), "booking_count", "cancel_count", _cancel_rate())
         .orderBy("period")
     )
 
 
+def _period_start(granularity: str):
+    return F.trunc("arrival_date", "MM") if granularity == "month" else F.col("arrival_date")
+
+
 def cancel_structure(df: DataFrame) -> DataFrame:
     return (
         df.where(F.col("is_canceled_label").isNotNull())
@@ -136,7 +143,7 @@ def sections(df: DataFrame) -> DataFrame:
     grouping sets over the cells, so the rows are never multiplied by the number of sections.
     """
     cells = (
-        df.withColumn("period", period(F.col("arrival_date"), "month"))
+        df.withColumn("period", _period_start("month"))
         .groupBy(*_CELL_KEYS)
         .agg(*_counts(), F.sum("adr").alias("adr"), *_tag_measures())
     )
@@ -147,18 +154,33 @@ def sections(df: DataFrame) -> DataFrame:
     section = F.coalesce(
         *(F.when(F.col("dropped") == _dropped_bits(kept), name) for name, kept in _SECTIONS.items())
     )
-    keyed = rolled.select(
-        section.alias("section"),
-        F.coalesce("period", "market_segment", "country_code").alias("code"),
-        F.coalesce("period", "is_canceled_label", "market_segment_name", "country_name").alias("name"),
-        *measures,
-    )
-    own = keyed.where((F.col("section") == "summary") | F.col("name").isNotNull()).select(
-        "section", "code", "name", "booking_count", "cancel_count",
-        F.when(F.col("section") == "summary", half_even(ratio(F.col("adr"), F.col("booking_count")), 2)).alias("avg_adr"),
+    month = period(F.col("period"), "month")
+    named = rolled.withColumns(
+        {
+            "section": section,
+            "code": F.coalesce(month, "market_segment", "country_code"),
+            "name": F.coalesce(month, "is_canceled_label", "market_segment_name", "country_name"),
+        }
     )
-    tags = keyed.where((F.col("section") == "summary") & (F.col("booking_count") > 0)).select(
-        F.lit("risk_factor").alias("section"), F.lit(None).cast("string").alias("code"), _tag_rows(),
-        F.lit(None).cast("double").alias("avg_adr"),
+    whole = F.col("section") == "summary"
+    none = F.lit(None).cast("string")
+
+    def row(kind, code, name, bookings, canceled, adr):
+        return F.struct(
+            kind.alias("section"), code.alias("code"), name.alias("name"), F.col(bookings).alias("booking_count"),
+            F.col(canceled).alias("cancel_count"), adr.alias("adr"),
+        )
+
+    own = row(F.col("section"), F.col("code"), F.col("name"), "booking_count", "cancel_count", F.when(whole, F.col("adr")))
+    missing = F.lit(None).cast(cells.schema["adr"].dataType)
+    tags = [row(F.lit("risk_factor"), none, F.lit(tag), f"n_{tag}", f"c_{tag}", missing) for tag in RISK_PREDICATES]
+    # The row over everything also carries the risk counts; they become rows of their own.
+    rows = F.when(whole & (F.col("booking_count") > 0), F.array(own, *tags)).otherwise(F.array(own))
+    return (
+        named.where(whole | F.col("name").isNotNull())
+        .select(F.inline(rows))
+        .select(
+            "section", "code", "name", "booking_count", "cancel_count", _cancel_rate(),
+            F.when(F.col("adr").isNotNull(), half_even(ratio(F.col("adr"), F.col("booking_count")), 2)).alias("avg_adr"),
+        )
     )
-    return own.unionByName(tags).withColumn("cancel_rate", _cancel_rate())

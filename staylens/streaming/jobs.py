@@ -22,6 +22,7 @@ STATE_SCHEMA = T.StructType(
         T.StructField("high_risk_count", T.LongType()),
         T.StructField("predicted_cancellations", T.LongType()),
         T.StructField("probability", T.DecimalType(28, 4)),
+        T.StructField("updated_at", T.TimestampType()),
     ]
 )
 RECENT_SCHEMA = T.StructType(
@@ -84,6 +85,16 @@ def keep_recent(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def _next_stamp(before: DataFrame, scored: DataFrame):
+    """The time of an update: the latest event so far, but always after the update before.
+
+    Unlike the clock it is the same when a batch is replayed, and unlike the batch's own latest
+    event it grows even if batches come out of order, so the latest metric rows are the newest.
+    """
+    last = before.agg(F.max("updated_at")).scalar()
+    return F.greatest(scored.agg(F.max("predicted_at")).scalar(), last + F.expr("interval 1 second"))
+
+
 def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """The batch function of the realtime job.
 
@@ -110,14 +121,14 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
             write_version(unresolved(found, *event_only), f"{out}/unresolved", batch_id)
             write_version(scored.select(*S.PREDICTION_SCHEMA.names), f"{out}/predictions", batch_id)
             before = read_version(spark, f"{out}/state", STATE_SCHEMA, before=batch_id)
-            write_version(merge_states(before, state_of(scored)), f"{out}/state", batch_id, keep=2)
+            merged = merge_states(before.drop("updated_at"), state_of(scored))
+            write_version(merged.withColumn("updated_at", _next_stamp(before, scored)), f"{out}/state", batch_id, keep=2)
             state = read_version(spark, f"{out}/state", STATE_SCHEMA)
             everything = state.where(F.col("dimension") == "all")
             write_version(everything.select(*summary_columns()), f"{out}/summary", batch_id, keep=2)
             keyed = state.where(F.col("dimension") != "all").select(*("dimension", "name"), *rate_columns())
             write_version(top_risk(keyed), f"{out}/risk", batch_id, keep=2)
-            latest = scored.agg(F.max("predicted_at")).scalar()
-            write_version(metric_rows(state, latest), f"{out}/metrics", batch_id)
+            write_version(metric_rows(state), f"{out}/metrics", batch_id)
             keep_recent(f"{out}/recent")(scored, batch_id)
         finally:
             for held in (scored, found, batch):

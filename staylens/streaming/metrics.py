@@ -111,7 +111,7 @@ def merge_states(before: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def metric_rows(state: DataFrame, at: Column) -> DataFrame:
+def metric_rows(state: DataFrame) -> DataFrame:
     """The long metric rows of one update: 13 fixed ones and one per country and channel.
 
     The three trend types carry the running totals; true calendar windows are `windowed_trend`.
@@ -137,7 +137,5 @@ def metric_rows(state: DataFrame, at: Column) -> DataFrame:
 
     totals = F.array(*(entry(F.lit(kind), F.lit(name), value) for kind, name, value in fixed))
     keyed = F.array(entry(F.concat(F.col("dimension"), F.lit("_risk")), F.col("name"), share))
-    rows = state.select(F.inline(F.when(F.col("dimension") == "all", totals).otherwise(keyed)))
-    return rows.select(
-        "metric_type", "metric_name", "metric_value", *(at.alias(name) for name in ("window_start", "window_end", "updated_at"))
-    )
+    at = [F.col("updated_at").alias(name) for name in ("window_start", "window_end", "updated_at")]
+    return state.select(F.inline(F.when(F.col("dimension") == "all", totals).otherwise(keyed)), *at)

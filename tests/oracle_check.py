@@ -11,6 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
+from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry
 from staylens.session import build_session
@@ -79,7 +80,10 @@ def main(argv):
     sf = argv[0] if argv else "0.001"
     sf_dir = f"/root/testdata/sf{sf}"
     keys = argv[1:] or list(entry.queries())
-    spark = build_session("oracle-check", "local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):  # a session that does not know this package
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = build_session("oracle-check", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(sf_dir)
     bad = 0

@@ -1,5 +1,7 @@
 """Plans: what reaches the scan, what is shuffled, and that no Python runs in the data path."""
 
+import contextlib
+import io
 import re
 
 import pytest
@@ -8,6 +10,7 @@ import __spark_entry__ as entry
 from staylens.operators import bookings as B
 from staylens.operators import overview as O
 from staylens.operators import predictions as P
+from staylens.operators import splits as L
 from staylens.plans import tables as D
 from staylens.session import fresh_dir
 from staylens.sources import files
@@ -18,7 +21,15 @@ EAGER = ("stream_", "sink_", "scan_", "train_", "score_", "ml_", "export_", "rew
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The formatted plan: the tree first, then the full details of each node."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
+
+
+def tree(df):
+    return plan(df).split("\n\n(1)")[0]
 
 
 @pytest.fixture(scope="module")
@@ -37,12 +48,11 @@ def test_no_python_and_no_cross_join_in_any_lazy_query(spark, sf_dir):
 
 
 def test_filters_and_columns_reach_the_scan(stored):
-    stored.sparkSession.conf.set("spark.sql.maxMetadataValueLength", "10000")
     text = plan(O.channel_ranking(B.filter_overview(stored, month="1998-02", country_code="PRT")))
-    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", text).group(1)
+    pushed = re.search(r"PushedFilters: \[(.*?)\]\n", text).group(1)
     for part in ("arrival_date,1998-02-01", "arrival_date,1998-03-01", "country_code,PRT", "is_deleted"):
         assert part in pushed
-    columns = re.search(r"ReadSchema: struct<(.*?)>", text).group(1)
+    columns = re.search(r"ReadSchema: struct<(.*?)>\n", text).group(1)
     assert {c.split(":")[0] for c in columns.split(",") if ":" in c} == {
         "is_canceled", "arrival_date", "country_code", "market_segment", "market_segment_name", "is_deleted"}
 
@@ -65,11 +75,15 @@ def test_recent_predictions_shuffle_neither_table(spark, sf_dir, stored):
 
 
 def test_sections_read_the_table_once_and_multiply_only_cells(stored):
-    text = plan(O.sections(B.active_bookings(stored)))
-    lines = text.splitlines()
-    expand = max(i for i, line in enumerate(lines) if "Expand" in line)
-    below = "\n".join(lines[expand:])
-    assert below.count("HashAggregate") >= 2  # partial and final cells lie under the expansion
+    lines = tree(O.sections(B.active_bookings(stored))).splitlines()
+    assert sum("Scan" in line for line in lines) == 1
+    expand = next(i for i, line in enumerate(lines) if "Expand" in line)
+    assert sum("HashAggregate" in line for line in lines[expand:]) == 2  # the cells, partial and final
+
+
+def test_windows_over_rows_are_partitioned(stored):
+    """Only tables with one row per class, bucket or partition may be ordered as a whole."""
+    assert "SinglePartition" not in plan(L.exact_test_part(stored.select("booking_id", "is_canceled")))
 
 
 def test_unused_line_join_is_dropped(spark, sf_dir):

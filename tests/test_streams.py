@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from staylens import schemas as S
+from staylens.operators import metrics as M
 from staylens.session import fresh_dir
 from staylens.sources import streams, versions
 from staylens.streaming import events as V
@@ -77,6 +78,17 @@ def test_realtime_job_over_batches_and_a_replay(spark):
     assert {r.metric_value for r in last if r.metric_name == "Direct"} == {"0.6667"}
 
 
+def test_metrics_stay_in_order_when_batches_do_not(spark):
+    known = names(spark, (1, "H", "PRT", "Direct"))
+    out = fresh_dir(spark, "job")
+    write = J.realtime_outputs(out, known, score)
+    write(predictions(spark, (1, 1, 0.9, "2017-01-13 09:00:00")), 0)
+    write(predictions(spark, (2, 1, 0.1, "2017-01-13 08:00:00")), 1)
+    latest = M.latest_rows(J.realtime_tables(spark, out)["metrics"], ["summary"]).collect()
+    assert {r.metric_name: r.metric_value for r in latest}["processed_count"] == "2"
+    assert len(latest) == 4
+
+
 def test_recent_keeps_ten(spark):
     path = fresh_dir(spark, "recent")
     rows = predictions(spark, *((n, n, 0.1, f"2017-01-13 08:{n:02d}:00") for n in range(25)))
