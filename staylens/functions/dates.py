@@ -15,14 +15,13 @@ MONTHS = (
 ).split()
 
 
-def month_number(name: Column) -> Column:
+def month_number(name: str) -> Column:
     """1 to 12, or null for a name that is not an English month."""
-    position = F.array_position(F.expr(f"array({literal_list(MONTHS)})"), name)
-    return F.when(position > 0, position.cast("int"))
+    return F.expr(f"cast(nullif(array_position(array({literal_list(MONTHS)}), `{name}`), 0) AS int)")
 
 
-def assemble_date(year: Column, month_name: Column, day: Column, strict: bool = False) -> Column:
-    """Date from its three text parts. An impossible date is null, or an error when strict."""
+def assemble_date(year: str, month_name: str, day: str, strict: bool = False) -> Column:
+    """Date from its three text columns. An impossible date is null, or an error when strict."""
     y, m, d = int_or_null(year), month_number(month_name), int_or_null(day)
     if strict:
         return F.make_date(y, m, d)

@@ -21,18 +21,18 @@ def literal_list(values) -> str:
     return ", ".join(sql_literal(value) for value in values)
 
 
-def literal_map(entries: dict) -> Column:
-    return F.expr(f"map({literal_list(chain.from_iterable(entries.items()))})")
+def _map(entries: dict) -> str:
+    return f"map({literal_list(chain.from_iterable(entries.items()))})"
 
 
-def label_or_code(code: Column, entries: dict[str, str]) -> Column:
-    """The label of a code, or the code itself when it has none."""
-    return F.coalesce(F.try_element_at(literal_map(entries), code), code)
+def label_or_code(name: str, entries: dict[str, str], other: str | None = None) -> Column:
+    """The label of a code column; a code without one is its own label, or gives that of another column."""
+    return F.expr(f"coalesce(try_element_at({_map(entries)}, `{name}`), `{other or name}`)")
 
 
-def label_or_null(flag: Column, entries: dict[int, str]) -> Column:
-    """The label of a flag; unknown flags have no label."""
-    return F.try_element_at(literal_map(entries), flag)
+def label_or_null(name: str, entries: dict[int, str]) -> Column:
+    """The label of a flag column; unknown flags have no label."""
+    return F.expr(f"try_element_at({_map(entries)}, `{name}`)")
 
 
 def null_tokens(name: str, tokens: list[str]) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The coercions take column names: as one SQL expression they cost one call into the JVM each.
+
 MONEY = "decimal(10,2)"
 
 
@@ -12,19 +14,23 @@ MONEY = "decimal(10,2)"
 _ANY_NUMBER = "decimal(38,18)"
 
 
-def int_or_null(text: Column) -> Column:
+def _int(name: str) -> str:
     """Number text truncated to an int, else null. Plain digits take the short way."""
-    return F.coalesce(text.try_cast("int"), text.try_cast(_ANY_NUMBER).try_cast("int"))
+    return f"coalesce(try_cast(`{name}` AS int), try_cast(try_cast(`{name}` AS {_ANY_NUMBER}) AS int))"
+
+
+def int_or_null(name: str) -> Column:
+    return F.expr(_int(name))
 
 
-def lenient_int(text: Column) -> Column:
+def lenient_int(name: str) -> Column:
     """Number text truncated to an int; anything else counts as 0. Never raises under ANSI."""
-    return F.coalesce(text.try_cast("int"), text.try_cast(_ANY_NUMBER).try_cast("int"), F.lit(0))
+    return F.expr(f"coalesce({_int(name)}, 0)")
 
 
-def lenient_money(text: Column) -> Column:
+def lenient_money(name: str) -> Column:
     """Number text as a two-digit decimal; anything else counts as 0."""
-    return F.coalesce(text.try_cast(MONEY), F.lit(0).cast(MONEY))
+    return F.expr(f"coalesce(try_cast(`{name}` AS {MONEY}), cast(0 AS {MONEY}))")
 
 
 def half_even(value: Column, digits: int = 4) -> Column:

@@ -42,8 +42,27 @@ def dense_position(df: DataFrame, *order: str, name: str = "position") -> DataFr
     )
 
 
+def position_in_files(read: DataFrame, name: str = "position") -> DataFrame:
+    """Add the 1-based position of each row in its files, which `files.file_position` has marked.
+
+    A split holds a run of consecutive rows, so a row's position is the number of rows in the
+    splits before it plus its rank in the split. That takes one more read, of the marks only,
+    and no shuffle of the rows; the offsets have one row per split.
+    """
+    splits = read.groupBy("file_path", "split_start").agg(F.count("*").alias("_rows"), F.min("split_row").alias("_first"))
+    before = Window.orderBy("file_path", "split_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "file_path", "split_start", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_offset")
+    )
+    return (
+        read.join(offsets, ["file_path", "split_start"])
+        .withColumn(name, (F.col("_offset") + F.col("split_row") + 1).cast("bigint"))
+        .drop("file_path", "split_start", "split_row", "_offset")
+    )
+
+
 def coerced_ints() -> dict[str, Column]:
-    return {name: lenient_int(F.col(name)) for name in S.INT_COLUMNS}
+    return {name: lenient_int(name) for name in S.INT_COLUMNS}
 
 
 def filled_codes() -> dict[str, Column]:
@@ -65,14 +84,14 @@ def room_type_changed() -> Column:
 def derived_labels() -> dict[str, Column]:
     """Label columns from the code columns; used by the cleaning job and again after edits."""
     return {
-        "hotel_name": label_or_code(F.col("hotel"), S.HOTEL_LABELS),
-        "is_canceled_label": label_or_null(F.col("is_canceled"), S.CANCELED_LABELS),
-        "meal_name": label_or_code(F.col("meal"), S.MEAL_LABELS),
-        "country_name": label_or_code(F.col("country_code"), S.COUNTRY_LABELS),
-        "market_segment_name": label_or_code(F.col("market_segment"), S.SEGMENT_LABELS),
-        "is_repeated_guest_label": label_or_null(F.col("is_repeated_guest"), S.REPEATED_GUEST_LABELS),
-        "deposit_type_name": label_or_code(F.col("deposit_type"), S.DEPOSIT_LABELS),
-        "customer_type_name": label_or_code(F.col("customer_type"), S.CUSTOMER_LABELS),
+        "hotel_name": label_or_code("hotel", S.HOTEL_LABELS),
+        "is_canceled_label": label_or_null("is_canceled", S.CANCELED_LABELS),
+        "meal_name": label_or_code("meal", S.MEAL_LABELS),
+        "country_name": label_or_code("country_code", S.COUNTRY_LABELS),
+        "market_segment_name": label_or_code("market_segment", S.SEGMENT_LABELS),
+        "is_repeated_guest_label": label_or_null("is_repeated_guest", S.REPEATED_GUEST_LABELS),
+        "deposit_type_name": label_or_code("deposit_type", S.DEPOSIT_LABELS),
+        "customer_type_name": label_or_code("customer_type", S.CUSTOMER_LABELS),
     }
 
 
@@ -82,15 +101,13 @@ def clean_bookings(raw: DataFrame, booking_id: Column, strict: bool = False) ->
     `strict=True` fails the job on an impossible date; otherwise the date is missing and
     `rejected_rows` reports the row.
     """
-    arrival = assemble_date(
-        F.col("arrival_date_year"), F.col("arrival_date_month"), F.col("arrival_date_day_of_month"), strict
-    )
+    arrival = assemble_date("arrival_date_year", "arrival_date_month", "arrival_date_day_of_month", strict)
     typed = raw.withColumns(
         {
             **coerced_ints(),
             **filled_codes(),
             "booking_id": booking_id.cast("bigint"),
-            "adr": lenient_money(F.col("adr")),
+            "adr": lenient_money("adr"),
             "arrival_date": arrival,
             "reservation_status_date": iso_date(F.col("reservation_status_date"), strict),
             "is_deleted": F.lit(0),
@@ -114,6 +131,11 @@ def import_bookings(raw: DataFrame, *order: str, strict: bool = False) -> DataFr
     return clean_bookings(numbered, F.col("_id"), strict)
 
 
+def import_files(marked: DataFrame, strict: bool = False) -> DataFrame:
+    """The whole cleaning job with ids in file order; input from `files.read_raw_csv(…, positions=True)`."""
+    return clean_bookings(position_in_files(marked, "_id"), F.col("_id"), strict)
+
+
 def rejected_rows(cleaned: DataFrame) -> DataFrame:
     """Rows whose arrival or status date could not be read."""
     return cleaned.where(F.col("arrival_date").isNull() | F.col("reservation_status_date").isNull())

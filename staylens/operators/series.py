@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from staylens import schemas as S
-from staylens.functions.labels import literal_map
+from staylens.functions.labels import label_or_code
 from staylens.functions.numbers import half_even
 
 # Series and axis names.
@@ -30,7 +30,7 @@ def named_values(df: DataFrame, name: str, *values: str) -> DataFrame:
 
 def country_series(df: DataFrame) -> DataFrame:
     """Map series: English country names by code, else the row's own name; rows without either are left out."""
-    name = F.coalesce(F.try_element_at(literal_map(S.WORLD_MAP_NAMES), F.col("code")), F.col("name"))
+    name = label_or_code("code", S.WORLD_MAP_NAMES, "name")
     return named_values(df.withColumn("map_name", name).where(F.coalesce("map_name", F.lit("")) != ""), "map_name", "cancel_rate", "value")
 
 

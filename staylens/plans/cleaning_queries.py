@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens import schemas as S
-from staylens.functions.labels import literal_map
+from staylens.functions.labels import label_or_code
 from staylens.functions.wire import alias_float, alias_int, metric_field, metric_number
 from staylens.operators import cleaning as C
 from staylens.plans import tables as D
@@ -79,7 +79,7 @@ def coerce_ints(spark, sf):
 
 @query("coerce_adr", "SELECT src_pos, adr::double AS adr FROM typed")
 def coerce_adr(spark, sf):
-    return D.raw_with_nulls(spark, sf).select("src_pos", C.lenient_money(F.col("adr")).alias("adr"))
+    return D.raw_with_nulls(spark, sf).select("src_pos", C.lenient_money("adr").alias("adr"))
 
 
 _CODES = [name for name in S.MISSING_CODE if name != "country"]
@@ -136,6 +136,17 @@ def clean_bookings(spark, sf):
     return C.import_bookings(D.raw_with_nulls(spark, sf), "src_pos")
 
 
+@query(
+    "import_raw_files",
+    f"""SELECT {wire(S.CONTRACT_COLUMNS)} FROM (SELECT * REPLACE (row_number() OVER (ORDER BY booking_id) AS booking_id) FROM cleaned)""",
+)
+def import_raw_files(spark, sf):
+    """Several raw CSV files; the ids are the positions in file order."""
+    path = fresh_dir(spark, "raw-csv")
+    files.write_raw_csv(D.raw_bookings(spark, sf).repartitionByRange(5, "src_pos").sortWithinPartitions("src_pos").drop("src_pos"), path)
+    return C.import_files(files.read_raw_csv(spark, path, positions=True))
+
+
 @query("project_list", f"SELECT {wire(S.LIST_COLUMNS)} FROM active")
 def project_list(spark, sf):
     return D.bookings(spark, sf).where("is_deleted = 0").select(*S.LIST_COLUMNS)
@@ -233,8 +244,7 @@ def _world_case() -> str:
 @query("world_map_name", f"SELECT booking_id, {_world_case()} AS map_name FROM active")
 def world_map_name(spark, sf):
     active = D.bookings(spark, sf).where("is_deleted = 0")
-    name = F.coalesce(F.try_element_at(literal_map(S.WORLD_MAP_NAMES), F.col("country_code")), F.col("country_name"))
-    return active.select("booking_id", name.alias("map_name"))
+    return active.select("booking_id", label_or_code("country_code", S.WORLD_MAP_NAMES, "country_name").alias("map_name"))
 
 
 @query(

@@ -9,13 +9,21 @@ from staylens.functions.dates import iso_date
 from staylens.functions.labels import null_tokens
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = S.RAW_SCHEMA) -> DataFrame:
+POSITION_COLUMNS = ["file_path", "split_start", "split_row"]
+
+
+def read_raw_csv(
+    spark: SparkSession, path: str, schema: T.StructType = S.RAW_SCHEMA, positions: bool = False
+) -> DataFrame:
     """Raw booking rows, every column as text, missing-value tokens as null.
 
-    The reader's `nullValue` takes one token only, so the token list is a projection.
+    The reader's `nullValue` takes one token only, so the token list is a projection. With
+    `positions` the rows carry the marks of `file_position`.
     """
     rows = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
-    return rows.select(*(null_tokens(field.name, S.MISSING_TOKENS) for field in schema.fields))
+    marks = POSITION_COLUMNS if positions else []
+    rows = file_position(rows) if positions else rows
+    return rows.select(*marks, *(null_tokens(field.name, S.MISSING_TOKENS) for field in schema.fields))
 
 
 def file_position(df: DataFrame) -> DataFrame:

@@ -73,11 +73,19 @@ def test_rejected_rows_and_strict_mode(spark):
 
 def test_file_order_gives_the_ids(spark):
     path = fresh_dir(spark, "ordered-csv")
-    raw = raw_rows(spark, *({"lead_time": str(n)} for n in range(40))).drop("pos")
-    files.write_raw_csv(raw.coalesce(1), path)
-    read = spark.read.schema(S.RAW_SCHEMA).option("header", True).csv(path)
-    imported = C.import_bookings(files.file_position(read), "file_path", "split_start", "split_row")
-    assert [(r.booking_id, r.lead_time) for r in imported.orderBy("booking_id").collect()] == [(n + 1, n) for n in range(40)]
+    raw = raw_rows(spark, *({"lead_time": str(n)} for n in range(400)))
+    files.write_raw_csv(raw.repartitionByRange(3, "pos").sortWithinPartitions("pos").drop("pos"), path)
+    expected = [(n + 1, n) for n in range(400)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # several splits per file
+    try:
+        marked = files.read_raw_csv(spark, path, positions=True)
+        assert marked.select("file_path", "split_start").distinct().count() > 6
+        by_split = C.import_files(marked)
+        assert sorted((r.booking_id, r.lead_time) for r in by_split.collect()) == expected
+        by_sort = C.import_bookings(marked, *files.POSITION_COLUMNS)
+        assert sorted((r.booking_id, r.lead_time) for r in by_sort.collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_dense_position_with_a_hot_first_column(spark):

@@ -46,12 +46,12 @@ def test_half_up_on_a_binary_tie(spark):
 def test_lenient_int(spark):
     texts = ["7", " 8 ", "3.9", "-2.7", "1e3", "abc", None, "", "NaN", "Infinity", "12d", "99999999999", "2.9999999"]
     expected = [7, 8, 3, -2, 1000, 0, 0, 0, 0, 0, 0, 0, 2]
-    assert results(column(spark, texts, "string"), numbers.lenient_int(F.col("v"))) == expected
+    assert results(column(spark, texts, "string"), numbers.lenient_int("v")) == expected
 
 
 def test_lenient_money(spark):
     texts = ["98.126", None, "free", "12f", "-6.38"]
-    got = results(column(spark, texts, "string"), numbers.lenient_money(F.col("v")))
+    got = results(column(spark, texts, "string"), numbers.lenient_money("v"))
     assert [float(v) for v in got] == [98.13, 0.0, 0.0, 0.0, -6.38]
 
 
@@ -64,14 +64,14 @@ def test_assembled_dates(spark):
     rows = [("2016", "February", "29"), ("2017", "February", "29"), ("2017", "Feb", "1"), ("2017.0", "July", "4"),
             (None, "July", "4"), ("2017", "December", "31"), ("2017", "April", "0"), ("99999", "May", "1")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, y string, m string, d string")
-    got = results(df, dates.assemble_date(F.col("y"), F.col("m"), F.col("d")))
+    got = results(df, dates.assemble_date("y", "m", "d"))
     assert got == [dt.date(2016, 2, 29), None, None, dt.date(2017, 7, 4), None, dt.date(2017, 12, 31), None, None]
 
 
 def test_strict_date_fails(spark):
     df = spark.createDataFrame([("2017", "February", "30")], "y string, m string, d string")
     with pytest.raises(Exception, match="DATE|date"):
-        df.select(dates.assemble_date(F.col("y"), F.col("m"), F.col("d"), strict=True)).collect()
+        df.select(dates.assemble_date("y", "m", "d", strict=True)).collect()
 
 
 def test_month_bounds():
@@ -102,9 +102,9 @@ def test_reason_tags(spark):
 
 def test_labels_keep_or_drop_unknown_codes(spark):
     df = column(spark, ["a", "z", None], "string")
-    assert results(df, labels.label_or_code(F.col("v"), {"a": "it's A"})) == ["it's A", "z", None]
+    assert results(df, labels.label_or_code("v", {"a": "it's A"})) == ["it's A", "z", None]
     flags = column(spark, [0, 1, 2, None], "int")
-    assert results(flags, labels.label_or_null(F.col("v"), {0: "no", 1: "yes"})) == ["no", "yes", None, None]
+    assert results(flags, labels.label_or_null("v", {0: "no", 1: "yes"})) == ["no", "yes", None, None]
 
 
 def test_wire_form(spark):
