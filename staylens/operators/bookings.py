@@ -141,7 +141,11 @@ def page_stats(page: DataFrame) -> DataFrame:
 
 
 def filter_options(df: DataFrame) -> DataFrame:
-    """Distinct (value, label) pairs of the five filter dimensions, from one pass over the table."""
+    """Distinct (value, label) pairs of the five filter dimensions, from one pass over the table.
+
+    The rows combine into their distinct combinations first, so that only those are multiplied by
+    the number of dimensions.
+    """
     pairs = [
         F.struct(
             F.lit(dimension).alias("dimension"),
@@ -152,6 +156,8 @@ def filter_options(df: DataFrame) -> DataFrame:
     ]
     return (
         active_bookings(df)
+        .select(*(name for pair in OPTION_COLUMNS.values() for name in pair))
+        .distinct()
         .select(F.inline(F.array(*pairs)))
         .dropna(subset=["value", "label"])
         .distinct()

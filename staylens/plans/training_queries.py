@@ -32,7 +32,16 @@ def train_rf(spark, sf):
     return T.train(_active(spark, sf), D.CUTOFF, only=["random_forest"]).report
 
 
-@query("category_encoding")
+_REALTIME = f"active WHERE arrival_date >= DATE '{D.START}'"
+_OFFLINE = f"active WHERE arrival_date <= DATE '{D.CUTOFF}'"
+
+
+@query(
+    "category_encoding",
+    f"""SELECT booking_id, cast((SELECT count(DISTINCT country_code) FROM {_OFFLINE}) as int) AS width,
+        case when country_code IN (SELECT country_code FROM {_OFFLINE}) then 1.0::double else 0.0::double end AS set_positions
+        FROM {_REALTIME}""",
+)
 def category_encoding(spark, sf):
     """One-hot width and number of set positions per row of the realtime side, encoded as trained offline."""
     from pyspark.ml import Pipeline
@@ -56,7 +65,30 @@ def score_bookings(spark, sf):
     return records.drop("predicted_at")
 
 
-@query("ml_artifact_roundtrip")
+_RULES = f"""SELECT booking_id, 'logistic_regression_v1' AS model_version, true AS in_range, true AS label_follows, true AS band_follows"""
+
+
+def _rules(scored):
+    """The prediction fields that must agree, whatever the model says."""
+    p = F.col("cancel_probability")
+    band = F.when(p >= 0.6, "high").when(p >= 0.3, "medium").otherwise("low")
+    return scored.select(
+        "booking_id",
+        "model_version",
+        p.between(0, 1).alias("in_range"),
+        (F.col("predicted_label") == (p >= 0.5).cast("int")).alias("label_follows"),
+        (F.col("risk_level") == band).alias("band_follows"),
+    )
+
+
+@query("score_rules", f"{_RULES} FROM {_REALTIME}")
+def score_rules(spark, sf):
+    active = _active(spark, sf)
+    model = T.train(active, D.CUTOFF, only=["logistic_regression"]).models["logistic_regression"]
+    return _rules(T.prediction_records(L.realtime_side(active, D.START), model, "logistic_regression_v1"))
+
+
+@query("ml_artifact_roundtrip", f"SELECT booking_id, true AS equal FROM {_REALTIME}")
 def ml_artifact_roundtrip(spark, sf):
     """Train, save, load and score again: the two probabilities of each booking are equal."""
     path = fresh_dir(spark, "artifacts")
@@ -67,7 +99,7 @@ def ml_artifact_roundtrip(spark, sf):
     rows = L.realtime_side(active, D.START)
     before = T.score(rows, trained.models[trained.selected], "v1").select("booking_id", F.col("cancel_probability").alias("saved"))
     after = T.score(rows, loaded, "v1").select("booking_id", F.col("cancel_probability").alias("loaded"))
-    return before.join(after, "booking_id").select("booking_id", "saved", "loaded", (F.col("saved") == F.col("loaded")).alias("equal"))
+    return before.join(after, "booking_id").select("booking_id", (F.col("saved") == F.col("loaded")).alias("equal"))
 
 
 @query("train_and_select")
@@ -83,7 +115,7 @@ def train_and_select(spark, sf):
     return T.metrics_of(spark.read.json(f"{path}/metrics"))
 
 
-@query("stream_score")
+@query("stream_score", f"{_RULES} FROM {_REALTIME}")
 def stream_score(spark, sf):
     """The whole realtime job with a trained model: parse, resolve, score, store."""
     active = _active(spark, sf)
@@ -104,4 +136,4 @@ def stream_score(spark, sf):
         )
 
     K.run_available(events, J.realtime_outputs(out, files.read_lookup_table(spark, known), score))
-    return J.realtime_tables(spark, out)["predictions"]
+    return _rules(J.realtime_tables(spark, out)["predictions"])

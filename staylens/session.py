@@ -18,6 +18,9 @@ RUNTIME_SETTINGS = {
     # the cleaning job exceeds that as one fused stage; with this limit Spark generates it as
     # several small methods instead, which more than halves its time.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Stream state on local disk instead of the executor heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -41,10 +44,6 @@ def build_session(app_name: str = "staylens", master: str | None = None, shuffle
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
