@@ -107,7 +107,7 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per numeric column: bounds that enclose the median, mean and population deviation; one pass, one row per column."""
+    """One row with an array: per numeric column, bounds that enclose the median, mean and population deviation."""
     measures = []
     for name in columns:
         value = F.col(name).cast("double")
@@ -121,7 +121,7 @@ def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
                 F.stddev_pop(value).alias("deviation"),
             )
         )
-    return df.agg(F.array(*measures).alias("rows")).select(F.inline("rows"))
+    return df.agg(F.array(*measures).alias("profile"))
 
 
 def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> DataFrame:
@@ -131,24 +131,33 @@ def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> Dat
     error is a tenth of the margin), and a second pass counts the rows below and above them and
     the rows per value between. Only those few values are then put in order.
     """
-    profile = _profile(df, columns)
-    placed = _long(df, columns, "double").join(F.broadcast(profile.select("column_name", "lo", "hi")), "column_name")
-    place = (
-        F.when(F.col("value") < F.col("lo"), F.lit(float("-inf")))
-        .when(F.col("value") > F.col("hi"), F.lit(float("inf")))
-        .otherwise(F.col("value"))
+    profile = _profile(df, columns).scalar()
+    places = []
+    for index, name in enumerate(columns):
+        value, bounds = F.col(name).cast("double"), F.col("_profile")[index]
+        place = (
+            F.when(value < bounds["lo"], F.lit(float("-inf"))).when(value > bounds["hi"], F.lit(float("inf"))).otherwise(value)
+        )
+        places.append(F.struct(F.lit(index).alias("index"), place.alias("value")))
+    counts = (
+        df.select(profile.alias("_profile"), *columns)
+        .select(F.inline(F.array(*places)))
+        .where(F.col("value").isNotNull())
+        .groupBy("index", "value")
+        .agg(F.count("*").alias("n"))
     )
-    counts = placed.groupBy("column_name", place.alias("value")).agg(F.count("*").alias("n"))
-    through = Window.partitionBy("column_name").orderBy("value")
+    through = Window.partitionBy("index").orderBy("value")
     ranked = counts.withColumns(
-        {"upto": F.sum("n").over(through), "total": F.sum("n").over(Window.partitionBy("column_name"))}
+        {"upto": F.sum("n").over(through), "total": F.sum("n").over(Window.partitionBy("index"))}
     )
     at_rank = lambda rank: F.max(
         F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank), F.col("value"))
     )
     lower, upper = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    medians = ranked.groupBy("column_name").agg(((at_rank(lower) + at_rank(upper)) / 2).alias("median"))
-    return medians.join(F.broadcast(profile.select("column_name", "mean", "deviation")), "column_name")
+    of_column = F.element_at(profile, F.col("index") + 1)
+    return ranked.groupBy("index").agg(
+        ((at_rank(lower) + at_rank(upper)) / 2).alias("median"), F.any_value(of_column).alias("own")
+    ).select("own.column_name", "median", "own.mean", "own.deviation")
 
 
 def category_modes(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
