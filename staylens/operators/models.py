@@ -101,7 +101,7 @@ def candidates(train_rows: int, max_depth: int = MAX_DEPTH, trees: int = 120) ->
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     return {
         "logistic_regression": LogisticRegression(
-            maxIter=1000, regParam=1.0 / max(train_rows, 1), standardization=False, aggregationDepth=3, **common
+            maxIter=1000, regParam=1.0 / max(train_rows, 1), standardization=False, **common
         ),
         "random_forest": RandomForestClassifier(
             numTrees=trees, minInstancesPerNode=2, maxDepth=max_depth, seed=42, featureSubsetStrategy="sqrt",
@@ -173,13 +173,13 @@ def train(
 ) -> Trained:
     """Fit the candidates on the offline side, grade them on a held-out fifth and select the best by F1.
 
-    The feature columns of the training part are held for the many passes of the fits; on a lost
-    executor Spark reads that part again.
+    The feature columns are held for the many passes of the fits, so the table is read once; on a
+    lost executor Spark reads its part again.
     """
-    rows = training_frame(offline_side(bookings, cutoff))
-    train_part = balanced(rows.where(~in_test_part())).persist()
-    test_part = rows.where(in_test_part()).persist()
+    rows = training_frame(offline_side(bookings, cutoff)).withColumn("is_test", in_test_part()).persist()
     try:
+        train_part = balanced(rows.where(~F.col("is_test")))
+        test_part = rows.where("is_test")
         fits = candidates(train_part.count(), max_depth, trees)
         wanted = {name: fits[name] for name in only or fits}
         prepared = Pipeline(stages=preprocessing(train_part)).fit(train_part)
@@ -190,8 +190,7 @@ def train(
             grades.append(evaluate(name, models[name], train_part, test_part).first().asDict())
         features.unpersist()
     finally:
-        train_part.unpersist()
-        test_part.unpersist()
+        rows.unpersist()
     selected = max(grades, key=lambda grade: (grade["f1_score"], grade["accuracy"], grade["model_name"]))["model_name"]
     report = bookings.sparkSession.createDataFrame(grades)  # one row per model
     return Trained(models, report.withColumn("is_selected", (F.col("model_name") == selected).cast("int")), selected)

@@ -19,14 +19,20 @@ def _cancel_rate():
 
 def summary(df: DataFrame) -> DataFrame:
     """Bookings, cancellations, cancel rate and mean daily rate; zeros when there are no rows."""
-    return df.agg(*_counts(), F.sum("adr").alias("adr")).select(
-        "booking_count",
-        "cancel_count",
-        _cancel_rate(),
-        half_even(ratio(F.col("adr"), F.col("booking_count")), 2).alias("avg_adr"),
+    return df.agg(*_counts(), *_adr_sums()).select(
+        "booking_count", "cancel_count", _cancel_rate(), _avg_adr().alias("avg_adr")
     )
 
 
+def _adr_sums():
+    return [F.sum("adr").alias("adr"), F.count("adr").alias("adr_rows")]
+
+
+def _avg_adr():
+    """Mean over the rows that have a rate."""
+    return half_even(ratio(F.col("adr"), F.col("adr_rows")), 2)
+
+
 def trend(df: DataFrame, granularity: str = "month") -> DataFrame:
     """Counts and cancel rate per day or month, in order; rows without a date belong to no period.
 
@@ -145,7 +151,7 @@ def sections(df: DataFrame) -> DataFrame:
     cells = (
         df.withColumn("period", _period_start("month"))
         .groupBy(*_CELL_KEYS)
-        .agg(*_counts(), F.sum("adr").alias("adr"), *_tag_measures())
+        .agg(*_counts(), *_adr_sums(), *_tag_measures())
     )
     measures = [name for name in cells.columns if name not in _CELL_KEYS]
     rolled = cells.groupingSets([[F.col(name) for name in kept] for kept in _SECTIONS.values()], *_CELL_KEYS).agg(
@@ -165,22 +171,21 @@ def sections(df: DataFrame) -> DataFrame:
     whole = F.col("section") == "summary"
     none = F.lit(None).cast("string")
 
-    def row(kind, code, name, bookings, canceled, adr):
+    def row(kind, code, name, bookings, canceled, average):
         return F.struct(
             kind.alias("section"), code.alias("code"), name.alias("name"), F.col(bookings).alias("booking_count"),
-            F.col(canceled).alias("cancel_count"), adr.alias("adr"),
+            F.col(canceled).alias("cancel_count"), average.alias("avg_adr"),
         )
 
-    own = row(F.col("section"), F.col("code"), F.col("name"), "booking_count", "cancel_count", F.when(whole, F.col("adr")))
-    missing = F.lit(None).cast(cells.schema["adr"].dataType)
-    tags = [row(F.lit("risk_factor"), none, F.lit(tag), f"n_{tag}", f"c_{tag}", missing) for tag in RISK_PREDICATES]
+    own = row(F.col("section"), F.col("code"), F.col("name"), "booking_count", "cancel_count", F.when(whole, _avg_adr()))
+    unset = F.lit(None).cast("double")
+    tags = [row(F.lit("risk_factor"), none, F.lit(tag), f"n_{tag}", f"c_{tag}", unset) for tag in RISK_PREDICATES]
     # The row over everything also carries the risk counts; they become rows of their own.
     rows = F.when(whole & (F.col("booking_count") > 0), F.array(own, *tags)).otherwise(F.array(own))
     return (
         named.where(whole | F.col("name").isNotNull())
         .select(F.inline(rows))
         .select(
-            "section", "code", "name", "booking_count", "cancel_count", _cancel_rate(),
-            F.when(F.col("adr").isNotNull(), half_even(ratio(F.col("adr"), F.col("booking_count")), 2)).alias("avg_adr"),
+            "section", "code", "name", "booking_count", "cancel_count", _cancel_rate(), "avg_adr"
         )
     )

@@ -10,6 +10,7 @@ from staylens import schemas as S
 from staylens.operators.joins import join_unique
 from staylens.operators.metrics import top_risk
 from staylens.sources.versions import read_version, write_version
+from staylens.streaming.events import accepted, parse_events, rejected
 from staylens.streaming.metrics import merge_states, metric_rows, rate_columns, state_of, summary_columns
 
 RECENT_ROWS = 10
@@ -137,6 +138,20 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
     return write
 
 
+def from_lines(out: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Put parsing before a batch function of events; lines that are no events go to `rejected` under `out`."""
+
+    def write_lines(lines: DataFrame, batch_id: int) -> None:
+        parsed = parse_events(lines).persist()
+        try:
+            write_version(rejected(parsed), f"{out}/rejected", batch_id)
+            write(accepted(parsed), batch_id)
+        finally:
+            parsed.unpersist()
+
+    return write_lines
+
+
 def realtime_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The outputs as tables: all batches of the row outputs, the newest of the snapshots."""
     from staylens.streaming.sinks import read_batches
