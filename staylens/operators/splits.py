@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staylens import schemas as S
-from staylens.functions.numbers import half_even
 from staylens.operators.bookings import slice_by_id
 from staylens.operators.cleaning import require_columns
 
@@ -96,7 +95,7 @@ def class_weights(df: DataFrame, label: str = S.LABEL) -> DataFrame:
     return t.select(
         "label",
         "class_rows",
-        half_even(F.col("t.n") / (F.col("t.classes") * F.col("class_rows"))).alias("weight"),
+        (F.col("t.n") / (F.col("t.classes") * F.col("class_rows"))).alias("weight"),
         ((F.col("t.classes") > 1) & (F.col("t.smallest") >= 2)).alias("can_stratify"),
     )
 

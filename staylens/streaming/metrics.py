@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from staylens import schemas as S
 from staylens.functions.numbers import four_digits, half_up, ratio
 
 # Calendar windows. Spark counts weeks from a Thursday, so four days lead to Monday.

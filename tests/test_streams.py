@@ -1,7 +1,5 @@
 """Streaming jobs: restarts, replays, late and damaged events."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from staylens import schemas as S
