@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import materialize, prepare, shingle_set
+from staylens.llm.common import materialize, mix, prepare, shingle_set
 from staylens.llm.components import connected_components
 
-#: Coordinates of a signature, and how many two signatures must share to be compared. Two sets of
-#: similarity 0.8 share 26 of 48 with a probability above 0.9999.
-COORDINATES = 48
-MATCHES = 26
+#: A coordinate is made of three minima, so that two texts which have little but frequent shingles in
+#: common seldom share one. Two sets of similarity 0.8 agree in a coordinate with probability 0.512, and in
+#: at least MATCHES of COORDINATES with probability 0.99998: that many must match before sets are compared.
+MINIMA = 3
+COORDINATES = 32
+MATCHES = 5
 SEED = 20_240_613
 
 #: A group of candidates beyond either number is split into blocks that are compared pair by pair.
@@ -68,19 +70,29 @@ def near_duplicates(
     )
 
 
-def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """The smallest of ``coordinates`` affine hashes of the set, each tagged with its coordinate."""
+def hash_family(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of the affine hashes whose minima make up a signature."""
     rng = np.random.default_rng(SEED)
-    factor = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64)
-    best = np.full(coordinates, np.iinfo(np.uint64).max)
-    for start in range(0, len(shingles), 4096):
-        part = shingles[start : start + 4096, None]
-        best = np.minimum(best, (part * factor + shift).min(axis=0))
-    return ((best >> np.uint64(24)) | (np.arange(coordinates, dtype=np.uint64) << np.uint64(40))).astype(np.int64)
+    factor = rng.integers(0, 1 << 63, coordinates * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factor, rng.integers(0, 1 << 63, coordinates * MINIMA, dtype=np.uint64)
+
+
+def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash of each coordinate's minima and of its position, as 64-bit integers."""
+    factor, shift = family
+    best = np.full(len(factor), np.iinfo(np.uint64).max)
+    for start in range(0, len(shingles), 2048):
+        best = np.minimum(best, (shingles[start : start + 2048, None] * factor + shift).min(axis=0))
+    best = best.reshape(-1, MINIMA)
+    value = np.arange(len(best), dtype=np.uint64)
+    for k in range(MINIMA):
+        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + best[:, k])
+    return value.view(np.int64)
 
 
 def _profiles(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
+    family = hash_family(coordinates)
+
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(text, width) for text in batch["text"]]
@@ -89,7 +101,7 @@ def _profiles(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
                     "doc_id": batch["doc_id"],
                     "n_shingles": [len(s) for s in sets],
                     "fingerprint": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "signature": [signature(s, coordinates) if len(s) else None for s in sets],
+                    "signature": [signature(s, family) if len(s) else None for s in sets],
                 }
             )
 
@@ -168,6 +180,8 @@ def _confirm(
         F.greatest("block", "other").alias("second"),
     )
 
+    family = hash_family(coordinates)
+
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         edges: list[tuple[int, int]] = []
         across = rows["first"].iat[0] != rows["second"].iat[0]
@@ -176,7 +190,7 @@ def _confirm(
             nodes = group["node"].tolist()
             found = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
             side = group["block"].to_numpy() if across else None
-            roots = link_sets(found, percent, coordinates, matches, side)
+            roots = link_sets(found, percent, family, matches, side)
             edges += [(nodes[i], nodes[r]) for i, r in enumerate(roots) if i != r]
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
@@ -184,7 +198,11 @@ def _confirm(
 
 
 def link_sets(
-    sets: list[np.ndarray], percent: int, coordinates: int, matches: int, side: np.ndarray | None = None
+    sets: list[np.ndarray],
+    percent: int,
+    family: tuple[np.ndarray, np.ndarray],
+    matches: int,
+    side: np.ndarray | None = None,
 ) -> list[int]:
     """For each set the position of the first set of its component. With ``side``, only sets of unlike sides are compared.
 
@@ -199,7 +217,7 @@ def link_sets(
         return i
 
     sizes = np.array([len(s) for s in sets])
-    signatures = np.stack([signature(s, coordinates) for s in sets])
+    signatures = np.stack([signature(s, family) for s in sets])
     starts = holders = None
     labels = np.arange(len(sets))
     for i in range(len(sets) - 1):
