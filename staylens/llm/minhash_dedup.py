@@ -163,7 +163,7 @@ def _confirm(
 
     full = (
         docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        .join(members.select("node", "grp", "blocks", "fingerprint"), "node")
+        .join(members.select("node", "grp", "blocks", "fingerprint").hint("merge"), "node")
         .mapInPandas(sets, "node long, grp long, blocks int, shingles binary")
     )
     # A block b of k meets the pairs (0, b) ... (b, b) ... (b, k - 1).
