@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.common import materialize, mix, prepare, shingle_set
@@ -70,6 +70,18 @@ def near_duplicates(
     )
 
 
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that have a near-duplicate with a smaller doc_id.
+
+    Of rows that repeat a doc_id, the one with the smallest text stays; rows with a null doc_id all stay.
+    """
+    dropped = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id()))
+    rows = docs.join(dropped.hint("merge"), docs["doc_id"] == dropped["_id"], "left_anti").withColumn("_key", key)
+    order = Window.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
+    return rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*docs.columns)
+
+
 def hash_family(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     """Factors and shifts of the affine hashes whose minima make up a signature."""
     rng = np.random.default_rng(SEED)

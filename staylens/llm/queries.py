@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staylens.llm import minhash_dedup
+from staylens.llm import (
+    ann,
+    embedding_dedup,
+    langid,
+    licenses,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    toxicity,
+)
+from staylens.llm.common import crc_remainder, prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +32,100 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {"op1_minhash_dedup": op1_minhash_dedup}
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, _toxicity_model(spark, docs, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs, crc_remainder(F.col("doc_id"), 5) != 0))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classify(docs, _quality_model(spark, docs, sf_dir))
+
+
+def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(_table(spark, sf_dir, "embeddings"))
+    return ann.search(index, index.rows.filter("vec_id % 20 = 0"))
+
+
+def _toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(docs, _table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 3) != 1)
+
+
+def _quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.QualityModel:
+    return quality.fit(docs, _table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 5) != 0)
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: documents that the quality classifier doesn't reject."""
+    return quality.keep_good(docs, _quality_model(spark, docs, sf_dir))
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: documents that aren't toxic."""
+    return toxicity.keep_clean(docs, _toxicity_model(spark, docs, sf_dir))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: one document of each group of near-duplicates (five words, 0.8)."""
+    return minhash_dedup.keep_first(docs)
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: documents as often as the mix of sources takes them."""
+    return mixing.repeat_documents(docs)
+
+
+def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: where the words of each document go."""
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("toxicity", clean_documents),
+    ("near_duplicates", distinct_documents),
+    ("mixing", mixed_documents),
+    ("packing", packed_documents),
+]
+
+QUERIES: dict[str, Query] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_source_mixing": op3_source_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
+    "op10_permutation_search": op10_permutation_search,
+}
 
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
@@ -47,6 +153,29 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL}
+OP2_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+    SELECT vec_id AS x, vec_id AS y FROM embeddings
+    UNION
+    SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), groups AS (
+    SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x
+), counts AS (
+    SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM groups LEFT JOIN counts USING (vec_id)
+"""
 
-STAGES: list = []
+ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": OP1_SQL,
+    "op2_embedding_dedup": OP2_SQL,
+    "op6_license_scan": licenses.oracle(),
+}
