@@ -15,19 +15,27 @@ from pyspark.sql import functions as F
 from staylens.llm.common import crc_remainder, prepare
 from staylens.llm.samples import labelled_texts
 
-#: At most so many labelled documents are used to fit, and so many words get a weight.
+#: At most so many labelled documents are used to fit, and so many words and beginnings of words get a weight.
 FIT_ROWS = 20_000
-FIT_WORDS = 2_000
+FIT_WORDS = 4_000
 #: A word is weighed if its share of toxic documents differs by so many standard errors, in so many documents.
 LEAST_DEVIATION = 4.0
 LEAST_DOCUMENTS = 5
 ROUNDS = 300
-SHRINK = 1e-4
+SHRINK = 2e-6
+#: Besides a word, its beginning is a feature: inflected forms share it.
+STEM = 4
 
 SENTENCE = re.compile(r"[^.!?\n。！？]+")
 WORD = re.compile(r"\w+")
 
 
+def features(text: str) -> set[str]:
+    """The words in lower case, and the beginnings of the longer ones with a star."""
+    words = set(WORD.findall(text.lower()))
+    return words | {word[:STEM] + "*" for word in words if len(word) > STEM}
+
+
 @dataclass
 class ToxicityModel:
     """Word weights and the intercept of the sentence score."""
@@ -39,7 +47,7 @@ class ToxicityModel:
         """(start, end, score) of every sentence with a weighed word; all others have the score of the intercept."""
         out = []
         for found in SENTENCE.finditer(text or ""):
-            hits = self.weights.keys() & set(WORD.findall(found.group().lower()))
+            hits = self.weights.keys() & features(found.group())
             if hits:
                 z = self.intercept + sum(self.weights[word] for word in sorted(hits))
                 out.append((found.start(), found.end(), float(1 / (1 + np.exp(-z)))))
@@ -72,7 +80,7 @@ def _screen(sample: DataFrame, toxic: float, n: int) -> list[str]:
         for batch in batches:
             every, bad = Counter(), Counter()
             for text, y in zip(batch["text"], batch["y"]):
-                found = set(WORD.findall(text.lower()))
+                found = features(text)
                 every.update(found)
                 if y:
                     bad.update(found)
@@ -100,7 +108,7 @@ def _learn(sample: DataFrame, words: list[str], share: float) -> ToxicityModel:
         for batch in batches:
             rest, hits = [], []
             for text in batch["text"]:
-                found = [index.keys() & set(WORD.findall(s.lower())) for s in SENTENCE.findall(text)]
+                found = [index.keys() & features(s) for s in SENTENCE.findall(text)]
                 rest.append(sum(not words for words in found))
                 hits.append([sorted(index[w] for w in words) for words in found if words])
             yield pd.DataFrame({"y": batch["y"], "rest": rest, "hits": hits})
