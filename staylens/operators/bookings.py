@@ -83,6 +83,8 @@ def filter_overview(
     conditions = [F.col(name) == value for name, value in equal.items() if value]
     if month:
         conditions.append(in_month(month))
+        if "arrival_month" in df.columns:  # folders of the stored table
+            conditions.append(F.col("arrival_month") == month)
     if risk_tag in RISK_PREDICATES:
         conditions.append(RISK_PREDICATES[risk_tag]())
     return _all(active_bookings(df), conditions)

@@ -22,12 +22,17 @@ def _on_or_after(day: str) -> Column:
 
 def offline_side(df: DataFrame, cutoff: str = OFFLINE_CUTOFF) -> DataFrame:
     """Rows for training. A missing date belongs to neither side."""
-    return require_columns(df, ["arrival_date"]).where(_on_or_before(cutoff))
+    return _in_folders(require_columns(df, ["arrival_date"]), "<=", cutoff).where(_on_or_before(cutoff))
 
 
 def realtime_side(df: DataFrame, start: str = REALTIME_START) -> DataFrame:
     """Rows that arrive as events."""
-    return require_columns(df, ["arrival_date"]).where(_on_or_after(start))
+    return _in_folders(require_columns(df, ["arrival_date"]), ">=", start).where(_on_or_after(start))
+
+
+def _in_folders(df: DataFrame, comparison: str, day: str) -> DataFrame:
+    """The bound that a day implies for the month folders, where the table has them."""
+    return df.where(f"arrival_month {comparison} '{day[:7]}'") if "arrival_month" in df.columns else df
 
 
 def split_counts(df: DataFrame, cutoff: str = OFFLINE_CUTOFF, start: str = REALTIME_START) -> DataFrame:

@@ -53,6 +53,15 @@ def filter_keyword(spark, sf):
     return B.filter_bookings(D.bookings(spark, sf), keyword="12").select(*S.LIST_COLUMNS)
 
 
+@query(
+    "filter_keyword_text",
+    f"""SELECT {_LIST} FROM active WHERE contains(cast(booking_id as varchar),'pr') OR contains(lower(country_name),'pr')
+        OR contains(lower(country_code),'pr')""",
+)
+def filter_keyword_text(spark, sf):
+    return B.filter_bookings(D.bookings(spark, sf), keyword="pR").select(*S.LIST_COLUMNS)
+
+
 @query("filter_month", f"SELECT {_LIST} FROM active WHERE strftime(arrival_date,'%Y-%m')='1998-02'")
 def filter_month(spark, sf):
     return B.filter_overview(D.bookings(spark, sf), month="1998-02").select(*S.LIST_COLUMNS)

@@ -8,6 +8,8 @@ from staylens import schemas as S
 from staylens.functions.labels import label_or_code
 from staylens.functions.wire import alias_float, alias_int, metric_field, metric_number
 from staylens.operators import cleaning as C
+from staylens.operators.bookings import active_bookings
+from staylens.operators.splits import realtime_side
 from staylens.plans import tables as D
 from staylens.plans.catalog import query
 from staylens.plans.oracle_tables import even, wire
@@ -38,12 +40,21 @@ def scan_clean_lenient_dates(spark, sf):
     return files.read_clean_csv(spark, path).select("booking_id", *S.DATE_COLUMNS, "is_deleted")
 
 
-@query("scan_table", f"SELECT {wire(S.CONTRACT_COLUMNS)} FROM active WHERE arrival_date >= DATE '1999-01-01'")
+@query("scan_table", f"SELECT {wire(S.CONTRACT_COLUMNS)} FROM active")
 def scan_table(spark, sf):
+    """All active rows of the stored table."""
     path = fresh_dir(spark, "bookings")
     files.write_bookings_table(D.bookings(spark, sf), path)
     rows = files.read_bookings_table(spark, path)
-    return rows.where((F.col("is_deleted") == 0) & (F.col("arrival_month") >= "1999-01")).select(*S.CONTRACT_COLUMNS)
+    return rows.where(F.col("is_deleted") == 0).select(*S.CONTRACT_COLUMNS)
+
+
+@query("scan_table_months", f"SELECT {wire(S.CONTRACT_COLUMNS)} FROM active WHERE arrival_date >= DATE '1999-01-01'")
+def scan_table_months(spark, sf):
+    """The realtime side of the stored table: the folders of earlier months aren't read."""
+    path = fresh_dir(spark, "bookings")
+    files.write_bookings_table(D.bookings(spark, sf), path)
+    return realtime_side(active_bookings(files.read_bookings_table(spark, path)), "1999-01-01").select(*S.CONTRACT_COLUMNS)
 
 
 @query("sink_clean_roundtrip", f"SELECT {wire(S.CONTRACT_COLUMNS)} FROM bookings")

@@ -135,20 +135,29 @@ def stream_predictions_sink(spark, sf):
     return K.read_batches(spark, out, S.PREDICTION_SCHEMA)
 
 
+def _deliver(spark, sf, write):
+    """Run a batch function over three deliveries, with a restart before each: the newest half of the events,
+    then the older half with every third of the newest again, then everything again."""
+    log = fresh_dir(spark, "delivered")
+    rows = D.predictions(spark, sf).where(F.col("source") == S.STREAM_SOURCE)
+    middle = rows.agg(F.percentile_approx("predicted_at", 0.5)).scalar()
+    new = rows.where(F.col("predicted_at") > middle)
+    old = rows.where(F.col("predicted_at") <= middle)
+    checkpoint = None
+    for delivery in (new, old.unionByName(new.where("prediction_id % 3 = 0")), rows):
+        delivery.write.mode("append").parquet(log)
+        stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA)
+        checkpoint = K.run_available(stream, write, checkpoint=checkpoint)
+
+
 @query(
     "stream_dedup",
     f"SELECT {_PRED} FROM predictions WHERE source='storm'",
 )
 def stream_dedup(spark, sf):
-    """Everything is delivered twice, the second time after a restart; each event counts once."""
-    log, out = fresh_dir(spark, "delivered"), fresh_dir(spark, "deduplicated")
-    delivery = D.predictions(spark, sf).where(F.col("source") == S.STREAM_SOURCE)
-    checkpoint = None
-    for _ in range(2):
-        delivery.write.mode("append").parquet(log)
-        stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA)
-        once = V.drop_redelivered(stream, ["prediction_id"], "predicted_at", "2 days")
-        checkpoint = K.run_available(once, K.append_batches(out), checkpoint=checkpoint)
+    """Events come late and again, over restarts; none is lost and each counts once."""
+    out = fresh_dir(spark, "deduplicated")
+    _deliver(spark, sf, K.append_once(out, ["prediction_id"]))
     return K.read_batches(spark, out, S.PREDICTION_SCHEMA)
 
 
@@ -220,9 +229,15 @@ def stream_snapshot_sink(spark, sf):
 def _trend(granularity):
     def build(spark, sf):
         out = fresh_dir(spark, f"trend-{granularity}")
-        trend = X.windowed_trend(_scored(spark, sf).withWatermark("predicted_at", "1 day"), granularity)
-        K.run_available(trend, K.merge_snapshot(out, ["label"]), mode="update")
-        return read_version(spark, out, trend.schema)
+        once, trend = K.append_once(f"{out}/events", ["prediction_id"]), K.merge_trend(f"{out}/trend", granularity)
+
+        def write(batch, batch_id):
+            once(batch, batch_id)
+            trend(read_version(spark, f"{out}/events", S.PREDICTION_SCHEMA, before=batch_id + 1), batch_id)
+
+        _deliver(spark, sf, write)
+        schema = X.trend_sums(D.predictions(spark, sf), granularity).schema
+        return X.with_cancel_rate(read_version(spark, f"{out}/trend", schema))
 
     return build
 
@@ -272,13 +287,14 @@ def stream_recent(spark, sf):
 # --- the whole realtime job ------------------------------------------------------------------
 
 
-def _realtime_job(spark, sf):
+def _realtime_job(spark, sf, deliveries=1):
     """Run every output of the job over the scored events, in several micro-batches."""
     log, out = fresh_dir(spark, "delivered"), fresh_dir(spark, "realtime")
     known = fresh_dir(spark, "bookings")
     files.write_lookup_table(D.bookings(spark, sf), known)
     rows = D.predictions(spark, sf).where(F.col("source") == S.STREAM_SOURCE)
-    rows.repartitionByRange(4, "predicted_at").write.parquet(log)
+    for _ in range(deliveries):
+        rows.repartitionByRange(4, "predicted_at").write.mode("append").parquet(log)
     stored = files.read_lookup_table(spark, known).select("booking_id", "hotel_name", "country_name", "market_segment")
     score = lambda batch: batch.withColumn("risk_level_name", risk.risk_name(F.col("risk_level")))
     stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA, max_files=2)
@@ -330,3 +346,24 @@ def stream_risk_snapshot(spark, sf):
 def stream_output_checks(spark, sf):
     tables = _realtime_job(spark, sf)
     return M.output_checks(tables["predictions"], tables["metrics"], tables["summary"]).drop("realtime_metrics")
+
+
+@query("stream_redelivered_summary", _RESOLVED + "SELECT * FROM (" + _SUMMARY.replace("FROM predictions WHERE source='storm'", "FROM resolved") + ")")
+def stream_redelivered_summary(spark, sf):
+    """The totals of the whole job when every event is delivered twice."""
+    return _realtime_job(spark, sf, deliveries=2)["summary"]
+
+
+@query(
+    "stream_job_trends",
+    _RESOLVED
+    + " UNION ALL ".join(
+        f"""SELECT '{g}' AS granularity, strftime(date_trunc('{g}', predicted_at),'%Y-%m-%d') AS label, count(*) AS inflow,
+            cast(sum(predicted_label) as bigint) AS predicted_cancellations, {_up('sum(predicted_label)::double/count(*)')} AS cancel_rate
+            FROM resolved GROUP BY 2"""
+        for g in ("day", "week", "month")
+    ),
+)
+def stream_job_trends(spark, sf):
+    """Day, week and month trends as the job stores them."""
+    return _realtime_job(spark, sf)["trends"]

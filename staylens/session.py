@@ -69,7 +69,9 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="staylens-"))
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="staylens-")
+    return _local_roots[context.applicationId]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from staylens import schemas as S
@@ -45,10 +47,14 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(~F.col("is_readable") | F.col("booking_id").isNull()).select("value", reason.alias("reason"))
 
 
-def drop_redelivered(events: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
-    """Each event once, although delivery is at least once.
+def first_deliveries(batch: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Each event once, although delivery is at least once and in any order.
 
-    A copy within the delay is recognised by its key; a copy that comes later is older than the
-    watermark and dropped as late. State holds the keys of one delay, not of the whole stream.
+    Of a held micro-batch, the rows whose keys no earlier batch had, and each key once. There is no
+    event-time cut, so an event counts however late it comes. Only the stored keys between the batch's
+    lowest and highest first key are read, which are few row groups while keys grow with time.
     """
-    return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+    low, high = (batch.agg(bound(keys[0])).scalar() for bound in (F.min, F.max))
+    earlier = seen.where((F.col(keys[0]) >= low) & (F.col(keys[0]) <= high)).alias("old")
+    same = reduce(lambda a, b: a & b, (F.col(f"new.{key}").eqNullSafe(F.col(f"old.{key}")) for key in keys))
+    return batch.dropDuplicates(keys).alias("new").join(earlier, same, "left_anti").select("new.*")

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from staylens import schemas as S
 from staylens.operators.joins import join_unique
 from staylens.operators.metrics import top_risk
-from staylens.sources.versions import read_version, write_version
-from staylens.streaming.events import accepted, parse_events, rejected
-from staylens.streaming.metrics import merge_states, metric_rows, rate_columns, state_of, summary_columns
+from staylens.sources.versions import complete_versions, read_version, write_version
+from staylens.streaming.events import accepted, first_deliveries, parse_events, rejected
+from staylens.streaming.metrics import (
+    merge_states,
+    merge_trends,
+    metric_rows,
+    rate_columns,
+    state_of,
+    summary_columns,
+    trend_sums,
+    with_cancel_rate,
+)
+from staylens.streaming.sinks import read_batches
 
 RECENT_ROWS = 10
 
@@ -39,6 +50,16 @@ RECENT_SCHEMA = T.StructType(
 )
 
 
+TREND_SCHEMA = T.StructType(
+    [
+        T.StructField("granularity", T.StringType()),
+        T.StructField("label", T.StringType()),
+        T.StructField("inflow", T.LongType()),
+        T.StructField("predicted_cancellations", T.LongType()),
+    ]
+)
+
+
 def in_batch_range(bookings: DataFrame, batch: DataFrame) -> DataFrame:
     """The bookings between the lowest and highest id of a batch: row groups outside are never read.
 
@@ -96,35 +117,61 @@ def _next_stamp(before: DataFrame, scored: DataFrame):
     return F.greatest(scored.agg(F.max("predicted_at")).scalar(), last + F.expr("interval 1 second"))
 
 
+def calendar_sums(scored: DataFrame) -> DataFrame:
+    """Sums per day, week and month of the event time."""
+    sums = [
+        trend_sums(scored, granularity).select(F.lit(granularity).alias("granularity"), "*")
+        for granularity in ("day", "week", "month")
+    ]
+    return reduce(DataFrame.unionByName, sums)
+
+
+def event_keys(batch: DataFrame) -> list[str]:
+    """What tells two events apart: the id of the prediction, else booking and creation time."""
+    return ["prediction_id"] if "prediction_id" in batch.columns else ["booking_id", "generated_at"]
+
+
 def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """The batch function of the realtime job.
 
     Events resolve against `bookings`, `score` adds the prediction columns, and the scored batch
     is held once for all outputs under `out`:
 
+    seen                      keys of the events of each batch; an event that comes again counts once
     predictions, unresolved   rows of each batch
+    trends                    sums per calendar day, week and month; late events count in their period
     state                     running sums per country, channel and overall
     summary, risk             snapshots from the state
     recent                    the last ten predictions
     metrics                   long metric rows, one set per batch
 
     Running totals are the previous version of the state plus the batch, so a replay of batch N
-    starts again from N-1 and every output is the same as the first time.
+    starts again from N-1 and every output is the same as the first time. A batch number below the
+    newest stored one means a fresh checkpoint over old outputs, and is refused.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        stored = complete_versions(spark, f"{out}/seen")
+        if stored and batch_id < stored[-1]:
+            raise RuntimeError(f"{out} holds batch {stored[-1]}, but the stream is at {batch_id}: wrong checkpoint")
+        delivered, keys = batch.persist(), event_keys(batch)
+        seen = read_batches(spark, f"{out}/seen", delivered.select(*keys).schema, before=batch_id)
+        batch = first_deliveries(delivered, seen, keys).persist()
         found = lookup(batch, bookings).persist()
         scored = score(resolved(found)).persist()
         event_only = [name for name in batch.columns if name not in bookings.columns]
         try:
+            write_version(batch.select(*keys), f"{out}/seen", batch_id)
             write_version(unresolved(found, *event_only), f"{out}/unresolved", batch_id)
             write_version(scored.select(*S.PREDICTION_SCHEMA.names), f"{out}/predictions", batch_id)
             before = read_version(spark, f"{out}/state", STATE_SCHEMA, before=batch_id)
             merged = merge_states(before.drop("updated_at"), state_of(scored))
             write_version(merged.withColumn("updated_at", _next_stamp(before, scored)), f"{out}/state", batch_id, keep=2)
-            state = read_version(spark, f"{out}/state", STATE_SCHEMA)
+            state = read_version(spark, f"{out}/state", STATE_SCHEMA, before=batch_id + 1)
+            trends = read_version(spark, f"{out}/trends", TREND_SCHEMA, before=batch_id)
+            merged = merge_trends(trends, calendar_sums(scored), ["granularity", "label"])
+            write_version(merged, f"{out}/trends", batch_id, keep=2)
             everything = state.where(F.col("dimension") == "all")
             write_version(everything.select(*summary_columns()), f"{out}/summary", batch_id, keep=2)
             keyed = state.where(F.col("dimension") != "all").select(*("dimension", "name"), *rate_columns())
@@ -132,7 +179,7 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
             write_version(metric_rows(state), f"{out}/metrics", batch_id)
             keep_recent(f"{out}/recent")(scored, batch_id)
         finally:
-            for held in (scored, found, batch):
+            for held in (scored, found, batch, delivered):
                 held.unpersist()
 
     return write
@@ -154,8 +201,6 @@ def from_lines(out: str, write: Callable[[DataFrame, int], None]) -> Callable[[D
 
 def realtime_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """The outputs as tables: all batches of the row outputs, the newest of the snapshots."""
-    from staylens.streaming.sinks import read_batches
-
     summary = T.StructType(
         [
             T.StructField("processed_count", T.LongType()),
@@ -179,5 +224,6 @@ def realtime_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
         "state": read_version(spark, f"{out}/state", STATE_SCHEMA),
         "summary": read_version(spark, f"{out}/summary", summary),
         "risk": read_version(spark, f"{out}/risk", risk),
+        "trends": with_cancel_rate(read_version(spark, f"{out}/trends", TREND_SCHEMA)),
         "recent": read_version(spark, f"{out}/recent", RECENT_SCHEMA),
     }

@@ -57,9 +57,23 @@ def rate_columns() -> list[Column]:
 def windowed_trend(scored: DataFrame, granularity: str, event_time: str = "predicted_at") -> DataFrame:
     """Inflow, predicted cancellations and rate per calendar day, week or month of the event time.
 
-    The caller sets the watermark. A month has no fixed length, so it is a truncated timestamp;
-    its state is one row per month.
+    On a stream the caller may set a watermark, which drops late rows; `sinks.merge_trend` loses none.
     """
+    return with_cancel_rate(trend_sums(scored, granularity, event_time))
+
+
+def with_cancel_rate(sums: DataFrame) -> DataFrame:
+    share = half_up(ratio(F.col("predicted_cancellations"), F.col("inflow")))
+    return sums.withColumn("cancel_rate", share)
+
+
+def merge_trends(before: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    added = [F.sum(name).alias(name) for name in ("inflow", "predicted_cancellations")]
+    return before.unionByName(sums).groupBy(*keys).agg(*added)
+
+
+def trend_sums(scored: DataFrame, granularity: str, event_time: str = "predicted_at") -> DataFrame:
+    """The mergeable sums per calendar period. A month has no fixed length, so it is a truncated timestamp."""
     if granularity == "month":
         start = F.date_trunc("month", event_time)
     else:
@@ -69,12 +83,7 @@ def windowed_trend(scored: DataFrame, granularity: str, event_time: str = "predi
         F.count("*").alias("inflow"), F.count_if(F.col("predicted_label") == 1).alias("predicted_cancellations")
     )
     label = F.col("_period") if granularity == "month" else F.col("_period.start")
-    return grouped.select(
-        F.date_format(label, "yyyy-MM-dd").alias("label"),
-        "inflow",
-        "predicted_cancellations",
-        half_up(ratio(F.col("predicted_cancellations"), F.col("inflow"))).alias("cancel_rate"),
-    )
+    return grouped.select(F.date_format(label, "yyyy-MM-dd").alias("label"), "inflow", "predicted_cancellations")
 
 
 # --- running state as a small table -------------------------------------------------------------
@@ -113,7 +122,7 @@ def merge_states(before: DataFrame, batch: DataFrame) -> DataFrame:
 def metric_rows(state: DataFrame) -> DataFrame:
     """The long metric rows of one update: 13 fixed ones and one per country and channel.
 
-    The three trend types carry the running totals; true calendar windows are `windowed_trend`.
+    The three trend types carry the running totals; true calendar windows are `trend_sums`.
     """
     share = four_digits(ratio(F.col("predicted_cancellations"), F.col("processed_count")))
     text = lambda name: F.col(name).cast("string")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from staylens.session import fresh_dir
-from staylens.sources.versions import read_version, write_version
+from staylens.sources.versions import complete_versions, read_version, write_version
+from staylens.streaming.events import first_deliveries
+from staylens.streaming.metrics import merge_trends, trend_sums
 
 BatchFunction = Callable[[DataFrame, int], None]
 
@@ -21,9 +23,35 @@ def append_batches(path: str) -> BatchFunction:
     return write
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    with_version = T.StructType([*schema.fields, T.StructField("v", T.LongType())])
-    return spark.read.schema(with_version).parquet(path).drop("v")
+def append_once(path: str, keys: list[str]) -> BatchFunction:
+    """Like `append_batches`, but events that an earlier micro-batch stored are left out."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        seen = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
+        write_version(first_deliveries(batch, seen, keys), path, batch_id)
+        batch.unpersist()
+
+    return write
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """The rows of all finished micro-batches, or of those with a lower id than ``before``."""
+    versions = [v for v in complete_versions(spark, path) if before is None or v < before]
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/v={v}" for v in versions))
+
+
+def merge_trend(path: str, granularity: str) -> BatchFunction:
+    """Calendar sums so far plus the batch's: rows count in their own period, however late they come."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sums = trend_sums(batch, granularity)
+        before = read_version(batch.sparkSession, path, sums.schema, before=batch_id)
+        write_version(merge_trends(before, sums, ["label"]), path, batch_id, keep=2)
+
+    return write
 
 
 def overwrite_snapshot(path: str) -> BatchFunction:

@@ -1,15 +1,16 @@
-"""Every registered query against its DuckDB twin at sf0.001."""
+"""Every registered query of the library itself against its DuckDB twin at sf0.001."""
 
 import pytest
 
 import __spark_entry__ as entry
+from staylens import plans
 from tests.oracle_check import compare
 
 # Fits a full forest; the small forest of train_and_select covers the same code.
 SLOW = {"train_rf"}
 
 
-@pytest.mark.parametrize("key", [key for key in entry.queries() if key not in SLOW])
+@pytest.mark.parametrize("key", [key for key in plans.queries() if key not in SLOW])
 def test_query_matches_its_twin(spark, sf_dir, duckdb_tables, key):
     assert compare(spark, duckdb_tables, sf_dir, key) == ""
 

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from staylens import plans
 from staylens.operators import bookings as B
 from staylens.operators import overview as O
 from staylens.operators import predictions as P
@@ -40,7 +40,7 @@ def stored(spark, sf_dir):
 
 
 def test_no_python_and_no_cross_join_in_any_lazy_query(spark, sf_dir):
-    for key, build in entry.queries().items():
+    for key, build in plans.queries().items():
         if not key.startswith(EAGER):
             text = plan(build(spark, sf_dir))
             assert "Python" not in text and "ArrowEval" not in text, key
@@ -62,6 +62,13 @@ def test_month_folders_are_pruned(spark, sf_dir):
     files.write_bookings_table(D.bookings(spark, sf_dir), path)
     text = plan(files.read_bookings_table(spark, path).where("arrival_month = '1998-02'"))
     assert re.search(r"PartitionFilters: \[[^\]]*1998-02", text)
+    stored_table = files.read_bookings_table(spark, path)
+    for rows in (
+        B.filter_overview(stored_table, month="1998-02"),
+        L.offline_side(stored_table, "1998-02-10"),
+        L.realtime_side(stored_table, "1998-02-11"),
+    ):
+        assert re.search(r"PartitionFilters: \[[^\]]*1998-02", plan(rows))
 
 
 def test_pages_are_top_k(stored):

@@ -1,5 +1,6 @@
 """Streaming jobs: restarts, replays, late and damaged events."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from staylens import schemas as S
@@ -109,20 +110,51 @@ def test_append_mode_emits_only_closed_windows(spark):
     assert labels == [f"2017-01-{day:02d}" for day in range(1, 6)]  # the watermark is the 6th at noon
 
 
-def test_late_rows_merge_into_open_windows_after_a_restart(spark):
+def test_late_rows_count_in_their_period_after_a_restart(spark):
     log, out = fresh_dir(spark, "events"), fresh_dir(spark, "windows")
     checkpoint = None
     deliveries = [
         [(1, 1, 0.9, "2017-01-13 08:00:00"), (2, 2, 0.1, "2017-01-14 08:00:00")],
-        [(3, 3, 0.1, "2017-01-13 20:00:00"), (4, 4, 0.9, "2017-01-01 00:00:00")],  # late but open; far too late
+        [(3, 3, 0.1, "2017-01-13 20:00:00"), (4, 4, 0.9, "2017-01-01 00:00:00")],  # late; twelve days late
     ]
     for rows in deliveries:
         predictions(spark, *rows).write.mode("append").parquet(log)
-        stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA).withWatermark("predicted_at", "1 day")
-        trend = X.windowed_trend(stream, "day")
-        checkpoint = K.run_available(trend, K.merge_snapshot(out, ["label"]), mode="update", checkpoint=checkpoint)
-    got = {r.label: (r.inflow, r.cancel_rate) for r in versions.read_version(spark, out, trend.schema).collect()}
-    assert got == {"2017-01-13": (2, 0.5), "2017-01-14": (1, 0.0)}
+        stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA)
+        checkpoint = K.run_available(stream, K.merge_trend(out, "day"), checkpoint=checkpoint)
+    sums = versions.read_version(spark, out, X.trend_sums(stream, "day").schema)
+    got = {r.label: (r.inflow, r.cancel_rate) for r in X.with_cancel_rate(sums).collect()}
+    assert got == {"2017-01-01": (1, 1.0), "2017-01-13": (2, 0.5), "2017-01-14": (1, 0.0)}
+
+
+def test_redelivered_events_count_once_in_the_job(spark):
+    known, out = names(spark, (1, "H", "PRT", "Direct")), fresh_dir(spark, "job")
+    write = J.realtime_outputs(out, known, score)
+    new = predictions(spark, (5, 1, 0.9, "2017-01-13 09:00:00"), (6, 99, 0.9, "2017-01-13 09:00:00"))
+    write(new.union(new), 0)
+    write(new.union(predictions(spark, (1, 1, 0.1, "2016-12-31 09:00:00"))), 1)
+    tables = J.realtime_tables(spark, out)
+    assert tables["summary"].first().processed_count == tables["predictions"].count() == 2
+    assert spark.read.parquet(f"{out}/unresolved").count() == 1
+    days = {r.label: r.inflow for r in tables["trends"].where("granularity = 'day'").collect()}
+    assert days == {"2016-12-31": 1, "2017-01-13": 1}
+
+
+def test_a_fresh_checkpoint_over_old_outputs_is_refused(spark):
+    known, out = names(spark, (1, "H", "PRT", "Direct")), fresh_dir(spark, "job")
+    write = J.realtime_outputs(out, known, score)
+    rows = predictions(spark, (5, 1, 0.9, "2017-01-13 09:00:00"))
+    write(rows, 0)
+    write(rows, 1)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        write(rows, 0)
+
+
+def test_unfinished_batches_are_not_read(spark):
+    out = fresh_dir(spark, "batches")
+    rows = predictions(spark, (5, 1, 0.9, "2017-01-13 09:00:00"))
+    K.append_batches(out)(rows, 0)
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/v=1")
+    assert K.read_batches(spark, out, rows.schema).count() == 1
 
 
 def test_weeks_start_on_monday(spark):
