@@ -12,7 +12,6 @@ from staylens.functions.numbers import half_even
 from staylens.functions.wire import alias_float, alias_int, first_present, metric_field, metric_number
 
 GRANULARITIES = ("day", "week", "month")
-RISK_ITEM = "name string, value double, booking_count bigint, predicted_cancellations bigint"
 
 
 def latest_rows(metrics: DataFrame, types: list[str] = S.METRIC_TYPES) -> DataFrame:

@@ -358,11 +358,12 @@ def dashboard_totals_default(spark, sf):
     return M.dashboard_totals(offline, M.serve_summary(snapshot, D.stored_metrics(spark, sf)))
 
 
-@query(
-    "realtime_output_checks",
-    """SELECT (SELECT count(*) FROM predictions WHERE source='storm') AS prediction_results, (SELECT count(*) FROM metrics) AS realtime_metrics,
-       (SELECT count(*) FROM predictions WHERE source='storm') AS processed_count, true AS tables_ok, true AS snapshots_ok""",
-)
+_OUTPUT_CHECKS = """SELECT (SELECT count(*) FROM predictions WHERE source='storm') AS prediction_results, (SELECT count(*) FROM metrics) AS realtime_metrics,
+       (SELECT count(*) FROM predictions WHERE source='storm') AS processed_count, true AS tables_ok, true AS snapshots_ok"""
+
+
+@query("pipeline_checks", _OUTPUT_CHECKS)
+@query("realtime_output_checks", _OUTPUT_CHECKS)
 def realtime_output_checks(spark, sf):
     return M.output_checks(D.predictions(spark, sf), D.stored_metrics(spark, sf), _summary_snapshot(spark, sf))
 
