@@ -101,17 +101,23 @@ def _page_bounds(page, size, default_size: int) -> tuple[int, int]:
 
 
 def slice_by_id(df: DataFrame, offset: int, count: int, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
-    """The rows at positions [offset, offset + count) in id order.
+    """The rows at positions [offset, offset + count) in id order: `count` rows, or what is left, also where ids repeat.
 
     Near the front this is a top-k per task. Far back that would move every row before the slice
-    through one task, so there only the ids are range sorted and ranked, and the slice's ids
-    fetch the rows; up to a page's worth of them is broadcast.
+    through one task, so there only the ids are range sorted and ranked; the slice lies between
+    two ids, a range that the scan prunes by, and only the first and last id are cut to their rows.
     """
     if offset + count <= top_k_rows:
         return df.orderBy("booking_id").offset(offset).limit(count)
     ranked = dense_position(df.select("booking_id"), "booking_id")
-    wanted = ranked.where(F.col("position").between(offset + 1, offset + count)).select("booking_id")
-    return df.join(F.broadcast(wanted) if count <= MAX_PAGE_SIZE else wanted, "booking_id", "left_semi")
+    inside = F.col("position").between(offset + 1, offset + count)
+    ends = ranked.where(inside).agg(F.min("booking_id"), F.max("booking_id")).first()  # one row
+    if ends[0] is None:
+        return df.limit(0)
+    at_ends = ranked.where(inside & F.col("booking_id").isin(*ends)).groupBy("booking_id").count()
+    rows_at = {row["booking_id"]: row["count"] for row in at_ends.collect()}  # two rows
+    between = df.where((F.col("booking_id") > ends[0]) & (F.col("booking_id") < ends[1]))
+    return reduce(DataFrame.unionByName, (df.where(F.col("booking_id") == key).limit(n) for key, n in rows_at.items()), between)
 
 
 def paginate(

@@ -8,7 +8,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     FeatureHasher,
-    Imputer,
     OneHotEncoder,
     SQLTransformer,
     StandardScaler,
@@ -16,6 +15,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from staylens import schemas as S
@@ -24,48 +24,52 @@ from staylens.functions.labels import sql_literal
 from staylens.functions.numbers import half_even
 from staylens.operators.cleaning import require_columns
 from staylens.operators.predictions import confusion_matrix, quality
-from staylens.operators.splits import category_modes, class_weights, in_test_part, offline_side, split_counts
+from staylens.operators.splits import (
+    category_profile,
+    class_weights,
+    exact_test_part,
+    feature_stats,
+    offline_side,
+    split_counts,
+)
+from staylens.session import use_checkpoints
 
-# A category list lives on the driver and in every task, so its size is checked; a column with
-# more values than this is hashed to a fixed width instead.
+# A category list lives on the driver and in every task, so its size is checked.
 MAX_CATEGORIES = 10_000
-HASHED_WIDTH = 1 << 14
 
-# Leaves per tree double with the depth, and all trees live on the driver. 2^16 leaves bound the
-# model whatever the data size; MLlib's own limit is 30.
-MAX_DEPTH = 16
+# MLlib's own limit; a caller whose trees outgrow the driver passes less.
+MAX_DEPTH = 30
+MAX_BINS = 256
 
 MODEL_VERSION_SUFFIX = "_v1"
 
 
-def wide_categories(train: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> list[str]:
-    """The categorical columns with too many values to index; one sketch pass, one row back."""
-    sizes = train.agg(*(F.approx_count_distinct(name).alias(name) for name in columns)).first()
-    return [name for name in columns if sizes[name] > MAX_CATEGORIES]
-
-
-def preprocessing(train: DataFrame) -> list:
+def preprocessing(
+    train: DataFrame, hashed: tuple[str, ...] = (), hashed_width: int = 1 << 14, max_categories: int = MAX_CATEGORIES
+) -> list:
     """Stages from the 24 feature columns to one vector.
 
-    Missing numbers become the median and are standardised; missing categories become the most
-    frequent value and are one-hot encoded, an unseen value being the zero vector.
+    Missing numbers become the exact median and are standardised; missing categories become the most
+    frequent value and are one-hot encoded, an unseen value being the zero vector. The columns named in
+    `hashed` are hashed to `hashed_width` places instead; any other column with more than
+    `max_categories` values is an error.
     """
-    hashed = wide_categories(train)
     indexed = [name for name in S.CATEGORICAL_FEATURES if name not in hashed]
-    modes = {row["column_name"]: row["mode"] for row in category_modes(train).collect()}  # one row per column
+    profile = {row["column_name"]: row for row in category_profile(train).collect()}  # one row per column
+    wide = [name for name in indexed if name in profile and profile[name]["n_values"] > max_categories]
+    if wide:
+        raise ValueError(f"more than {max_categories} values in {wide}: name them in `hashed`, or raise `max_categories`")
+    medians = {row["column_name"]: row["median"] for row in feature_stats(train).collect()}  # likewise
     filled = [
-        f"coalesce(`{name}`, {sql_literal(modes[name])}) AS `{name}_filled`" if name in modes else f"`{name}` AS `{name}_filled`"
+        f"coalesce(`{name}`, {sql_literal(profile[name]["mode"])}) AS `{name}_filled`" if name in profile else f"`{name}` AS `{name}_filled`"
         for name in S.CATEGORICAL_FEATURES
     ]
-    numbers = [f"cast(`{name}` AS double) AS `{name}_number`" for name in S.NUMERIC_FEATURES]
+    numbers = [
+        f"coalesce(cast(`{name}` AS double), {medians.get(name, 0.0)!r}D) AS `{name}_number`" for name in S.NUMERIC_FEATURES
+    ]
     stages = [
         SQLTransformer(statement=f"SELECT *, {', '.join(filled + numbers)} FROM __THIS__"),
-        Imputer(
-            strategy="median",
-            inputCols=[f"{name}_number" for name in S.NUMERIC_FEATURES],
-            outputCols=[f"{name}_imputed" for name in S.NUMERIC_FEATURES],
-        ),
-        VectorAssembler(inputCols=[f"{name}_imputed" for name in S.NUMERIC_FEATURES], outputCol="numbers"),
+        VectorAssembler(inputCols=[f"{name}_number" for name in S.NUMERIC_FEATURES], outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
     ]
     vectors = ["scaled"]
@@ -84,7 +88,7 @@ def preprocessing(train: DataFrame) -> list:
     if hashed:
         stages.append(
             FeatureHasher(
-                inputCols=[f"{name}_filled" for name in hashed], outputCol="hashed", numFeatures=HASHED_WIDTH,
+                inputCols=[f"{name}_filled" for name in hashed], outputCol="hashed", numFeatures=hashed_width,
                 categoricalCols=[f"{name}_filled" for name in hashed],
             )
         )
@@ -92,7 +96,7 @@ def preprocessing(train: DataFrame) -> list:
     return stages + [VectorAssembler(inputCols=vectors, outputCol="features")]
 
 
-def candidates(train_rows: int, max_depth: int = MAX_DEPTH, trees: int = 120) -> dict:
+def candidates(train_rows: int, max_depth: int = MAX_DEPTH, trees: int = 120, max_bins: int = MAX_BINS) -> dict:
     """The two classifiers with balanced weights.
 
     The penalty equals an inverse strength of 1 on the summed loss; MLlib averages the loss, hence
@@ -104,8 +108,8 @@ def candidates(train_rows: int, max_depth: int = MAX_DEPTH, trees: int = 120) ->
             maxIter=1000, regParam=1.0 / max(train_rows, 1), standardization=False, **common
         ),
         "random_forest": RandomForestClassifier(
-            numTrees=trees, minInstancesPerNode=2, maxDepth=max_depth, seed=42, featureSubsetStrategy="sqrt",
-            cacheNodeIds=True, **common
+            numTrees=trees, minInstancesPerNode=2, maxDepth=max_depth, maxBins=max_bins, seed=42, featureSubsetStrategy="sqrt",
+            cacheNodeIds=True, maxMemoryInMB=1024, **common
         ),
     }
 
@@ -127,12 +131,13 @@ def balanced(train: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core: a fit visits the data many times, so idle cores cost many times.
+    """The rows by booking id in `spark.sql.shuffle.partitions` partitions, sorted.
 
-    With more partitions than cores, as on any large table, the rows stay where they are.
+    A forest draws its samples per partition, so the fit depends on that setting alone, not on the
+    cores or the files. One shuffle serves all passes of the fits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "booking_id").sortWithinPartitions("booking_id")
 
 
 @dataclass
@@ -169,21 +174,25 @@ def evaluate(name: str, model: PipelineModel, train: DataFrame, test: DataFrame)
 
 
 def train(
-    bookings: DataFrame, cutoff: str, only: list[str] | None = None, max_depth: int = MAX_DEPTH, trees: int = 120
+    bookings: DataFrame, cutoff: str, only: list[str] | None = None, max_depth: int = MAX_DEPTH, trees: int = 120,
+    max_bins: int = MAX_BINS, hashed: tuple[str, ...] = (), max_categories: int = MAX_CATEGORIES,
 ) -> Trained:
-    """Fit the candidates on the offline side, grade them on a held-out fifth and select the best by F1.
+    """Fit the candidates on the offline side, grade them on a held-out fifth of each class and select the best by F1.
 
     The feature columns are held for the many passes of the fits, so the table is read once; on a
-    lost executor Spark reads its part again.
+    lost executor Spark reads its part again. Tree nodes reach over many jobs, so their ids are cut
+    off from their lineage in the shared folder.
     """
-    rows = training_frame(offline_side(bookings, cutoff)).withColumn("is_test", in_test_part()).persist()
+    use_checkpoints(bookings.sparkSession)
+    source = training_frame(offline_side(bookings, cutoff)).persist()
+    rows = exact_test_part(source, label="label").persist()
     try:
         train_part = balanced(rows.where(~F.col("is_test")))
         test_part = rows.where("is_test")
-        fits = candidates(train_part.count(), max_depth, trees)
+        fits = candidates(train_part.count(), max_depth, trees, max_bins)
         wanted = {name: fits[name] for name in only or fits}
-        prepared = Pipeline(stages=preprocessing(train_part)).fit(train_part)
-        features = spread(prepared.transform(train_part).select("label", "weight", "features")).persist()
+        prepared = Pipeline(stages=preprocessing(train_part, hashed, max_categories=max_categories)).fit(train_part)
+        features = spread(prepared.transform(train_part).select("booking_id", "label", "weight", "features")).persist()
         models, grades = {}, []
         for name, estimator in wanted.items():
             models[name] = PipelineModel(stages=[*prepared.stages, estimator.fit(features)])
@@ -191,6 +200,7 @@ def train(
         features.unpersist()
     finally:
         rows.unpersist()
+        source.unpersist()
     selected = max(grades, key=lambda grade: (grade["f1_score"], grade["accuracy"], grade["model_name"]))["model_name"]
     report = bookings.sparkSession.createDataFrame(grades)  # one row per model
     return Trained(models, report.withColumn("is_selected", (F.col("model_name") == selected).cast("int")), selected)
@@ -205,10 +215,8 @@ def metrics_document(trained: Trained, bookings: DataFrame, cutoff: str, start:
         F.max_by(F.struct(*measures), "is_selected").alias("metrics"),
         F.max_by(F.struct(*cells), "is_selected").alias("confusion_matrix"),
     )
-    rows = offline_side(bookings, cutoff)
-    split = rows.agg(
-        F.count_if(~in_test_part()).alias("train_rows"), F.count_if(in_test_part()).alias("test_rows")
-    )
+    rows = exact_test_part(training_frame(offline_side(bookings, cutoff)), label="label")
+    split = rows.agg(F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"))
     counts = split_counts(bookings, cutoff, start).agg(
         F.struct(F.max("offline_rows").alias("offline_rows"), F.max("realtime_rows").alias("realtime_rows"))
     )
@@ -287,6 +295,51 @@ def score(bookings: DataFrame, model: PipelineModel, model_version: str) -> Data
     )
 
 
+def linear_probability(bookings: DataFrame, model: PipelineModel, name: str = "linear_probability") -> DataFrame:
+    """Add the probability of a fitted logistic regression, by plain column expressions.
+
+    The same value as the model's own, without vectors, so that it can be read, pushed into SQL and checked.
+    """
+    by_kind = {type(stage).__name__: stage for stage in model.stages}
+    if "FeatureHasherModel" in by_kind or "FeatureHasher" in by_kind:
+        raise ValueError("hashed columns have no coefficient per value")
+    scaler, indexer, fit = by_kind["StandardScalerModel"], by_kind["StringIndexerModel"], by_kind["LogisticRegressionModel"]
+    weights = fit.coefficients.toArray().tolist()
+    score: Column = F.lit(float(fit.intercept))
+    for feature, mean, deviation in zip(S.NUMERIC_FEATURES, scaler.mean.toArray().tolist(), scaler.std.toArray().tolist()):
+        weight = weights.pop(0)
+        if deviation:
+            score = score + (F.col(f"{feature}_number") - F.lit(mean)) / F.lit(deviation) * F.lit(weight)
+    for column, labels in zip(indexer.getInputCols(), indexer.labelsArray):
+        effects = [part for label in labels for part in (F.lit(label), F.lit(weights.pop(0)))]
+        if effects:
+            score = score + F.coalesce(F.create_map(*effects)[F.col(column)], F.lit(0.0))
+    filled = model.stages[0].transform(bookings)
+    return filled.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-score))).select(*bookings.columns, name)
+
+
+def steepest(model: PipelineModel, train: DataFrame) -> DataFrame:
+    """One row: the largest slope of the penalised loss at a fitted logistic regression, 0 at its optimum.
+
+    `train` are the weighted rows of the fit. Slopes are weighted means of the features, so one pass sums them.
+    """
+    fit = model.stages[-1]
+    rows = model.transform(train).select("features", "label", "weight", vector_to_array("probability")[1].alias("p"))
+    mean = lambda weight: vector_to_array(Summarizer.mean(F.col("features"), weight))
+    expected, seen = F.col("weight") * F.col("p"), F.col("weight") * F.col("label")
+    sums = rows.agg(
+        mean(expected).alias("expected"), mean(seen).alias("seen"), F.sum(expected).alias("e"), F.sum(seen).alias("s"),
+        F.sum("weight").alias("w"),
+    )
+    weights = F.array(*(F.lit(float(value)) for value in fit.coefficients.toArray()))
+    slopes = F.zip_with(
+        F.zip_with("expected", "seen", lambda x, y: (x * F.col("e") - y * F.col("s")) / F.col("w")),
+        weights,
+        lambda slope, weight: F.abs(slope + weight * F.lit(float(fit.getRegParam()))),
+    )
+    return sums.select(F.greatest(F.array_max(slopes), F.abs(F.col("e") - F.col("s")) / F.col("w")).alias("slope"))
+
+
 def prediction_records(bookings: DataFrame, model: PipelineModel, model_version: str) -> DataFrame:
     """The nine fields of a prediction record per booking."""
     return score(bookings, model, model_version).select(

@@ -164,9 +164,16 @@ def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> Dat
     ).select("own.column_name", "median", "own.mean", "own.deviation")
 
 
-def category_modes(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
-    """Most frequent value per categorical feature, the smallest among equals, from one pass."""
+def category_profile(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
+    """Per categorical feature the most frequent value, the smallest among equals, its rows and the number of values; one pass."""
     counts = _long(df, columns, "string").groupBy("column_name", "value").agg(F.count("*").alias("n"))
     return counts.groupBy("column_name").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"), F.max("n").alias("row_count")
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
+        F.max("n").alias("row_count"),
+        F.count("*").alias("n_values"),
     )
+
+
+def category_modes(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
+    """Most frequent value per categorical feature, and its rows."""
+    return category_profile(df, columns).drop("n_values")

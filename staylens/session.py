@@ -79,9 +79,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/staylens/{label}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df):
-    """Materialise to the shared folder and cut the lineage; survives lost executors."""
-    spark = df.sparkSession
+def use_checkpoints(spark: SparkSession) -> None:
+    """Let checkpoints go to the shared folder, unless the context has one already."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
+def reliable_checkpoint(df):
+    """Materialise to the shared folder and cut the lineage; survives lost executors."""
+    use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -119,6 +119,10 @@ def test_filters_pages_and_deleted_rows(spark):
     assert ids(B.paginate(active, page=2, size=3)) == [5]
     assert ids(B.paginate(active, page=0, size=1000)) == [1, 2, 4, 5]
     assert ids(B.paginate(active, page=2, size=3, top_k_rows=2)) == [5]
+    twice = active.union(active)
+    for start, count in ((0, 3), (1, 4), (2, 1), (3, 2), (6, 5), (8, 2)):
+        expected = [1, 1, 2, 2, 4, 4, 5, 5][start:start + count]
+        assert ids(B.slice_by_id(twice, start, count)) == ids(B.slice_by_id(twice, start, count, top_k_rows=0)) == expected
     assert ids(B.page_after(active, last_id=2, size=1)) == [4]
     assert tuple(B.page_totals(active, 3).first()) == (4, 2)
     assert tuple(B.page_totals(active.where("false"), 3).first()) == (0, 0)
