@@ -160,7 +160,8 @@ def serve_recent(snapshot: DataFrame, stored: DataFrame, limit: int = 10) -> Dat
 def top_risk(rows: DataFrame, limit: int = 5) -> DataFrame:
     """The highest rates per dimension with a total order for ties.
 
-    Input has one row per key, already aggregated, so a dimension's rows are few.
+    Input has one row per key, already aggregated. Each task keeps the first rows of a dimension
+    before the shuffle (Spark's group limit on a row number), so no task holds a dimension.
     """
     order = Window.partitionBy("dimension").orderBy(F.desc("rate"), F.desc("booking_count"), "name")
     return (

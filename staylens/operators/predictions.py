@@ -38,12 +38,12 @@ def recent(predictions: DataFrame, bookings: DataFrame, limit: int = 10) -> Data
     """The latest stream predictions with their bookings.
 
     The limit applies before the join, which is on a unique key; the `limit` ids then filter the
-    bookings scan as a broadcast, so neither table is shuffled.
+    bookings scan, without a hint: Catalyst knows the size of a limit and broadcasts a small one.
     """
     newest = (
         _from_stream(predictions).orderBy(F.desc("predicted_at"), F.desc("prediction_id")).limit(limit)
     )
-    wanted = bookings.join(F.broadcast(newest.select("booking_id")), "booking_id", "left_semi")
+    wanted = bookings.join(newest.select("booking_id"), "booking_id", "left_semi")
     return with_booking(newest, wanted).orderBy(F.desc("business_time"), F.desc("prediction_id"))
 
 

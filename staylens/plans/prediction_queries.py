@@ -251,17 +251,6 @@ def serve_summary_stored(spark, sf):
     return M.serve_summary(_missing(_summary_snapshot(spark, sf)), D.stored_metrics(spark, sf))
 
 
-@query(
-    "serve_summary_waiting",
-    """SELECT 0::bigint AS processed_count, 0::bigint AS high_risk_count, 0.0::double AS average_cancel_probability,
-       null::varchar AS updated_at, 'waiting' AS status, 'none' AS source""",
-)
-def serve_summary_waiting(spark, sf):
-    """Neither a snapshot nor a summary metric exists: no stored window carries the type `summary`."""
-    metrics = D.stored_metrics(spark, sf).where(F.col("metric_type") != "summary")
-    return M.serve_summary(_missing(_summary_snapshot(spark, sf)), metrics)
-
-
 @query(
     "serve_trend", f"SELECT *, 'day' AS granularity, 'running' AS status, 'redis' AS source FROM (SELECT {_POINT})"
 )

@@ -341,11 +341,12 @@ def stream_risk_snapshot(spark, sf):
 @query(
     "stream_output_checks",
     f"""{_RESOLVED}, sizes AS (SELECT count(*) AS n FROM resolved)
-        SELECT n AS prediction_results, n AS processed_count, true AS tables_ok, true AS snapshots_ok FROM sizes""",
+        SELECT n AS prediction_results, n AS processed_count, 13 + (SELECT count(*) FROM (SELECT DISTINCT dimension, name FROM keyed)) AS realtime_metrics,
+          true AS tables_ok, true AS snapshots_ok FROM sizes""",
 )
 def stream_output_checks(spark, sf):
     tables = _realtime_job(spark, sf)
-    return M.output_checks(tables["predictions"], tables["metrics"], tables["summary"]).drop("realtime_metrics")
+    return M.output_checks(tables["predictions"], M.latest_rows(tables["metrics"]), tables["summary"])
 
 
 @query("stream_redelivered_summary", _RESOLVED + "SELECT * FROM (" + _SUMMARY.replace("FROM predictions WHERE source='storm'", "FROM resolved") + ")")

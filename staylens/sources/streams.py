@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def kafka_lines(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
-    """Event text from a Kafka topic, from the earliest offset on the first run; the connector jar is the caller's."""
+def kafka_lines(spark: SparkSession, servers: str, topic: str, max_offsets: int = 1_000_000, **options) -> DataFrame:
+    """Event text from a Kafka topic, from the earliest offset on the first run; the connector jar is the caller's.
+
+    A micro-batch takes at most `max_offsets` messages, the rest waits for the next.
+    """
     return (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
+        .option("maxOffsetsPerTrigger", max_offsets)
         .options(**options)
         .load()
         .select(F.col("value").cast("string").alias("value"))

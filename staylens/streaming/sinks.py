@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from staylens.session import fresh_dir
 from staylens.sources.versions import complete_versions, read_version, write_version
@@ -91,3 +92,16 @@ def run_available(
     )
     query.awaitTermination()
     return checkpoint
+
+
+def run_until_stopped(
+    stream: DataFrame, write: BatchFunction, interval: str, checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
+    """A micro-batch per `interval`, such as "10 seconds", until the caller stops the query. The checkpoint is the caller's to keep."""
+    return (
+        stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=interval)
+        .start()
+    )

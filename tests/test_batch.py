@@ -275,3 +275,11 @@ def test_batch_of_one_day(spark):
     df = df.withColumns({"cancel_probability": F.col("p").cast("decimal(6,4)"), "predicted_at": F.col("at").cast("timestamp")})
     row = P.daily_batches(df).first()
     assert tuple(row) == ("storm-2017-01-13", "2017-01-13", "00:30:00-03:30:00", 4, 2, 1, 0.4375, "storm", "2017-01-13 03:30:00")
+
+
+def test_a_summary_without_snapshot_or_metric_waits(spark):
+    snapshot = spark.createDataFrame(
+        [], "processed_count bigint, high_risk_count bigint, average_cancel_probability double, updated_at string")
+    row = M.serve_summary(snapshot, spark.createDataFrame([], S.METRIC_SCHEMA)).first()
+    assert row.asDict() == {"processed_count": 0, "high_risk_count": 0, "average_cancel_probability": 0.0,
+                            "updated_at": None, "status": "waiting", "source": "none"}

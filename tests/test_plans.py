@@ -8,6 +8,7 @@ import pytest
 
 from staylens import plans
 from staylens.operators import bookings as B
+from staylens.operators import metrics as M
 from staylens.operators import overview as O
 from staylens.operators import predictions as P
 from staylens.operators import splits as L
@@ -95,3 +96,15 @@ def test_windows_over_rows_are_partitioned(stored):
 
 def test_unused_line_join_is_dropped(spark, sf_dir):
     assert "lineitem" not in plan(D.bookings(spark, sf_dir).groupBy("market_segment").count())
+
+
+def test_top_rows_are_cut_before_the_shuffle(spark):
+    rows = spark.range(1000).selectExpr("id % 3 as dimension", "cast(id as string) as name", "id / 7 as rate",
+                                        "id as booking_count", "id as predicted_cancellations")
+    shown = tree(M.top_risk(rows))
+    assert shown.rindex("WindowGroupLimit") > shown.index("Exchange")
+    assert M.top_risk(rows).count() == 15
+
+
+def test_recent_rows_filter_the_bookings_without_a_shuffle(spark, sf_dir, stored):
+    assert "SortMergeJoin" not in tree(P.recent(D.predictions(spark, sf_dir), stored))

@@ -170,3 +170,17 @@ def test_running_summary_is_the_same_in_batch_and_stream(spark):
     totals = X.running_summary(streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA, max_files=1))
     K.run_available(totals, K.overwrite_snapshot(out), mode="complete")
     assert versions.read_version(spark, out, totals.schema).collect() == X.running_summary(rows).collect()
+
+
+def test_a_running_query_takes_files_that_come_later(spark):
+    log, out = fresh_dir(spark, "late-log"), fresh_dir(spark, "late-out")
+    spark.range(3).write.parquet(log)
+    stream = streams.parquet_stream(spark, log, spark.range(1).schema)
+    query = K.run_until_stopped(stream, K.append_batches(out), "1 second", fresh_dir(spark, "late-checkpoint"))
+    try:
+        query.processAllAvailable()
+        spark.range(3, 8).write.mode("append").parquet(log)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(r.id for r in K.read_batches(spark, out, spark.range(1).schema).collect()) == list(range(8))
