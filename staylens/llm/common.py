@@ -34,6 +34,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A class is hot when it has one row in this many; so there are at most this many hot classes.
+HOT_CLASSES = 1_000
+
+
+def join_class(rows: DataFrame, classes: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``rows`` with ``classes``, unique by ``key``, whose column ``copies`` says how many rows each has.
+
+    The rows of hot classes meet their class by broadcast, of at most HOT_CLASSES rows, and those without a
+    key have none: both stay where they are; the others are shuffled by the key. Both tables are read several
+    times, so the caller should hold them.
+    """
+    hot = F.col("copies") * HOT_CLASSES >= rows.count()
+    near = rows.join(F.broadcast(classes.filter(hot)), key)
+    others = rows.filter(F.col(key).isNotNull()).join(F.broadcast(classes.filter(hot).select(key)), key, "left_anti")
+    out = near.unionByName(others.join(classes.filter(~hot), key, how))
+    if how == "left":
+        out = out.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import materialize, prepare
+from staylens.llm.common import join_class, materialize, prepare
 from staylens.llm.components import connected_components
 
 #: A pair at the threshold is missed with this probability; closer pairs less often.
@@ -66,17 +66,22 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     )
     found = materialize(_compare(hashed, bits, threshold), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    same = keyed.filter("key is not null").join(hashed.select("key", "node"), "key").filter("vec_id != node")
-    several = same.join(hashed.select(F.col("node").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    # A vec_id with several vectors connects their classes.
+    vector = F.xxhash64("key")
+    usable_rows = keyed.filter("key is not null").select("vec_id", "key")
+    several = usable_rows.groupBy("vec_id").agg(F.min(vector).alias("low"), F.max(vector).alias("high")).filter("low != high")
+    several = materialize(usable_rows.join(several, "vec_id", "left_semi"), "repeated")
+    several = join_class(several, hashed.select("key", "node", "copies"), "key", "inner")
     edges = found.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     components = connected_components(edges.union(several.select(F.col("vec_id").alias("a"), F.col("node").alias("b"))))
     labelled = hashed.select("key", "node", "copies").join(links, "key", "left").join(components, "node", "left")
     labelled = labelled.select(
         "key",
+        "copies",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "node").alias("component_id"),
     )
-    out = keyed.select("vec_id", "key").join(labelled, "key", "left").select(
+    out = join_class(keyed.select("vec_id", "key"), materialize(labelled, "labelled"), "key").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),

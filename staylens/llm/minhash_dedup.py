@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import materialize, mix, prepare, shingle_set
+from staylens.llm.common import join_class, materialize, mix, prepare, shingle_set
 from staylens.llm.components import connected_components
 
 #: A coordinate is made of three minima, so that two texts which have little but frequent shingles in
@@ -42,26 +42,29 @@ def near_duplicates(
     """
     prepare(docs.sparkSession)
     profiles = materialize(_profiles(docs, width, coordinates), "profiles")
+    can_link = F.expr("n_shingles > 0 and doc_id is not null")
+    linkable = profiles.filter(can_link)
     classes = materialize(
-        profiles.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy("fingerprint")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
+        linkable.groupBy("fingerprint").agg(
+            F.min("doc_id").alias("node"),
+            F.count("*").alias("copies"),
+            F.first("n_shingles").alias("n"),
+            F.first("signature").alias("signature"),
+        ),
         "classes",
     )
     groups = connected_components(_collisions(classes, matches))
     links = _confirm(docs, classes, groups, width, percent, coordinates, matches)
-    # A doc_id with several texts stands for all of its classes.
-    repeated = (
-        profiles.filter("n_shingles > 0 and doc_id is not null")
-        .join(classes.select("fingerprint", "node"), "fingerprint")
-        .filter("doc_id != node")
-        .join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    )
-    components = connected_components(links.union(repeated))
-    labelled = classes.select("fingerprint", "node").join(components, "node", "left")
-    labelled = labelled.select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    out = profiles.select("doc_id", "n_shingles", "fingerprint").join(labelled, "fingerprint", "left")
+    # A doc_id with several texts connects their classes.
+    text = F.xxhash64("fingerprint")
+    several = linkable.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low != high")
+    repeated = materialize(linkable.join(several, "doc_id", "left_semi").select("doc_id", "fingerprint"), "repeated")
+    repeated = join_class(repeated, classes.select("fingerprint", "node", "copies"), "fingerprint", "inner")
+    components = connected_components(links.union(repeated.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
+    labelled = classes.select("fingerprint", "node", "copies").join(components, "node", "left")
+    labelled = labelled.select("fingerprint", "copies", F.coalesce("component", "node").alias("component_id"))
+    keyed = profiles.select("doc_id", "n_shingles", F.when(can_link, F.col("fingerprint")).alias("fingerprint"))
+    out = join_class(keyed, materialize(labelled, "labelled"), "fingerprint")
     out = out.withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     )
