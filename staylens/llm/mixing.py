@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
     all sizes by weight; no target exceeds MOST_COPIES times its source's size, and the excess is shared
     again by weight among the rest until none does. There is a row per source from here on.
 
-    In the order of size by weight, the first sources are at their limit: the share of a unit of weight
+    In the order of limit by weight, the first sources are at their limit, and a unit of weight of the others
+    gets an equal part of what these leave.
     """
     sources = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -85,7 +86,7 @@ def round_copies(rows: pd.DataFrame, seed: Sequence[int], last: bool) -> pd.Data
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), size: Column | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) for every row of ``docs`` (doc_id, source, text).
+    """(doc_id, size, source_size, target, taken, copies, source) for every row of ``docs`` (doc_id, source, text).
 
     size is the number of words unless given; taken is copies times size, repeats counted, with at most
     MOST_COPIES copies. A document's expected copies are its source's target by its source's size, whole
@@ -126,9 +127,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), size: Column | No
         open_rows = rounded.filter("not settled").drop("settled")
         open_rows = open_rows.withColumn("node", F.floor(F.col("node") / FAN_IN))
         nodes, level = -(-nodes // FAN_IN), level + 1
-    out = done.join(targets.select("place", "source_size", "target"), "place")
+    out = done.join(targets.select("place", "source", "source_size", "target"), "place")
     taken = (F.col("copies") * F.col("size")).alias("taken")
-    return out.select("doc_id", "size", "source_size", "target", taken, "copies")
+    return out.select("doc_id", "size", "source_size", "target", taken, "copies", "source")
 
 
 def _round_level(rows: DataFrame, level: int, last: bool) -> DataFrame:
@@ -146,15 +147,18 @@ def _round_level(rows: DataFrame, level: int, last: bool) -> DataFrame:
 def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Rows that repeat a doc_id share out their decisions in the order of their texts.
+    Rows that repeat doc_id, source and size share out their decisions in the order of their texts, the most
+    copies first. Decisions are counted, not gathered, so a doc_id may repeat without limit.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    decisions = mix(docs, weights).groupBy(key.alias("_key")).agg(
-        F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("_copies")
-    )
-    order = Window.partitionBy("_key").orderBy("_size")
-    rows = docs.withColumns({"_key": key, "_size": word_count(F.col("text"))})
-    rows = rows.withColumn("_row", F.row_number().over(order)).join(decisions.hint("merge"), "_key")
-    rows = rows.withColumn("_copies", F.element_at("_copies", F.col("_row"))["copies"]).filter("_copies > 0")
+    row = ["doc_id", "source", "size"]
+    many = [F.sum((F.col("copies") >= n).cast("long")).alias(f"_{n}") for n in range(1, MOST_COPIES + 1)]
+    decisions = mix(docs, weights).groupBy(*[F.col(c).alias(f"_{c}") for c in row]).agg(*many)
+    rows = docs.withColumn("_words", word_count(F.col("text")))
+    order = Window.partitionBy("doc_id", "source", "_words").orderBy(F.col("text").asc_nulls_last())
+    rows = rows.withColumn("_row", F.row_number().over(order))
+    same = [rows[c].eqNullSafe(decisions[f"_{d}"]) for c, d in zip(["doc_id", "source", "_words"], row)]
+    rows = rows.join(decisions.hint("merge"), same)
+    copies = sum((F.col("_row") <= F.col(f"_{n}")).cast("int") for n in range(1, MOST_COPIES + 1))
+    rows = rows.withColumn("_copies", copies).filter("_copies > 0")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*[docs[c] for c in docs.columns])
+    return rows.select(*docs.columns)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from staylens.llm import ann, embedding_dedup, langid, licenses, minhash_dedup, mixing, packing, quality, sharding, toxicity
+from staylens.llm import ann, common, embedding_dedup, langid, licenses, minhash_dedup, mixing, packing, quality, sharding, toxicity
 from staylens.llm.components import connected_components
 from tests.oracle_check import compare
 
@@ -78,6 +78,31 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "9", "None"]
 
 
+def test_a_repeated_id_connects_the_classes_of_its_texts(spark, monkeypatch):
+    """Whether classes are joined by broadcast or by shuffle."""
+    a, b, c = ("alpha beta gamma", "delta epsilon zeta", "eta theta iota")
+    docs = spark.createDataFrame([(1, a), (2, b), (9, a), (9, b), (5, c), (6, c), (7, ""), (8, None)], "doc_id long, text string")
+    vectors = {a: [1.0, 0.0, 0.0], b: [0.0, 1.0, 0.0], c: [0.0, 0.0, 1.0], "": [0.0, 0.0, 0.0], None: None}
+    table = spark.createDataFrame([(i, vectors[t]) for i, t in docs.collect()], "vec_id long, embedding array<double>")
+    expected = [(1, 1), (2, 1), (5, 5), (6, 5), (7, 7), (8, 8), (9, 1), (9, 1)]
+    for hot in (1_000, 0):
+        monkeypatch.setattr(common, "HOT_CLASSES", hot)
+        found = minhash_dedup.near_duplicates(docs, width=2).select("doc_id", "component_id")
+        assert sorted(map(tuple, found.collect())) == expected
+        found = embedding_dedup.near_duplicates(table).select("vec_id", "component_id")
+        assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_repeated_ids_share_out_their_copies(spark):
+    """By source: all rows have one id and one size, a third of them a null id."""
+    rows = [(None if i % 3 == 0 else 4, f"w{i % 2} x", s) for s in "ab" for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    decided = Counter()
+    for r in mixing.mix(docs).collect():
+        decided[r["doc_id"], r["source"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.repeat_documents(docs).collect()) == +decided
+
+
 def test_large_groups_are_split_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK_TEXTS", 8)
     base = [f"w{i}" for i in range(60)]
