@@ -16,8 +16,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     an empty table gives an empty table.
 
     Alternating large-star and small-star steps: each joins a node's neighbours to the smallest one, so
-    the number of edges never grows. A round is aggregated map side, joined on the node (adaptive
-    execution splits a hub's rows) and written to the shared folder.
+    the number of edges never grows. A round is aggregated map side, joined on the node and written to the
+    shared folder. So are the smallest neighbours: adaptive execution can split a hub's rows in a join of
+    two shuffled tables, but not where one side is aggregated in the same stage.
     """
     stars = materialize(
         edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
@@ -44,13 +45,13 @@ def _large_star(stars: DataFrame) -> DataFrame:
     both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
         stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    smallest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    smallest = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "smallest")
     return (
         both.filter("v > u").join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
     )
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
-    smallest = stars.groupBy("hi").agg(F.min("lo").alias("m"))
+    smallest = materialize(stars.groupBy("hi").agg(F.min("lo").alias("m")), "smallest")
     moved = stars.join(smallest, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.union(smallest.select("hi", F.col("m").alias("lo"))).distinct()
