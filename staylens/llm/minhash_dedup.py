@@ -78,9 +78,11 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows that repeat a doc_id, the one with the smallest text stays; rows with a null doc_id all stay.
     """
-    dropped = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    dropped = near_duplicates(docs, width, percent).filter("not kept")
+    dropped = dropped.select(F.col("doc_id").cast("string").alias("_key")).distinct()
+    # The same key for join and window: the texts are shuffled once.
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id()))
-    rows = docs.join(dropped.hint("merge"), docs["doc_id"] == dropped["_id"], "left_anti").withColumn("_key", key)
+    rows = docs.withColumn("_key", key).join(dropped.hint("merge"), "_key", "left_anti")
     order = Window.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
     return rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*docs.columns)
 

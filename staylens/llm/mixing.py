@@ -150,14 +150,14 @@ def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> D
     Rows that repeat doc_id, source and size share out their decisions in the order of their texts, the most
     copies first. Decisions are counted, not gathered, so a doc_id may repeat without limit.
     """
-    row = ["doc_id", "source", "size"]
     many = [F.sum((F.col("copies") >= n).cast("long")).alias(f"_{n}") for n in range(1, MOST_COPIES + 1)]
-    decisions = mix(docs, weights).groupBy(*[F.col(c).alias(f"_{c}") for c in row]).agg(*many)
-    rows = docs.withColumn("_words", word_count(F.col("text")))
-    order = Window.partitionBy("doc_id", "source", "_words").orderBy(F.col("text").asc_nulls_last())
-    rows = rows.withColumn("_row", F.row_number().over(order))
-    same = [rows[c].eqNullSafe(decisions[f"_{d}"]) for c, d in zip(["doc_id", "source", "_words"], row)]
-    rows = rows.join(decisions.hint("merge"), same)
+    # One key, equal where its fields are or are both null: window and join share a shuffle of the texts.
+    key_type = "struct<doc_id:bigint,source:string,size:bigint>"
+    decisions = mix(docs, weights).groupBy(F.struct("doc_id", "source", "size").cast(key_type).alias("_key")).agg(*many)
+    words = word_count(F.col("text")).alias("size")
+    rows = docs.withColumn("_key", F.struct("doc_id", "source", words).cast(key_type))
+    order = Window.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
+    rows = rows.withColumn("_row", F.row_number().over(order)).join(decisions.hint("merge"), "_key")
     copies = sum((F.col("_row") <= F.col(f"_{n}")).cast("int") for n in range(1, MOST_COPIES + 1))
     rows = rows.withColumn("_copies", copies).filter("_copies > 0")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
