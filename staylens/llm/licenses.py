@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staylens.llm.common import materialize
 
-# Wording of public licence texts, after normalise_sentence(). Sentences with one identifier mean the same.
+# Wording of public licence texts, in lower case, without punctuation. Sentences with one identifier mean the same.
 SENTENCES = {
     "released under the mit license": "MitRef",
     "licensed under the mit license": "MitRef",
@@ -92,29 +92,43 @@ RULES = [
     ("Proprietary", ["Reserved"]),
 ]
 
-#: A sentence ends at a line break, or after a stop, colon or semicolon with a blank behind it; "2.0" holds together.
+#: A piece ends at a line break, or after a stop, colon or semicolon with a blank behind it; "2.0" holds together.
 SENTENCE_END = r"[.;:!?]+[ \t]+|[.;:!?]*[\r\n]+"
 #: A run of other characters than a-z and 0-9 counts as one blank.
 FILLER = "[^a-z0-9]+"
+#: Words that lead a comment line; other leaders are FILLER.
+LEADER = r"(^|[\r\n])[ \t@]*+(?:dnl|rem|c)(?![^ \t\r\n])"
+#: A list number in brackets at the beginning of a line, which is a piece of its own as "1." is; "(c)" is a copyright sign.
+BRACKETED = r"((?:^|[\r\n])[^a-z0-9\r\n]*+(?!(?<=\()c\))[0-9a-z]{1,3}\))[ \t]+"
+#: A piece that is more than a list number.
+WORDS = r"\n(?!(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})(?:\n|\z))[^\n]"
 
 
-def normalise_sentence(sentence: Column) -> Column:
-    """The sentence in lower case, its words joined by single blanks, without punctuation."""
-    return F.trim(F.regexp_replace(F.lower(sentence), FILLER, " "))
+def pieces(text: Column) -> Column:
+    """The text in lower case, only words: one blank between them, a line break before and after each piece."""
+    lines = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), LEADER, "$1")
+    lines = F.regexp_replace(F.regexp_replace(lines, BRACKETED, "$1\n"), SENTENCE_END, "\n")
+    words = F.regexp_replace(F.concat(F.lit("\n"), lines, F.lit("\n")), "[^a-z0-9\n]+", " ")
+    return F.regexp_replace(words, " ?\n[ \n]*", "\n")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, each between commas; others are a ``?``.
 
+    A known sentence begins and ends with a piece and may run over several: lines that are wrapped, and stops,
+    colons and semicolons inside it. The longest one counts. List numbers between sentences are left out.
     Runs of ``?`` are one, so a long text without licences is a single mark.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    longest = 2 * max(map(len, SENTENCES))  # no sentence beyond it is known
-    pieces = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
-    plain = F.transform(
-        pieces, lambda s: F.when(F.length(s) <= longest, normalise_sentence(s)).otherwise(F.lit("?"))
+    longest_first = "|".join(s.replace(" ", "[ \n]") for s in sorted(SENTENCES, key=len, reverse=True))
+    parts = F.split(F.regexp_replace(pieces(text), rf"\n({longest_first})(?=\n)", "\t=$1\t"), "\t")
+    ids = F.transform(
+        parts,
+        lambda s: F.when(s.startswith("="), F.element_at(known, F.translate(F.substring(s, 2, 1 << 30), "\n", " ")))
+        .when(s.rlike(WORDS), F.lit("?"))
+        .otherwise(F.lit("")),
     )
-    ids = F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit("?")))
+    ids = F.filter(ids, lambda s: s != "")
     return F.regexp_replace(F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")), r"(,\?)+", ",?")
 
 

@@ -1,6 +1,7 @@
 """The training-data operators against SQL, brute force and edge cases: nulls, ties, repeats, empty tables, odd columns."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -331,6 +332,111 @@ def test_licence_rules(spark):
     assert licenses.scan(odd_documents(spark)).count() == 12 and licenses.scan(docs.limit(0)).count() == 0
 
 
+#: For each rule of licenses.RULES, in order, its official text wrapped as published.
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+APACHE_REF = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License."""
+GPL_LATER = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version."""
+GPL_REST = """
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program{0}"""
+GPL3, GPL2 = GPL_LATER.format(":", ",", 3), GPL_LATER.format(";", ";", 2)
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+CREATIVE = "This work is licensed under a Creative\nCommons {} 4.0\nInternational License."
+OFFICIAL = [
+    "MIT License\n\n" + MIT_GRANT,
+    MIT_GRANT,
+    "This project is licensed under\nthe MIT License.",
+    APACHE_REF + "\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+    "This work is licensed under the Apache\nLicense, Version 2.0.",
+    GPL3 + GPL_REST.format(".  If not, see\n<https://www.gnu.org/licenses/>."),
+    GPL3,
+    "This work is licensed under the GNU General Public License, version\n3.",
+    GPL2 + GPL_REST.format("; if not, see\n<https://www.gnu.org/licenses/>."),
+    GPL2,
+    "Licensed under the GNU General\nPublic License, version 2.",
+    "Licensed under the GNU Lesser General\nPublic License, version 3.",
+    "Licensed under the GNU Lesser General Public License, version\n2.1.",
+    "Licensed under the GNU Affero General\nPublic License, version 3.",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    BSD3,
+    BSD2,
+    "Licensed under the BSD 3-Clause\nLicense.",
+    "Licensed under the BSD 2-Clause\nLicense.",
+    CREATIVE.format("Attribution"),
+    CREATIVE.format("Attribution-ShareAlike"),
+    CREATIVE.format("Attribution-NonCommercial"),
+    "Licensed under\nCC BY-NC-SA 4.0.",
+    "Licensed under\nCC BY-ND 4.0.",
+    "This work has been dedicated to the public\ndomain under CC0 1.0.",
+    "This is free and unencumbered software released into the\npublic domain.\n\nAnyone is free to copy it.",
+    "The MIT\nLicense",
+    "All rights\nreserved.",
+]
+
+
+def test_licence_rules_on_wrapped_texts(spark):
+    def forms(text):
+        lines = text.split("\n")
+        yield text
+        yield text.replace("\n", "\r\n")
+        yield "\n\n".join(" ".join(paragraph.split("\n")) for paragraph in text.split("\n\n"))
+        for leader in (" * ", "// ", "# ", "dnl ", "  REM ", "> "):
+            yield "\n".join((leader + line).rstrip() for line in lines)
+        yield "\n".join(line + " " * 2_000 for line in lines)
+        yield re.sub(r"(?m)^([123])\. ", r"(\1) ", text)
+        yield f"Some words about other things.\n\n{text}\n\nAnd more of them"
+
+    texts = [(i, text) for i, official in enumerate(OFFICIAL) for text in forms(official)]
+    docs = spark.createDataFrame([(100 * j + i, text) for j, (i, text) in enumerate(texts)], "doc_id long, text string")
+    assert len(OFFICIAL) == len(licenses.RULES)
+    for row in licenses.scan(docs).collect():
+        name, ids = licenses.RULES[row["doc_id"] % 100]
+        where = texts[row["doc_id"] // 100][1]
+        assert (row["licenses"], row["unmatched"] in ("", "Apache2Comply")) == (name, True), where
+        assert ",".join(ids) in row["sentence_ids"], where
+
+
+def test_every_licence_sentence_is_reachable(spark):
+    rows = [(i, "x\n" + sentence.replace(" ", "\n") + "\ny") for i, sentence in enumerate(licenses.SENTENCES)]
+    rows += [(1000, "(c) All rights reserved"), (1001, "(a) All rights reserved"), (1002, "not all rights\nreserved"), (1003, "12\n" * 50_000)]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(licenses.SENTENCES.values())) | {1000: "", 1001: "Reserved", 1002: "", 1003: ""}
+
+
 def test_shards(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sharding.assign(docs, 8, str(tmp_path / "map")).collect()
