@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from staylens import schemas as S
 
 _DAMAGED = "_damaged"
+#: Tells events apart that have a null in their keys.
+DIGEST = "_digest"
 
 # Every field is read as text, so that a field of an unexpected type cannot spoil the record.
 _TEXT_EVENT = T.StructType(
@@ -47,14 +49,25 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(~F.col("is_readable") | F.col("booking_id").isNull()).select("value", reason.alias("reason"))
 
 
+def with_digest(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Add DIGEST: of all columns where a key is null, as such events have no name of their own; else null."""
+    unnamed = reduce(lambda a, b: a | b, (F.col(key).isNull() for key in keys))
+    whole = F.to_json(F.struct(*(F.col(name).cast("string").alias(name) for name in sorted(events.columns))))
+    return events.withColumn(DIGEST, F.when(unnamed, F.sha2(whole, 256)))
+
+
 def first_deliveries(batch: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Each event once, although delivery is at least once and in any order.
 
-    Of a held micro-batch, the rows whose keys no earlier batch had, and each key once. There is no
-    event-time cut, so an event counts however late it comes. Only the stored keys between the batch's
-    lowest and highest first key are read, which are few row groups while keys grow with time.
+    Of a held micro-batch, the rows whose keys no earlier batch had, and each key once. Events with a null
+    in the keys are the same only if all their columns are. Both tables come from with_digest().
+    There is no event-time cut, so an event counts however late it comes. Only the stored keys between the
+    batch's lowest and highest first key are read, which are few row groups while keys grow with time, and
+    those without a first key.
     """
     low, high = (batch.agg(bound(keys[0])).scalar() for bound in (F.min, F.max))
-    earlier = seen.where((F.col(keys[0]) >= low) & (F.col(keys[0]) <= high)).alias("old")
-    same = reduce(lambda a, b: a & b, (F.col(f"new.{key}").eqNullSafe(F.col(f"old.{key}")) for key in keys))
-    return batch.dropDuplicates(keys).alias("new").join(earlier, same, "left_anti").select("new.*")
+    first = F.col(keys[0])
+    earlier = seen.where(((first >= low) & (first <= high)) | first.isNull()).alias("old")
+    names = [*keys, DIGEST]
+    same = reduce(lambda a, b: a & b, (F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}")) for name in names))
+    return batch.dropDuplicates(names).alias("new").join(earlier, same, "left_anti").select("new.*")

@@ -11,7 +11,7 @@ from staylens import schemas as S
 from staylens.operators.joins import join_unique
 from staylens.operators.metrics import top_risk
 from staylens.sources.versions import complete_versions, read_version, write_version
-from staylens.streaming.events import accepted, first_deliveries, parse_events, rejected
+from staylens.streaming.events import DIGEST, accepted, first_deliveries, parse_events, rejected, with_digest
 from staylens.streaming.metrics import (
     merge_states,
     merge_trends,
@@ -127,7 +127,7 @@ def calendar_sums(scored: DataFrame) -> DataFrame:
 
 
 def event_keys(batch: DataFrame) -> list[str]:
-    """What tells two events apart: the id of the prediction, else booking and creation time."""
+    """What tells two events apart: the id of the prediction, else booking and creation time; see first_deliveries() for nulls."""
     return ["prediction_id"] if "prediction_id" in batch.columns else ["booking_id", "generated_at"]
 
 
@@ -137,7 +137,7 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
     Events resolve against `bookings`, `score` adds the prediction columns, and the scored batch
     is held once for all outputs under `out`:
 
-    seen                      keys of the events of each batch; an event that comes again counts once
+    seen                      keys of the events of each batch, a digest where one is null; an event that comes again counts once
     predictions, unresolved   rows of each batch
     trends                    sums per calendar day, week and month; late events count in their period
     state                     running sums per country, channel and overall
@@ -155,14 +155,16 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
         stored = complete_versions(spark, f"{out}/seen")
         if stored and batch_id < stored[-1]:
             raise RuntimeError(f"{out} holds batch {stored[-1]}, but the stream is at {batch_id}: wrong checkpoint")
-        delivered, keys = batch.persist(), event_keys(batch)
-        seen = read_batches(spark, f"{out}/seen", delivered.select(*keys).schema, before=batch_id)
-        batch = first_deliveries(delivered, seen, keys).persist()
+        keys = event_keys(batch)
+        delivered = with_digest(batch, keys).persist()
+        seen = read_batches(spark, f"{out}/seen", delivered.select(*keys, DIGEST).schema, before=batch_id)
+        fresh = first_deliveries(delivered, seen, keys).persist()
+        batch = fresh.drop(DIGEST)
         found = lookup(batch, bookings).persist()
         scored = score(resolved(found)).persist()
         event_only = [name for name in batch.columns if name not in bookings.columns]
         try:
-            write_version(batch.select(*keys), f"{out}/seen", batch_id)
+            write_version(fresh.select(*keys, DIGEST), f"{out}/seen", batch_id)
             write_version(unresolved(found, *event_only), f"{out}/unresolved", batch_id)
             write_version(scored.select(*S.PREDICTION_SCHEMA.names), f"{out}/predictions", batch_id)
             before = read_version(spark, f"{out}/state", STATE_SCHEMA, before=batch_id)
@@ -179,7 +181,7 @@ def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame],
             write_version(metric_rows(state), f"{out}/metrics", batch_id)
             keep_recent(f"{out}/recent")(scored, batch_id)
         finally:
-            for held in (scored, found, batch, delivered):
+            for held in (scored, found, fresh, delivered):
                 held.unpersist()
 
     return write

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from staylens.session import fresh_dir
 from staylens.sources.versions import complete_versions, read_version, write_version
-from staylens.streaming.events import first_deliveries
+from staylens.streaming.events import DIGEST, first_deliveries, with_digest
 from staylens.streaming.metrics import merge_trends, trend_sums
 
 BatchFunction = Callable[[DataFrame, int], None]
@@ -28,9 +28,9 @@ def append_once(path: str, keys: list[str]) -> BatchFunction:
     """Like `append_batches`, but events that an earlier micro-batch stored are left out."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
         seen = read_batches(batch.sparkSession, path, batch.schema, before=batch_id)
-        write_version(first_deliveries(batch, seen, keys), path, batch_id)
+        batch = with_digest(batch, keys).persist()
+        write_version(first_deliveries(batch, with_digest(seen, keys), keys).drop(DIGEST), path, batch_id)
         batch.unpersist()
 
     return write

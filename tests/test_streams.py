@@ -139,6 +139,46 @@ def test_redelivered_events_count_once_in_the_job(spark):
     assert days == {"2016-12-31": 1, "2017-01-13": 1}
 
 
+def test_events_without_a_key_are_told_apart_by_their_contents(spark):
+    known, out = names(spark, (1, "H", "PRT", "Direct")), fresh_dir(spark, "job")
+    bookings = known.withColumn("adr", F.lit(1.0))
+    lines = [
+        '{"booking_id": 1, "lead_time": 3}',
+        '{"booking_id": 1, "lead_time": 4}',
+        '{"booking_id": 1, "lead_time": 4, "generated_at": "2017-01-13 08:00:00"}',
+        '{"booking_id": 1, "lead_time": 5}',
+        '{"booking_id": 1, "lead_time": 5, "hotel": null}',
+        '{"booking_id": 99, "lead_time": 3}',
+    ]
+
+    def scored(rows):
+        values = predictions(spark, (1, 1, 0.9, "2017-01-13 09:00:00")).drop("booking_id")
+        return score(rows.crossJoin(values))
+
+    write = J.from_lines(out, J.realtime_outputs(out, bookings, scored))
+    write(spark.createDataFrame([(line,) for line in [*lines[:3], lines[0]]], "value string"), 0)
+    write(spark.createDataFrame([(line,) for line in lines], "value string"), 1)
+    write(spark.createDataFrame([(line,) for line in lines], "value string"), 2)
+    tables = J.realtime_tables(spark, out)
+    assert tables["summary"].first().processed_count == tables["predictions"].count() == 4
+    unresolved = spark.read.parquet(f"{out}/unresolved")
+    assert unresolved.count() == 1 and V.DIGEST not in unresolved.columns
+
+
+def test_null_prediction_ids_are_no_key(spark):
+    first = predictions(spark, (None, 1, 0.9, "2017-01-13 08:00:00"), (None, 2, 0.9, "2017-01-13 08:00:00"), (7, 2, 0.9, "2017-01-13 08:00:00"))
+    second = predictions(spark, (None, 2, 0.9, "2017-01-13 08:00:00"), (None, 2, 0.9, "2017-01-13 08:00:00.000001"))
+    third = predictions(spark, (None, 3, 0.9, "2017-01-13 08:00:00"), (7, 5, 0.1, "2017-01-13 08:00:00"))
+    once, known = fresh_dir(spark, "once"), names(spark, *((i, "H", "PRT", "Direct") for i in range(1, 6)))
+    job = fresh_dir(spark, "job")
+    for write in (K.append_once(once, ["prediction_id"]), J.realtime_outputs(job, known, score)):
+        for batch_id, rows in enumerate((first.union(first), second, third)):
+            write(rows, batch_id)
+    for stored in (K.read_batches(spark, once, S.PREDICTION_SCHEMA), J.realtime_tables(spark, job)["predictions"]):
+        got = [(r.prediction_id, r.booking_id) for r in stored.collect()]
+        assert sorted(got, key=str) == [(7, 2), (None, 1), (None, 2), (None, 2), (None, 3)]
+
+
 def test_a_fresh_checkpoint_over_old_outputs_is_refused(spark):
     known, out = names(spark, (1, "H", "PRT", "Direct")), fresh_dir(spark, "job")
     write = J.realtime_outputs(out, known, score)
