@@ -20,6 +20,11 @@ NEAREST = 64
 #: The share of a block's vectors that is reranked for a query, and the least number.
 RERANK_SHARE = 0.12
 RERANK_LEAST = 512
+#: Rows of a block whose cosines with a query tell what a footrule distance means, in so many groups of them, and how
+#: many deviations above a group's mean a row of its distance may lie.
+SAMPLE = 512
+GROUPS = 16
+DEVIATIONS = 2
 #: Vectors and queries that meet in a task.
 BLOCK = 32_768
 QUERIES = 16_384
@@ -77,8 +82,10 @@ def search(index: PermutationIndex, queries: DataFrame, k: int = 20) -> DataFram
 
     Score is the inner product in double precision, ties go to the smaller vec_id; a query's own row is no
     candidate. Each block of the index posts its vectors under their pivots, adds up the footrule distances
-    to the queries along the posting lists, and reranks the nearest RERANK_SHARE of the block, RERANK_LEAST
-    at least, by the score; the best of all blocks remain. So the rows reranked grow with the index.
+    to the queries along the posting lists, and reranks RERANK_SHARE of the block, RERANK_LEAST at least, by the
+    score; the best of all blocks remain. So the rows reranked grow with the index. They are those with the
+    largest length times cosine, where the cosine is a high estimate from the footrule, see reach(): among
+    vectors of one length the nearest by footrule, else long vectors at larger angles too.
 
     Null, empty and zero vectors, vectors with null or non-finite components, and rows with a null id take no
     part. Only vectors of one length are compared. Rows that repeat an id are candidates each, but for the
@@ -123,12 +130,28 @@ def postings(pivots: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     }
 
 
+def reach(nearness: np.ndarray, cosine: np.ndarray, top: int) -> np.ndarray:
+    """The cosine that a row may have at each nearness 0..top, from the nearness and cosine of sampled rows.
+
+    Mean plus DEVIATIONS in groups of like nearness, never falling, and 1 at the top; a small slope keeps
+    the order by nearness where it would be flat.
+    """
+    groups = [g for g in np.array_split(np.argsort(nearness, kind="stable"), GROUPS) if len(g)]
+    at = np.array([nearness[g].mean() for g in groups] + [top])
+    high = np.array([cosine[g].mean() + DEVIATIONS * cosine[g].std() for g in groups] + [1.0])
+    steps = np.arange(top + 1)
+    return np.interp(steps, at, np.maximum.accumulate(np.minimum(high, 1.0))) + 1e-6 * steps
+
+
 def search_block(block: pd.DataFrame, queries: pd.DataFrame, k: int, chunk: int = 128) -> pd.DataFrame:
-    """The best ``k`` of a block for each query, by footrule and then by inner product."""
+    """The best ``k`` of a block for each query, by footrule and length and then by inner product."""
     ids = block["vec_id"].to_numpy()
     vectors = np.stack([np.frombuffer(v) for v in block["vector"]])
     lists = postings(np.stack([np.frombuffer(p, dtype=np.int16) for p in block["pivots"]]))
     keep = min(len(ids), max(RERANK_LEAST, int(np.ceil(RERANK_SHARE * len(ids)))))
+    lengths = np.sqrt((vectors**2).sum(axis=1))
+    sample = np.random.default_rng(len(ids)).permutation(len(ids))[:SAMPLE]
+    directions = unit(vectors[sample])
     out = []
     for start in range(0, len(queries), chunk):
         part = queries.iloc[start : start + chunk]
@@ -143,8 +166,12 @@ def search_block(block: pd.DataFrame, queries: pd.DataFrame, k: int, chunk: int
                 if pivot in lists:
                     position, rank = lists[pivot]
                     nearness[np.ix_(query, position)] += 2 * (width - np.maximum(query_rank[:, None], rank))
+            cosine = unit(asked) @ directions.T
         for q, (query_id, vector) in enumerate(zip(part["vec_id"], asked)):
-            near = np.arange(len(ids)) if keep == len(ids) else np.argpartition(-nearness[q], keep - 1)[:keep]
+            near = np.arange(len(ids))
+            if keep < len(ids):
+                high = reach(nearness[q, sample], cosine[q], width * (width + 1))
+                near = np.argpartition(-lengths * high[nearness[q]], keep - 1)[:keep]
             near = near[ids[near] != query_id]
             score = vectors[near] @ vector
             if len(near) > k:  # all that tie with the k-th stay

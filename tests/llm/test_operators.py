@@ -481,6 +481,27 @@ def test_search_finds_the_nearest(spark, sf_dir):
     assert hits / (20 * len(got)) >= 0.95
 
 
+@pytest.mark.parametrize("lengths", ["equal", "lognormal", "few long"])
+def test_search_finds_the_largest_inner_products_at_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(200, 64))[rng.integers(0, 200, 8_000)] + 0.6 * rng.normal(size=(8_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if lengths == "lognormal":
+        vectors *= np.exp(rng.normal(size=(8_000, 1)))
+    if lengths == "few long":
+        vectors *= np.where(rng.random((8_000, 1)) < 0.01, 8, 1)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    block = ann.build(table).rows.toPandas()  # one block of 12 % of 8,000 rows
+    queries = block[block["vec_id"] % 80 == 0]
+    found = ann.search_block(block, queries, 20).groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for query in queries["vec_id"]:
+        score = vectors @ vectors[query]
+        score[query] = -np.inf
+        hits += len(found[query] & set(np.argsort(-score)[:20]))
+    assert hits / (20 * len(queries)) >= 0.97
+
+
 def test_search_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [2.0, 1.0, 1.0]), (20, [0.5, 3.0]), (None, [1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
