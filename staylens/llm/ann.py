@@ -148,7 +148,8 @@ def search_block(block: pd.DataFrame, queries: pd.DataFrame, k: int, chunk: int
     ids = block["vec_id"].to_numpy()
     vectors = np.stack([np.frombuffer(v) for v in block["vector"]])
     lists = postings(np.stack([np.frombuffer(p, dtype=np.int16) for p in block["pivots"]]))
-    keep = min(len(ids), max(RERANK_LEAST, int(np.ceil(RERANK_SHARE * len(ids)))))
+    # The query's own row may be among them.
+    keep = min(len(ids), max(RERANK_LEAST, k + 1, int(np.ceil(RERANK_SHARE * len(ids)))))
     lengths = np.sqrt((vectors**2).sum(axis=1))
     sample = np.random.default_rng(len(ids)).permutation(len(ids))[:SAMPLE]
     directions = unit(vectors[sample])

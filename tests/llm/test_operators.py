@@ -502,6 +502,23 @@ def test_search_finds_the_largest_inner_products_at_unequal_lengths(spark, lengt
     assert hits / (20 * len(queries)) >= 0.97
 
 
+def test_search_by_footrule_alone_chooses_the_candidates(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RERANK_LEAST", 1)
+    block = ann.build(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).rows.toPandas()
+    block = block.sort_values("vec_id", ignore_index=True)
+    vectors = np.stack([np.frombuffer(v) for v in block["vector"]])
+    queries = block[block["vec_id"] % 20 == 0]
+    found = ann.search_block(block, queries, 20).groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for at, query in queries["vec_id"].items():
+        score = vectors @ vectors[at]
+        score[at] = -np.inf
+        hits += len(found[query] & set(block["vec_id"].to_numpy()[np.argsort(-score)[:20]]))
+    assert hits / (20 * len(queries)) >= 0.9
+    few = ann.search_block(block[:100], queries[:3], 20)  # 12 % of 100 rows are fewer than asked for
+    assert few.groupby("query_id").size().tolist() == [20, 20, 20]
+
+
 def test_search_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [2.0, 1.0, 1.0]), (20, [0.5, 3.0]), (None, [1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
