@@ -12,12 +12,15 @@ from staylens.llm import (
     embedding_dedup,
     langid,
     licenses,
+    line_dedup,
     minhash_dedup,
     mixing,
     packing,
+    prefix_trie,
     quality,
     sharding,
     toxicity,
+    whitening,
 )
 from staylens.llm.common import crc_remainder, prepare
 
@@ -73,6 +76,24 @@ def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(index, index.rows.filter("vec_id % 20 = 0"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    turns = prefix_trie.rebuild(prefix_trie.sequences(_table(spark, sf_dir, "conversations")))
+    trie = prefix_trie.build(turns)
+    digests = prefix_trie.ends_sha256(trie.members)
+    nodes = trie.nodes.withColumnRenamed("saved_bytes", "saved_tokens").join(digests, "ends", "left")
+    return nodes.drop("ends").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)))
+
+
 def _toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     return toxicity.fit(docs, _table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 3) != 1)
 
@@ -125,6 +146,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_permutation_search": op10_permutation_search,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 OP1_SQL = r"""
@@ -174,8 +198,71 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM groups LEFT JOIN counts USING (vec_id)
 """
 
+OP11_SQL = r"""
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+    SELECT doc_id, pos, lines[pos] AS line,
+        trim(translate(lines[pos], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM split)
+), repeated AS (
+    SELECT key, max(doc_id) AS holder FROM numbered WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT doc_id, pos, line, holder IS NOT NULL AND holder <> doc_id AS gone FROM numbered LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+# DuckDB has no crc32, so it is folded over the bytes of the decimal number.
+OP13_SQL = r"""
+WITH RECURSIVE ordered AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+        struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list(t ORDER BY pos) AS turns FROM ordered GROUP BY conv_id
+), crc AS (
+    SELECT conv_id, 0 AS step, 4294967295::BIGINT AS c FROM own
+    UNION ALL
+    SELECT conv_id, step + 1, list_reduce(
+        list_concat([xor(c, ascii(substr(conv_id::VARCHAR, step + 1, 1))::BIGINT)], [0::BIGINT for i in range(8)]),
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))
+    FROM crc WHERE step < length(conv_id::VARCHAR)
+), heads AS (
+    SELECT conv_id, (xor(c, 4294967295::BIGINT) % 9)::INT AS h FROM crc WHERE step = length(conv_id::VARCHAR)
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:h], o.turns[h + 1:]) AS turns
+    FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), prefixes AS (
+    SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt
+), cut AS (
+    SELECT conv_id, depth, turns[1:depth] AS prefix, turns, depth = len(turns) AS is_end FROM prefixes
+), nodes AS (
+    SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '') AS ends,
+        count(DISTINCT turns[1:depth + 1]) FILTER (NOT is_end) AS n_children
+    FROM cut GROUP BY depth, prefix
+), sized AS (
+    SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(prefix[depth].text) END AS saved FROM nodes
+), below AS (
+    SELECT unnest(range(0, depth + 1)) AS up, prefix, saved, n_children FROM sized
+), sums AS (
+    SELECT up AS depth, prefix[1:up] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+    FROM below GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+    sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.depth = n.depth AND s.prefix = n.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op2_embedding_dedup": OP2_SQL,
     "op6_license_scan": licenses.oracle(),
+    "op11_line_dedup": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
