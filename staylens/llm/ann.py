@@ -16,10 +16,9 @@ from staylens.llm.embedding_dedup import usable
 #: Pivots are that many vectors of the table, those with the smallest hash of their id; a vector is
 #: represented by its nearest ones, in order.
 PIVOTS = 512
-NEAREST = 64
-#: The share of a block's vectors that is reranked for a query, and the least number.
+NEAREST = 128
+#: The share of a block's vectors that is reranked for a query.
 RERANK_SHARE = 0.12
-RERANK_LEAST = 512
 #: Rows of a block whose cosines with a query tell what a footrule distance means, in so many groups of them, and how
 #: many deviations above a group's mean a row of its distance may lie.
 SAMPLE = 512
@@ -82,16 +81,16 @@ def search(index: PermutationIndex, queries: DataFrame, k: int = 20) -> DataFram
 
     Score is the inner product in double precision, ties go to the smaller vec_id; a query's own row is no
     candidate. Each block of the index posts its vectors under their pivots, adds up the footrule distances
-    to the queries along the posting lists, and reranks RERANK_SHARE of the block, RERANK_LEAST at least, by the
-    score; the best of all blocks remain. So the rows reranked grow with the index. They are those with the
+    to the queries along the posting lists, and reranks RERANK_SHARE of the block by the score, at whatever size,
+    but more than ``k`` rows; the best of all blocks remain. So the rows reranked grow with the index. They are those with the
     largest length times cosine, where the cosine is a high estimate from the footrule, see reach(): among
     vectors of one length the nearest by footrule, else long vectors at larger angles too.
 
     Null, empty and zero vectors, vectors with null or non-finite components, and rows with a null id take no
     part. Only vectors of one length are compared. Rows that repeat an id are candidates each, but for the
-    query's own id. An empty table gives an empty table; other columns are ignored.
+    query's own id, and queries each: every row of ``queries`` gets its own ranks from 1. An empty table gives an empty table; other columns are ignored.
     """
-    asked = materialize(queries, "queries")
+    asked = materialize(queries.withColumn("query_row", F.monotonically_increasing_id()), "queries")
     parts = asked.count() // QUERIES + 1
     blocks = index.blocks
     asked = asked.withColumn("part", F.expr(f"cast(pmod(xxhash64(vec_id, 2), {parts}) as int)"))
@@ -103,17 +102,18 @@ def search(index: PermutationIndex, queries: DataFrame, k: int = 20) -> DataFram
         for size, own in wanted.groupby(wanted["vector"].map(len), sort=False):
             block = candidates[candidates["vector"].map(len) == size].sort_values("vec_id")
             if len(block):
-                found.append(search_block(block, own, k))
+                best = search_block(block, own, k)
+                found.append(best.assign(query_row=own["query_row"].to_numpy()[best["query"]]))
         if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.concat(found)
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
+        return pd.concat(found)[["query_row", "query_id", "vec_id", "score"]]
 
     best = (
         rows.groupBy("block", "part")
         .cogroup(asked.groupBy("block", "part"))
-        .applyInPandas(nearest, "query_id long, vec_id long, score double")
+        .applyInPandas(nearest, "query_row long, query_id long, vec_id long, score double")
     )
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -144,12 +144,12 @@ def reach(nearness: np.ndarray, cosine: np.ndarray, top: int) -> np.ndarray:
 
 
 def search_block(block: pd.DataFrame, queries: pd.DataFrame, k: int, chunk: int = 128) -> pd.DataFrame:
-    """The best ``k`` of a block for each query, by footrule and length and then by inner product."""
+    """The best ``k`` of a block for each query, by footrule and length and then by inner product; ``query`` is its place."""
     ids = block["vec_id"].to_numpy()
     vectors = np.stack([np.frombuffer(v) for v in block["vector"]])
     lists = postings(np.stack([np.frombuffer(p, dtype=np.int16) for p in block["pivots"]]))
     # The query's own row may be among them.
-    keep = min(len(ids), max(RERANK_LEAST, k + 1, int(np.ceil(RERANK_SHARE * len(ids)))))
+    keep = min(len(ids), max(k + 1, int(np.ceil(RERANK_SHARE * len(ids)))))
     lengths = np.sqrt((vectors**2).sum(axis=1))
     sample = np.random.default_rng(len(ids)).permutation(len(ids))[:SAMPLE]
     directions = unit(vectors[sample])
@@ -179,5 +179,5 @@ def search_block(block: pd.DataFrame, queries: pd.DataFrame, k: int, chunk: int
                 near = near[score >= np.partition(score, -k)[-k] - 1e-9 * (1 + np.abs(score).max())]
             score = (vectors[near] * vector).cumsum(axis=1)[:, -1]  # summed in the order of the components
             top = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[near][top], "score": score[top]}))
+            out.append(pd.DataFrame({"query": start + q, "query_id": query_id, "vec_id": ids[near][top], "score": score[top]}))
     return pd.concat(out)
