@@ -13,9 +13,12 @@ from staylens.llm.common import materialize, prepare, word_count
 
 #: No document is taken more often.
 MOST_COPIES = 3
-#: Documents of a source that are rounded together, and remainders that meet in a node of the tree.
+#: Most documents of a source that are rounded together (half as many on average), and remainders that meet in a node
+#: of the tree. Documents of one id and size go there in blocks of a twentieth.
 CHUNK = 10_000
 FAN_IN = 256
+#: Rows of one id, source and size are many if they are one row in so many; so there are at most this many such groups.
+HOT_GROUPS = 1_000
 SEED = 11
 
 
@@ -102,7 +105,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), size: Column | No
     rows = materialize(docs.select("doc_id", "source", size.cast("long").alias("size")), "sizes")
     targets = materialize(source_targets(rows, weights), "targets")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    chunks = targets.withColumn("chunks", F.ceil(F.col("documents") / CHUNK)).withColumn("expected", expected)
+    chunks = targets.withColumn("chunks", F.ceil(2 * F.col("documents") / CHUNK)).withColumn("expected", expected)
     rows = rows.join(chunks.select("source", "place", "chunks", "expected"), rows["source"].eqNullSafe(chunks["source"]))
     rows = rows.select(
         "doc_id",
@@ -110,15 +113,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), size: Column | No
         "size",
         F.floor("expected").cast("int").alias("whole"),
         (F.col("size") * (F.col("expected") - F.floor("expected"))).alias("mass"),
-        F.expr("pmod(xxhash64(doc_id, size), chunks)").alias("node"),
+        "chunks",
         "expected",
     )
     alone = F.expr(f"pmod(xxhash64({SEED}, doc_id), 1000000) / 1000000.0") < F.col("expected") - F.col("whole")
     copies = F.col("whole") + F.round(F.col("mass") / F.col("size")).cast("int")
     done = rows.filter("size = 0").select("doc_id", "place", "size", (F.col("whole") + alone.cast("int")).alias("copies"))
-    open_rows = rows.filter("size > 0").select("doc_id", "place", "size", "whole", "mass", "node")
+    open_rows = _blocks(rows.filter("size > 0"))
     most = targets.agg(F.max("documents")).first()[0] or 1
-    nodes, level = -(-most // CHUNK), 0
+    nodes, level = -(-2 * most // CHUNK), 0
     while True:
         rounded = materialize(_round_level(open_rows, level, nodes == 1), "rounded")
         done = done.union(rounded.filter("settled").select("doc_id", "place", "size", copies.alias("copies")))
@@ -132,33 +135,71 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), size: Column | No
     return out.select("doc_id", "size", "source_size", "target", taken, "copies", "source")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Equal rows counted, in blocks, each with the ``node`` in which it is rounded: rows of one id are no hot group."""
+    block = max(CHUNK // 20, 1)
+    counted = rows.groupBy("doc_id", "place", "size", "whole", "mass", "chunks").agg(F.count("*").alias("rows"))
+    counted = counted.withColumn("block", F.explode(F.expr(f"sequence(0L, (rows - 1) div {block})")))
+    return counted.select(
+        "doc_id",
+        "place",
+        "size",
+        "whole",
+        "mass",
+        F.expr("pmod(xxhash64(doc_id, size, block), chunks)").alias("node"),
+        F.least(F.lit(block), F.col("rows") - F.col("block") * block).cast("long").alias("many"),
+    )
+
+
 def _round_level(rows: DataFrame, level: int, last: bool) -> DataFrame:
     """Round the rows of each node of each source; what isn't settled goes up the tree."""
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.loc[group.index.repeat(group["many"])].assign(many=1)
         group = group.sort_values(["doc_id", "size", "mass"], kind="stable", na_position="first")
         seed = [SEED, level, int(group["place"].iat[0]), int(group["node"].iat[0])]
         return round_copies(group, seed, last)
 
-    schema = "doc_id long, place int, size long, whole int, mass double, node long, settled boolean"
+    schema = "doc_id long, place int, size long, whole int, mass double, node long, many long, settled boolean"
     return rows.groupBy("place", "node").applyInPandas(settle, schema)
 
 
 def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it.
+    """The rows of ``docs``, all columns whatever their names, each as often as the mix takes it.
 
-    Rows that repeat doc_id, source and size share out their decisions in the order of their texts, the most
-    copies first. Decisions are counted, not gathered, so a doc_id may repeat without limit.
+    Rows that repeat doc_id, source and size share out their decisions, in the order of their texts, the most
+    copies first. Decisions are counted, not gathered. Where such rows are more than CHUNK and one row in
+    HOT_GROUPS, they are numbered within the partitions in which they stand, with the counts of the partitions
+    before them, so a doc_id may repeat without limit.
     """
-    many = [F.sum((F.col("copies") >= n).cast("long")).alias(f"_{n}") for n in range(1, MOST_COPIES + 1)]
     # One key, equal where its fields are or are both null: window and join share a shuffle of the texts.
     key_type = "struct<doc_id:bigint,source:string,size:bigint>"
-    decisions = mix(docs, weights).groupBy(F.struct("doc_id", "source", "size").cast(key_type).alias("_key")).agg(*many)
+    many = [F.sum((F.col("copies") >= n).cast("long")).alias(f"take{n}") for n in range(1, MOST_COPIES + 1)]
+    decisions = mix(docs, weights).groupBy(F.struct("doc_id", "source", "size").cast(key_type).alias("key"))
+    decisions = materialize(decisions.agg(F.count("*").alias("rows"), *many), "decisions")
+    total = decisions.agg(F.sum("rows")).first()[0] or 0
+    is_hot = (F.col("rows") > CHUNK) & (F.col("rows") * HOT_GROUPS >= total)
+    hot = decisions.filter(is_hot)
     words = word_count(F.col("text")).alias("size")
-    rows = docs.withColumn("_key", F.struct("doc_id", "source", words).cast(key_type))
-    order = Window.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
-    rows = rows.withColumn("_row", F.row_number().over(order)).join(decisions.hint("merge"), "_key")
-    copies = sum((F.col("_row") <= F.col(f"_{n}")).cast("int") for n in range(1, MOST_COPIES + 1))
-    rows = rows.withColumn("_copies", copies).filter("_copies > 0")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", "source", words).cast(key_type).alias("key"))
+    by_text = Window.partitionBy("key").orderBy(F.col("doc.text").asc_nulls_last())
+    if hot.limit(1).count():
+        few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+        found = materialize(rows.join(F.broadcast(hot), "key").withColumn("part", F.spark_partition_id()), "hot-rows")
+        before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = found.groupBy("key", "part").agg(F.count("*").alias("n"))
+        starts = materialize(starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "starts")
+        inside = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.col("doc.text").asc_nulls_last()))
+        more = _repeated(found.join(starts, ["key", "part"]).withColumn("place", F.col("start") + inside))
+        rows, decisions = few, decisions.filter(~is_hot)
+    else:
+        more = None
+    out = _repeated(rows.withColumn("place", F.row_number().over(by_text)).join(decisions.hint("merge"), "key"))
+    return out if more is None else out.union(more)
+
+
+def _repeated(numbered: DataFrame) -> DataFrame:
+    """The documents of rows (doc, place, take1 ...), each as often as its place says."""
+    copies = sum((F.col("place") <= F.col(f"take{n}")).cast("int") for n in range(1, MOST_COPIES + 1))
+    times = numbered.select("doc", copies.alias("times")).filter("times > 0")
+    return times.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
