@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.common import join_class, materialize, mix, prepare, shingle_set
@@ -40,31 +40,9 @@ def near_duplicates(
     its texts reaches. A null doc_id is never linked: component_id is null, kept is true. Other columns
     of ``docs`` are ignored.
     """
-    prepare(docs.sparkSession)
-    profiles = materialize(_profiles(docs, width, coordinates), "profiles")
-    can_link = F.expr("n_shingles > 0 and doc_id is not null")
-    linkable = profiles.filter(can_link)
-    classes = materialize(
-        linkable.groupBy("fingerprint").agg(
-            F.min("doc_id").alias("node"),
-            F.count("*").alias("copies"),
-            F.first("n_shingles").alias("n"),
-            F.first("signature").alias("signature"),
-        ),
-        "classes",
-    )
-    groups = connected_components(_collisions(classes, matches))
-    links = _confirm(docs, classes, groups, width, percent, coordinates, matches)
-    # A doc_id with several texts connects their classes.
-    text = F.xxhash64("fingerprint")
-    several = linkable.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low != high")
-    repeated = materialize(linkable.join(several, "doc_id", "left_semi").select("doc_id", "fingerprint"), "repeated")
-    repeated = join_class(repeated, classes.select("fingerprint", "node", "copies"), "fingerprint", "inner")
-    components = connected_components(links.union(repeated.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
-    labelled = classes.select("fingerprint", "node", "copies").join(components, "node", "left")
-    labelled = labelled.select("fingerprint", "copies", F.coalesce("component", "node").alias("component_id"))
-    keyed = profiles.select("doc_id", "n_shingles", F.when(can_link, F.col("fingerprint")).alias("fingerprint"))
-    out = join_class(keyed, materialize(labelled, "labelled"), "fingerprint")
+    profiles, classes = _classes(docs, width, percent, coordinates, matches, one_per_id=True)
+    keyed = profiles.select("doc_id", "n_shingles", F.when(_can_link(), F.col("fingerprint")).alias("fingerprint"))
+    out = join_class(keyed, classes.select("fingerprint", "copies", F.col("first.doc_id").alias("component_id")), "fingerprint")
     out = out.withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     )
@@ -74,17 +52,68 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that have a near-duplicate with a smaller doc_id.
+    """The rows of ``docs``, all columns whatever their names, one of each group of near-duplicates.
 
-    Of rows that repeat a doc_id, the one with the smallest text stays; rows with a null doc_id all stay.
+    The row with the smallest doc_id of a group stays, of several texts under that id one. Every text is judged
+    by itself: rows that share a doc_id with a dropped row stay if nothing links them. Of rows that repeat both
+    doc_id and text one stays; rows with a null doc_id all stay.
     """
-    dropped = near_duplicates(docs, width, percent).filter("not kept")
-    dropped = dropped.select(F.col("doc_id").cast("string").alias("_key")).distinct()
+    profiles, classes = _classes(docs, width, percent, COORDINATES, MATCHES, one_per_id=False)
+    linked = profiles.filter(_can_link()).select("doc_id", "text_key", "fingerprint")
+    judged = join_class(linked, classes.select("fingerprint", "copies", "first"), "fingerprint", "inner")
+    key = F.concat_ws(" ", F.col("doc_id").cast("string"), F.coalesce("text_key", F.lit("")))
+    dropped = judged.filter(F.struct("doc_id", "text_key") != F.col("first")).select(key.alias("key")).distinct()
     # The same key for join and window: the texts are shuffled once.
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.monotonically_increasing_id()))
-    rows = docs.withColumn("_key", key).join(dropped.hint("merge"), "_key", "left_anti")
-    order = Window.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
-    return rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long"), text_key().alias("text_key"))
+    key = F.when(F.col("doc_id").isNotNull(), key).otherwise(F.concat(F.lit("null "), F.monotonically_increasing_id()))
+    rows = rows.select("doc", key.alias("key")).join(dropped.hint("merge"), "key", "left_anti")
+    order = Window.partitionBy("key").orderBy(F.lit(0))
+    return rows.withColumn("place", F.row_number().over(order)).filter("place = 1").select("doc.*")
+
+
+def text_key() -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.md5(F.col("text").cast("binary"))
+
+
+def _can_link() -> Column:
+    return F.expr("n_shingles > 0 and doc_id is not null")
+
+
+def _classes(
+    docs: DataFrame, width: int, percent: int, coordinates: int, matches: int, one_per_id: bool
+) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows, and the classes of equal shingle sets: (fingerprint, copies, first).
+
+    ``first`` is the smallest (doc_id, text_key) of all classes that links connect with this one. With
+    ``one_per_id``, a doc_id with several texts connects their classes too.
+    """
+    prepare(docs.sparkSession)
+    profiles = materialize(_profiles(docs, width, coordinates), "profiles")
+    linkable = profiles.filter(_can_link())
+    classes = linkable.groupBy("fingerprint").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("rep"),
+        F.count("*").alias("copies"),
+        F.first("n_shingles").alias("n"),
+        F.first("signature").alias("signature"),
+    )
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    groups = connected_components(_collisions(classes, matches))
+    links = _confirm(docs, classes, groups, width, percent, coordinates, matches)
+    if one_per_id:
+        text = F.xxhash64("fingerprint")
+        several = linkable.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low != high")
+        repeated = materialize(linkable.join(several, "doc_id", "left_semi").select("doc_id", "fingerprint"), "repeated")
+        repeated = materialize(join_class(repeated, classes.select("fingerprint", "node", "copies"), "fingerprint", "inner"), "repeated")
+        leaders = materialize(repeated.groupBy("doc_id").agg(F.min("node").alias("leader")), "leaders")
+        links = links.union(repeated.join(leaders, "doc_id").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    components = connected_components(links)
+    members = components.union(components.select(F.col("component").alias("node"), "component").distinct())
+    members = materialize(members.join(classes.select("node", "rep"), "node"), "members")
+    firsts = materialize(members.groupBy("component").agg(F.min("rep").alias("first")), "firsts")
+    found = members.join(firsts, "component").select("node", "first")
+    labelled = classes.join(found, "node", "left").select("fingerprint", "copies", F.coalesce("first", "rep").alias("first"))
+    return profiles, materialize(labelled, "labelled")
 
 
 def hash_family(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,14 +145,15 @@ def _profiles(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
+                    "text_key": batch["text_key"],
                     "n_shingles": [len(s) for s in sets],
                     "fingerprint": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "signature": [signature(s, family) if len(s) else None for s in sets],
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        profile, "doc_id long, n_shingles long, fingerprint binary, signature array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key")).mapInPandas(
+        profile, "doc_id long, text_key string, n_shingles long, fingerprint binary, signature array<long>"
     )
 
 
@@ -164,7 +194,7 @@ def _confirm(
     members = groups.select("node", F.col("component").alias("grp")).union(
         groups.select(F.col("component").alias("node"), F.col("component").alias("grp")).distinct()
     )
-    members = members.join(classes.select("node", "n", "fingerprint"), "node")
+    members = members.join(classes.select("node", "n", "fingerprint", "rep.doc_id", "rep.text_key"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = members.groupBy("grp").agg(blocks.alias("blocks"), F.sum("n").alias("total"))
     members = materialize(members.join(sizes.select("grp", "blocks"), "grp"), "members")
@@ -172,15 +202,19 @@ def _confirm(
     bins = int(total // BLOCK_SHINGLES + 1) * 4
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # rows that repeat id and text meet in a task, one of them will do
         for batch in batches:
+            batch = batch[~batch["node"].isin(seen)].drop_duplicates("node")
+            seen.update(batch["node"])
             found = [shingle_set(text, width) for text in batch["text"]]
             right = [xxhash.xxh3_128_digest(s.tobytes()) == f for s, f in zip(found, batch["fingerprint"])]
             out = batch[["node", "grp", "blocks"]].assign(shingles=[s.tobytes() for s in found])
             yield out[np.array(right, dtype=bool)]
 
     full = (
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        .join(members.select("node", "grp", "blocks", "fingerprint").hint("merge"), "node")
+        docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key"))
+        .join(members.select("node", "grp", "blocks", "fingerprint", "doc_id", "text_key").hint("merge"), ["doc_id", "text_key"])
+        .select("node", "grp", "blocks", "fingerprint", "text")
         .mapInPandas(sets, "node long, grp long, blocks int, shingles binary")
     )
     # A block b of k meets the pairs (0, b) ... (b, b) ... (b, k - 1).

@@ -76,7 +76,28 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_dedup.near_duplicates(odd_documents(spark).limit(0)).count() == 0
     kept = minhash_dedup.keep_first(odd_documents(spark))
     assert kept.columns == odd_documents(spark).columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "9", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "9", "9", "None"]
+
+
+def test_near_duplicate_stage_judges_every_text_of_a_repeated_id(spark):
+    """A duplicate takes no unrelated text of its doc_id along; other texts of one id are no duplicates of each other."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu", "nu xi omicron pi rho sigma")
+    rows = [(1, a), (5, a), (5, b), (5, c), (5, c), (3, b.upper()), (None, a), (None, a), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in minhash_dedup.keep_first(docs).collect())
+    assert kept == {(1, a): 1, (5, c): 1, (3, b.upper()): 1, (None, a): 2, (7, None): 1, (8, ""): 1}
+    alone = spark.createDataFrame([(5, a), (5, b), (5, c)], "doc_id long, text string")
+    assert minhash_dedup.keep_first(alone).count() == 3
+
+
+def test_near_duplicate_and_mixing_stages_keep_columns_of_any_name(spark):
+    names = ["_key", "_row", "_copies", "_copy", "_1", "_2", "_3", "key", "doc", "place", "text_key", "first", "node", "size", "many", "copies"]
+    rows = [(i, f"some words of text number {i} here", "a", *(f"{name} {i}" for name in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{name} string" for name in ["doc_id", "text", "source", *names]).replace("doc_id string", "doc_id long"))
+    for stage in (minhash_dedup.keep_first, mixing.repeat_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows)
+        assert out.count() >= 6
 
 
 def test_a_repeated_id_connects_the_classes_of_its_texts(spark, monkeypatch):
@@ -188,6 +209,29 @@ def test_mixing_targets_and_rounding(spark, monkeypatch):
     assert all(abs(taken[s] - targets[s]) < 60 for s in names)
 
 
+def test_a_frequent_id_makes_no_large_group(spark, monkeypatch):
+    """A third of the rows have no id and one size: no task rounds more than CHUNK of them, and stages number them in parts."""
+    monkeypatch.setattr(mixing, "CHUNK", 1_000)
+    rows = [(None if i % 3 == 0 else i, "a b" if i % 3 == 0 else "c " * (i % 7 + 1), "s") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    seen = []
+    level = mixing._round_level
+
+    def spied(rows, number, last):
+        seen.append(rows.groupBy("place", "node").agg(F.sum("many").alias("n")).agg(F.max("n")).first()[0] or 0)
+        return level(rows, number, last)
+
+    monkeypatch.setattr(mixing, "_round_level", spied)
+    half = docs.union(docs.withColumn("source", F.lit("t")).limit(3_000))
+    decided, words = Counter(), Counter()
+    for r in mixing.mix(half).collect():
+        decided[r["doc_id"], r["source"], r["size"]] += r["copies"]
+        words[r["source"]] += r["taken"] - r["target"] / 12_000 * (4 if r["source"] == "t" else 1)
+    assert max(seen) <= 1_000 and max(abs(missed) for missed in words.values()) < 8
+    taken = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixing.repeat_documents(half).collect())
+    assert taken == +decided
+
+
 def test_pivotal_rounding_is_unbiased():
     import pandas as pd
 
@@ -452,16 +496,43 @@ def test_shards(spark, tmp_path):
     odd = sharding.assign(odd_documents(spark)).collect()
     assert len(odd) == 12 and sum(r["size"] == 1 for r in odd) == 2
     assert sharding.assign(docs.limit(0)).count() == 0
-    sizes = sharding.slot_sizes(sharding.with_slots(docs))
-    assert sharding.rebalance(spark, str(tmp_path / "map"), 1, sizes, 9) == 2
-    old = dict(sharding.read_map(spark, str(tmp_path / "map"), 1).collect())
-    new = dict(sharding.read_map(spark, str(tmp_path / "map"), 2).collect())
-    weights = {r["virtual_slot"]: r["bytes"] for r in sizes.collect()}
+    path = str(tmp_path / "map")
+    again = sharding.assign(docs, 8, path).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows)), "the stored map places the rows again"
+    assert sharding.versions(spark, path) == [1]
+    assert sharding.rebalance(docs, path, 9) == 2
+    moved = {r["doc_id"]: r for r in sharding.assign(docs, 9, path).collect()}
     load = Counter()
-    for slot, shard in new.items():
-        load[shard] += weights.get(slot, 0)
-    moved = sum(weights.get(s, 0) for s in new if new[s] != old[s])
-    assert max(load.values()) < 1.05 * min(load.values()) and moved < 0.2 * sum(weights.values())
+    for r in moved.values():
+        load[r["shard"]] += r["size"]
+    assert set(load) == set(range(9)) and max(load.values()) < 1.05 * min(load.values())
+    changed = sum(r["size"] for r in rows if moved[r["doc_id"]]["shard"] != r["shard"])
+    assert changed < 0.2 * sum(load.values())
+    assert all(r["virtual_slot"] == moved[r["doc_id"]]["virtual_slot"] for r in rows), "a record keeps its slot"
+    old = sharding.assign(docs, 9, path, version=1).collect()
+    assert {(r["doc_id"], r["shard"]) for r in old} == {(r["doc_id"], r["shard"]) for r in rows}
+
+
+def test_shards_stay_equal_when_a_third_of_the_rows_is_one_record(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, "the same text" if i % 3 == 0 else f"text number {i}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "map")
+    for shards in (8, 5):
+        if shards == 5:
+            sharding.rebalance(docs, path, 5)
+        out = sharding.assign(docs, shards, path).collect()
+        size, slots = Counter(), defaultdict(list)
+        for r in out:
+            size[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        assert len(out) == 6_000 and len(size) == shards and max(size.values()) < 1.02 * min(size.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    grown = docs.union(spark.createDataFrame([(7, "another one")] * 9_000, docs.schema))
+    assert sharding.rebalance(grown, path, 5) == 3
+    size = Counter()
+    for r in sharding.assign(grown, 5, path).collect():
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) < 1.05 * min(size.values())
 
 
 def test_search_finds_the_nearest(spark, sf_dir):
@@ -502,8 +573,7 @@ def test_search_finds_the_largest_inner_products_at_unequal_lengths(spark, lengt
     assert hits / (20 * len(queries)) >= 0.97
 
 
-def test_search_by_footrule_alone_chooses_the_candidates(spark, monkeypatch):
-    monkeypatch.setattr(ann, "RERANK_LEAST", 1)
+def test_search_by_footrule_alone_chooses_the_candidates(spark):
     block = ann.build(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).rows.toPandas()
     block = block.sort_values("vec_id", ignore_index=True)
     vectors = np.stack([np.frombuffer(v) for v in block["vector"]])
@@ -519,6 +589,20 @@ def test_search_by_footrule_alone_chooses_the_candidates(spark, monkeypatch):
     assert few.groupby("query_id").size().tolist() == [20, 20, 20]
 
 
+def test_search_ranks_every_query_row_of_a_repeated_id(spark):
+    """51 rows, vec_id 0 twice: each of its rows gets its 20 different nearest."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(50, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(0, vectors[0].tolist())]
+    index = ann.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.search(index, index.rows.filter("vec_id = 0")).collect()
+    assert Counter(r["rank"] for r in got) == {rank: 2 for rank in range(1, 21)}
+    found = Counter(r["vec_id"] for r in got)
+    assert set(found.values()) == {2} and len(found) == 20
+    best = np.argsort(-(vectors[1:] @ vectors[0]))[:20] + 1
+    assert len(set(found) & set(best.tolist())) >= 18
+
+
 def test_search_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [2.0, 1.0, 1.0]), (20, [0.5, 3.0]), (None, [1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
