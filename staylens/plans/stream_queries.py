@@ -135,9 +135,9 @@ def stream_predictions_sink(spark, sf):
     return K.read_batches(spark, out, S.PREDICTION_SCHEMA)
 
 
-def _deliver(spark, sf, write):
-    """Run a batch function over three deliveries, with a restart before each: the newest half of the events,
-    then the older half with every third of the newest again, then everything again."""
+def _deliver(spark, sf, run):
+    """Run a stream over three deliveries, with a restart before each: the newest half of the events, then the
+    older half with every third of the newest again, then everything again. `run` takes the stream and the checkpoint."""
     log = fresh_dir(spark, "delivered")
     rows = D.predictions(spark, sf).where(F.col("source") == S.STREAM_SOURCE)
     middle = rows.agg(F.percentile_approx("predicted_at", 0.5)).scalar()
@@ -147,7 +147,7 @@ def _deliver(spark, sf, write):
     for delivery in (new, old.unionByName(new.where("prediction_id % 3 = 0")), rows):
         delivery.write.mode("append").parquet(log)
         stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA)
-        checkpoint = K.run_available(stream, write, checkpoint=checkpoint)
+        checkpoint = run(V.first_deliveries(stream, J.event_keys(stream)), checkpoint)
 
 
 @query(
@@ -157,7 +157,7 @@ def _deliver(spark, sf, write):
 def stream_dedup(spark, sf):
     """Events come late and again, over restarts; none is lost and each counts once."""
     out = fresh_dir(spark, "deduplicated")
-    _deliver(spark, sf, K.append_once(out, ["prediction_id"]))
+    _deliver(spark, sf, lambda once, checkpoint: K.run_available(once, K.append_batches(out), checkpoint=checkpoint))
     return K.read_batches(spark, out, S.PREDICTION_SCHEMA)
 
 
@@ -175,11 +175,12 @@ def stream_enrich_bookings(spark, sf):
     columns = ["booking_id", "generated_at", "customer_type_name", "deposit_type", "adr"]
 
     def write(batch, batch_id):
-        K.append_batches(out)(J.resolved(J.lookup(batch.persist(), bookings)).select(*columns), batch_id)
+        with J.lookup(batch.persist(), bookings) as found:
+            K.append_batches(out)(J.resolved(found).select(*columns), batch_id)
         batch.unpersist()
 
     K.run_available(V.accepted(V.parse_events(streams.file_lines(spark, _event_log(spark, sf)))), write)
-    return spark.read.parquet(out).select(*columns)
+    return K.read_batches(spark, out, bookings.select(*(c for c in columns if c != "generated_at")).schema.add("generated_at", "string")).select(*columns)
 
 
 @query(
@@ -191,11 +192,12 @@ def stream_unresolved_events(spark, sf):
     ids = _active(spark, sf).where(F.col("country_code") != "PRT").select("booking_id")
 
     def write(batch, batch_id):
-        K.append_batches(out)(J.unresolved(J.lookup(batch.persist(), ids), "country_code"), batch_id)
+        with J.lookup(batch.persist(), ids) as found:
+            K.append_batches(out)(J.unresolved(found, "country_code"), batch_id)
         batch.unpersist()
 
     K.run_available(V.accepted(V.parse_events(streams.file_lines(spark, _event_log(spark, sf)))), write)
-    return spark.read.parquet(out).select("booking_id", "country_code")
+    return K.read_batches(spark, out, S.struct("booking_id bigint, country_code string"))
 
 
 def _up(expression: str) -> str:
@@ -229,15 +231,9 @@ def stream_snapshot_sink(spark, sf):
 def _trend(granularity):
     def build(spark, sf):
         out = fresh_dir(spark, f"trend-{granularity}")
-        once, trend = K.append_once(f"{out}/events", ["prediction_id"]), K.merge_trend(f"{out}/trend", granularity)
-
-        def write(batch, batch_id):
-            once(batch, batch_id)
-            trend(read_version(spark, f"{out}/events", S.PREDICTION_SCHEMA, before=batch_id + 1), batch_id)
-
-        _deliver(spark, sf, write)
+        _deliver(spark, sf, lambda once, checkpoint: K.run_available(once, K.append_trend(out, granularity), checkpoint=checkpoint))
         schema = X.trend_sums(D.predictions(spark, sf), granularity).schema
-        return X.with_cancel_rate(read_version(spark, f"{out}/trend", schema))
+        return X.with_cancel_rate(K.read_trend(spark, out, schema))
 
     return build
 
@@ -298,7 +294,7 @@ def _realtime_job(spark, sf, deliveries=1):
     stored = files.read_lookup_table(spark, known).select("booking_id", "hotel_name", "country_name", "market_segment")
     score = lambda batch: batch.withColumn("risk_level_name", risk.risk_name(F.col("risk_level")))
     stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA, max_files=2)
-    K.run_available(stream, J.realtime_outputs(out, stored, score))
+    J.run_events(stream, out, stored, score)
     return J.realtime_tables(spark, out)
 
 

@@ -195,5 +195,5 @@ def stream_score(spark, sf):
             }
         )
 
-    K.run_available(lines, J.from_lines(out, J.realtime_outputs(out, files.read_lookup_table(spark, known), score)))
+    J.run_lines(lines, out, files.read_lookup_table(spark, known), score)
     return _rules(J.realtime_tables(spark, out)["predictions"], active, model)

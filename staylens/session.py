@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     # Stream state on local disk instead of the executor heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A micro-batch stores its changes to the state, not the state as a whole.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from staylens import schemas as S
@@ -9,6 +12,7 @@ from staylens.functions.dates import iso_date
 from staylens.functions.labels import null_tokens
 
 
+LOOKUP_BUCKETS = 64
 POSITION_COLUMNS = ["file_path", "split_start", "split_row"]
 
 
@@ -90,13 +94,36 @@ def read_bookings_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def write_lookup_table(cleaned: DataFrame, path: str) -> None:
-    """Parquet ranged and sorted by id, so that an id range reads only the row groups it touches."""
-    cleaned.select(*S.CONTRACT_COLUMNS).repartitionByRange("booking_id").sortWithinPartitions("booking_id").write.parquet(path)
+def write_lookup_table(cleaned: DataFrame, path: str, buckets: int = LOOKUP_BUCKETS) -> None:
+    """Parquet in buckets by id, sorted in each, for `read_lookup_table`.
+
+    A join by id then reads the buckets in place. Choose `buckets` so that one is some 100 MB; they stay with
+    the table.
+    """
+    name = f"lookup_{uuid.uuid4().hex}"
+    (
+        cleaned.select(*S.CONTRACT_COLUMNS)
+        .repartition(buckets, "booking_id")
+        .write.bucketBy(buckets, "booking_id")
+        .sortBy("booking_id")
+        .option("path", f"{path}/buckets={buckets}")
+        .saveAsTable(name)
+    )
+    cleaned.sparkSession.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay
 
 
 def read_lookup_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.CONTRACT_SCHEMA).parquet(path)
+    """The bookings of a lookup table. Buckets are known to a catalog only, so the folder is entered under a name of its own."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [status.getPath().getName() for status in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    buckets = next(int(name.removeprefix("buckets=")) for name in names if name.startswith("buckets="))
+    name = f"lookup_{hashlib.md5(f'{path}/{buckets}'.encode()).hexdigest()}"
+    spark.sql(
+        f"""CREATE TABLE IF NOT EXISTS {name} ({S.CONTRACT_SCHEMA.toDDL()}) USING parquet
+            CLUSTERED BY (booking_id) SORTED BY (booking_id) INTO {buckets} BUCKETS LOCATION '{path}/buckets={buckets}'"""
+    )
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def read_jdbc_table(

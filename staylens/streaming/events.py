@@ -56,18 +56,12 @@ def with_digest(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.withColumn(DIGEST, F.when(unnamed, F.sha2(whole, 256)))
 
 
-def first_deliveries(batch: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """Each event once, although delivery is at least once and in any order.
-
-    Of a held micro-batch, the rows whose keys no earlier batch had, and each key once. Events with a null
-    in the keys are the same only if all their columns are. Both tables come from with_digest().
-    There is no event-time cut, so an event counts however late it comes. Only the stored keys between the
-    batch's lowest and highest first key are read, which are few row groups while keys grow with time, and
-    those without a first key.
+def first_deliveries(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each event of a stream once, although delivery is at least once and in any order.
+
+    The keys of all events so far are in Spark's state store, spread by key, so a micro-batch looks up its own
+    keys and reads nothing of the history; the store grows by a key per event. There is no event-time cut, so
+    an event counts however late it comes. Events with a null in the keys are the same only if all their
+    columns are. Of a key that comes with different contents, one row stays. Works on a table as well.
     """
-    low, high = (batch.agg(bound(keys[0])).scalar() for bound in (F.min, F.max))
-    first = F.col(keys[0])
-    earlier = seen.where(((first >= low) & (first <= high)) | first.isNull()).alias("old")
-    names = [*keys, DIGEST]
-    same = reduce(lambda a, b: a & b, (F.col(f"new.{name}").eqNullSafe(F.col(f"old.{name}")) for name in names))
-    return batch.dropDuplicates(names).alias("new").join(earlier, same, "left_anti").select("new.*")
+    return with_digest(events, keys).dropDuplicates([*keys, DIGEST]).drop(DIGEST)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from staylens import schemas as S
 from staylens.operators.joins import join_unique
 from staylens.operators.metrics import top_risk
+from staylens.session import fresh_dir
 from staylens.sources.versions import complete_versions, read_version, write_version
-from staylens.streaming.events import DIGEST, accepted, first_deliveries, parse_events, rejected, with_digest
+from staylens.streaming.events import accepted, first_deliveries, parse_events, rejected
 from staylens.streaming.metrics import (
     merge_states,
     merge_trends,
@@ -22,7 +24,7 @@ from staylens.streaming.metrics import (
     trend_sums,
     with_cancel_rate,
 )
-from staylens.streaming.sinks import read_batches
+from staylens.streaming.sinks import append_batches, read_batches, run_available
 
 RECENT_ROWS = 10
 
@@ -60,27 +62,40 @@ TREND_SCHEMA = T.StructType(
 )
 
 
-def in_batch_range(bookings: DataFrame, batch: DataFrame) -> DataFrame:
-    """The bookings between the lowest and highest id of a batch: row groups outside are never read.
+#: A batch with at most this many different ids names them to the scan of the bookings.
+NAMED_IDS = 1_000
 
-    Bookings are stored by id and events come in about that order, so a batch needs a small
-    part of a large table. The bounds are scalar subqueries over the batch.
+
+def known_bookings(batch: DataFrame, bookings: DataFrame) -> DataFrame:
+    """The bookings that a held batch names.
+
+    The different ids of the batch meet the bookings, a row each. From `files.read_lookup_table` these come in
+    buckets by id and stay where they are: only the ids are shuffled. Where the ids are few, the scan knows
+    them and skips the buckets without any.
     """
-    low, high = (batch.agg(bound("booking_id")).scalar() for bound in (F.min, F.max))
-    return bookings.where((F.col("booking_id") >= low) & (F.col("booking_id") <= high))
+    ids = batch.select("booking_id").where(F.col("booking_id").isNotNull()).distinct()
+    few = [row["booking_id"] for row in ids.limit(NAMED_IDS + 1).collect()]
+    if len(few) <= NAMED_IDS:
+        bookings = bookings.where(F.col("booking_id").isin(few))
+    return bookings.join(ids, "booking_id", "left_semi")
 
 
-def lookup(batch: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Each event of a held batch with its booking; `is_known` tells whether there is one.
+@contextmanager
+def lookup(batch: DataFrame, bookings: DataFrame) -> Iterator[DataFrame]:
+    """Each event of a held batch with its booking; `is_known` tells whether there is one. Held while it is in use.
 
     Columns that the event has too come from the booking. One lookup serves the resolved and the
     unresolved output.
     """
     own = [name for name in batch.columns if name == "booking_id" or name not in bookings.columns]
-    known = in_batch_range(bookings, batch).withColumn("is_known", F.lit(True))
-    return join_unique(batch.select(*own), known, "booking_id").withColumn(
-        "is_known", F.coalesce("is_known", F.lit(False))
-    )
+    known = known_bookings(batch, bookings).withColumn("is_known", F.lit(True)).persist()
+    found = join_unique(batch.select(*own), known, "booking_id")
+    found = found.withColumn("is_known", F.coalesce("is_known", F.lit(False))).persist()
+    try:
+        yield found
+    finally:
+        found.unpersist()
+        known.unpersist()
 
 
 def resolved(looked_up: DataFrame) -> DataFrame:
@@ -127,78 +142,77 @@ def calendar_sums(scored: DataFrame) -> DataFrame:
 
 
 def event_keys(batch: DataFrame) -> list[str]:
-    """What tells two events apart: the id of the prediction, else booking and creation time; see first_deliveries() for nulls."""
+    """What tells two events apart: the id of the prediction, else booking and creation time; see events.first_deliveries() for nulls."""
     return ["prediction_id"] if "prediction_id" in batch.columns else ["booking_id", "generated_at"]
 
 
 def realtime_outputs(out: str, bookings: DataFrame, score: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """The batch function of the realtime job.
+    """The batch function of the realtime job; its stream holds each event once, see `run_events`.
 
     Events resolve against `bookings`, `score` adds the prediction columns, and the scored batch
     is held once for all outputs under `out`:
 
-    seen                      keys of the events of each batch, a digest where one is null; an event that comes again counts once
     predictions, unresolved   rows of each batch
-    trends                    sums per calendar day, week and month; late events count in their period
+    trends                    sums per calendar day, week and month of each batch; late events count in their period
     state                     running sums per country, channel and overall
     summary, risk             snapshots from the state
     recent                    the last ten predictions
     metrics                   long metric rows, one set per batch
 
-    Running totals are the previous version of the state plus the batch, so a replay of batch N
-    starts again from N-1 and every output is the same as the first time. A batch number below the
-    newest stored one means a fresh checkpoint over old outputs, and is refused.
+    Running totals are the previous version of the state, a row per country and channel, plus the batch, so a
+    replay of batch N starts again from N-1 and every output is the same as the first time. A batch number
+    below the newest stored one means a fresh checkpoint over old outputs, and is refused.
     """
+    by_period = append_batches(f"{out}/trends", combine=lambda sums: merge_trends(sums, ["granularity", "label"]))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = complete_versions(spark, f"{out}/seen")
+        stored = complete_versions(spark, f"{out}/state")
         if stored and batch_id < stored[-1]:
             raise RuntimeError(f"{out} holds batch {stored[-1]}, but the stream is at {batch_id}: wrong checkpoint")
-        keys = event_keys(batch)
-        delivered = with_digest(batch, keys).persist()
-        seen = read_batches(spark, f"{out}/seen", delivered.select(*keys, DIGEST).schema, before=batch_id)
-        fresh = first_deliveries(delivered, seen, keys).persist()
-        batch = fresh.drop(DIGEST)
-        found = lookup(batch, bookings).persist()
-        scored = score(resolved(found)).persist()
         event_only = [name for name in batch.columns if name not in bookings.columns]
-        try:
-            write_version(fresh.select(*keys, DIGEST), f"{out}/seen", batch_id)
-            write_version(unresolved(found, *event_only), f"{out}/unresolved", batch_id)
-            write_version(scored.select(*S.PREDICTION_SCHEMA.names), f"{out}/predictions", batch_id)
+        batch = batch.persist()
+        with lookup(batch, bookings) as found:
+            scored = score(resolved(found)).persist()
+            append_batches(f"{out}/unresolved")(unresolved(found, *event_only), batch_id)
+            append_batches(f"{out}/predictions")(scored.select(*S.PREDICTION_SCHEMA.names), batch_id)
+            by_period(calendar_sums(scored), batch_id)
             before = read_version(spark, f"{out}/state", STATE_SCHEMA, before=batch_id)
             merged = merge_states(before.drop("updated_at"), state_of(scored))
             write_version(merged.withColumn("updated_at", _next_stamp(before, scored)), f"{out}/state", batch_id, keep=2)
             state = read_version(spark, f"{out}/state", STATE_SCHEMA, before=batch_id + 1)
-            trends = read_version(spark, f"{out}/trends", TREND_SCHEMA, before=batch_id)
-            merged = merge_trends(trends, calendar_sums(scored), ["granularity", "label"])
-            write_version(merged, f"{out}/trends", batch_id, keep=2)
             everything = state.where(F.col("dimension") == "all")
             write_version(everything.select(*summary_columns()), f"{out}/summary", batch_id, keep=2)
             keyed = state.where(F.col("dimension") != "all").select(*("dimension", "name"), *rate_columns())
             write_version(top_risk(keyed), f"{out}/risk", batch_id, keep=2)
-            write_version(metric_rows(state), f"{out}/metrics", batch_id)
+            append_batches(f"{out}/metrics")(metric_rows(state), batch_id)
             keep_recent(f"{out}/recent")(scored, batch_id)
-        finally:
-            for held in (scored, found, fresh, delivered):
-                held.unpersist()
+            scored.unpersist()
+        batch.unpersist()
 
     return write
 
 
-def from_lines(out: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Put parsing before a batch function of events; lines that are no events go to `rejected` under `out`."""
+def run_events(
+    events: DataFrame, out: str, bookings: DataFrame, score: Callable[[DataFrame], DataFrame], checkpoint: str | None = None
+) -> str:
+    """Run the realtime job over a stream of events, which may come again and in any order. Returns the checkpoint."""
+    once = first_deliveries(events, event_keys(events))
+    return run_available(once, realtime_outputs(out, bookings, score), checkpoint=checkpoint)
 
-    def write_lines(lines: DataFrame, batch_id: int) -> None:
-        parsed = parse_events(lines).persist()
-        try:
-            write_version(rejected(parsed), f"{out}/rejected", batch_id)
-            write(accepted(parsed), batch_id)
-        finally:
-            parsed.unpersist()
 
-    return write_lines
+def run_lines(
+    lines: DataFrame, out: str, bookings: DataFrame, score: Callable[[DataFrame], DataFrame], checkpoint: str | None = None
+) -> str:
+    """Run the realtime job over a stream of event text; lines that are no events go to `rejected` under `out`.
+
+    The two are queries of their own, with a checkpoint each under `checkpoint`.
+    """
+    checkpoint = checkpoint or fresh_dir(lines.sparkSession, "stream-checkpoint")
+    parsed = parse_events(lines)
+    run_available(rejected(parsed), append_batches(f"{out}/rejected"), checkpoint=f"{checkpoint}/rejected")
+    run_events(accepted(parsed), out, bookings, score, f"{checkpoint}/events")
+    return checkpoint
 
 
 def realtime_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
@@ -226,6 +240,8 @@ def realtime_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
         "state": read_version(spark, f"{out}/state", STATE_SCHEMA),
         "summary": read_version(spark, f"{out}/summary", summary),
         "risk": read_version(spark, f"{out}/risk", risk),
-        "trends": with_cancel_rate(read_version(spark, f"{out}/trends", TREND_SCHEMA)),
+        "trends": with_cancel_rate(
+            merge_trends(read_batches(spark, f"{out}/trends", TREND_SCHEMA), ["granularity", "label"])
+        ),
         "recent": read_version(spark, f"{out}/recent", RECENT_SCHEMA),
     }

@@ -54,22 +54,15 @@ def rate_columns() -> list[Column]:
     ]
 
 
-def windowed_trend(scored: DataFrame, granularity: str, event_time: str = "predicted_at") -> DataFrame:
-    """Inflow, predicted cancellations and rate per calendar day, week or month of the event time.
-
-    On a stream the caller may set a watermark, which drops late rows; `sinks.merge_trend` loses none.
-    """
-    return with_cancel_rate(trend_sums(scored, granularity, event_time))
-
-
 def with_cancel_rate(sums: DataFrame) -> DataFrame:
     share = half_up(ratio(F.col("predicted_cancellations"), F.col("inflow")))
     return sums.withColumn("cancel_rate", share)
 
 
-def merge_trends(before: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+def merge_trends(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key from the sums of several batches."""
     added = [F.sum(name).alias(name) for name in ("inflow", "predicted_cancellations")]
-    return before.unionByName(sums).groupBy(*keys).agg(*added)
+    return sums.groupBy(*keys).agg(*added)
 
 
 def trend_sums(scored: DataFrame, granularity: str, event_time: str = "predicted_at") -> DataFrame:

@@ -5,6 +5,7 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from staylens import plans
 from staylens.operators import bookings as B
@@ -15,6 +16,7 @@ from staylens.operators import splits as L
 from staylens.plans import tables as D
 from staylens.session import fresh_dir
 from staylens.sources import files
+from staylens.streaming import jobs as J
 
 # Keys whose callable does work of its own (files, streams, fits) before it returns a frame.
 EAGER = ("stream_", "sink_", "scan_", "train_", "score_", "ml_", "export_", "rewrite_", "category_encoding", "paginate_deep",
@@ -48,6 +50,27 @@ def test_no_python_and_no_cross_join_in_any_lazy_query(spark, sf_dir):
             assert "CartesianProduct" not in text and "NestedLoop" not in text, key
 
 
+def test_lookups_leave_the_bookings_in_their_buckets(spark, stored):
+    """Ids over the whole range: few ids skip the buckets without any, many ids shuffle no booking."""
+    ids = stored.select("booking_id").orderBy("booking_id").collect()
+    few = spark.createDataFrame([ids[0], ids[len(ids) // 2], ids[-1]], "booking_id bigint")
+    known = J.known_bookings(few, stored)
+    chosen, all_buckets = map(int, re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", plan(known)).groups())
+    assert (chosen <= 3, all_buckets) == (True, files.LOOKUP_BUCKETS)
+    assert sorted(known.select("booking_id").collect()) == sorted(few.collect())
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        many = stored.select((F.col("booking_id") + 1).alias("booking_id")).union(stored.select("booking_id").where("booking_id % 3 = 0"))
+        text = tree(J.known_bookings(many.repartition(3), stored))
+        scan = text[text.index("SortMergeJoin") :].splitlines()
+        left = scan[1 : next(i for i, line in enumerate(scan) if "Exchange" in line)]
+        assert any("Scan parquet" in line for line in left), "no exchange above the scan of the bookings"
+        assert "Bucketed: true" in plan(J.known_bookings(many.repartition(3), stored))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_filters_and_columns_reach_the_scan(stored):
     text = plan(O.channel_ranking(B.filter_overview(stored, month="1998-02", country_code="PRT")))
     pushed = re.search(r"PushedFilters: \[(.*?)\]\n", text).group(1)

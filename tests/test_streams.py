@@ -104,7 +104,7 @@ def test_append_mode_emits_only_closed_windows(spark):
     days = [f"2017-01-{day:02d} 12:00:00" for day in range(1, 8)]
     predictions(spark, *((n, n, 0.5, t) for n, t in enumerate(days))).write.parquet(log)
     stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA).withWatermark("predicted_at", "1 day")
-    trend = X.windowed_trend(stream, "day")
+    trend = X.with_cancel_rate(X.trend_sums(stream, "day"))
     K.run_available(trend, K.append_batches(out), mode="append")
     labels = sorted(r.label for r in K.read_batches(spark, out, trend.schema).collect())
     assert labels == [f"2017-01-{day:02d}" for day in range(1, 6)]  # the watermark is the 6th at noon
@@ -120,18 +120,29 @@ def test_late_rows_count_in_their_period_after_a_restart(spark):
     for rows in deliveries:
         predictions(spark, *rows).write.mode("append").parquet(log)
         stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA)
-        checkpoint = K.run_available(stream, K.merge_trend(out, "day"), checkpoint=checkpoint)
-    sums = versions.read_version(spark, out, X.trend_sums(stream, "day").schema)
+        checkpoint = K.run_available(stream, K.append_trend(out, "day"), checkpoint=checkpoint)
+    sums = K.read_trend(spark, out, X.trend_sums(stream, "day").schema)
     got = {r.label: (r.inflow, r.cancel_rate) for r in X.with_cancel_rate(sums).collect()}
     assert got == {"2017-01-01": (1, 1.0), "2017-01-13": (2, 0.5), "2017-01-14": (1, 0.0)}
 
 
+def deliver(spark, run, *deliveries):
+    """Each delivery, a table, goes to a log and through a stream with the state and checkpoint of the one before."""
+    log, checkpoint = fresh_dir(spark, "log"), None
+    for rows in deliveries:
+        rows.write.mode("append").parquet(log)
+        checkpoint = run(streams.parquet_stream(spark, log, rows.schema), checkpoint)
+
+
 def test_redelivered_events_count_once_in_the_job(spark):
     known, out = names(spark, (1, "H", "PRT", "Direct")), fresh_dir(spark, "job")
-    write = J.realtime_outputs(out, known, score)
     new = predictions(spark, (5, 1, 0.9, "2017-01-13 09:00:00"), (6, 99, 0.9, "2017-01-13 09:00:00"))
-    write(new.union(new), 0)
-    write(new.union(predictions(spark, (1, 1, 0.1, "2016-12-31 09:00:00"))), 1)
+    deliver(
+        spark,
+        lambda events, checkpoint: J.run_events(events, out, known, score, checkpoint),
+        new.union(new),
+        new.union(predictions(spark, (1, 1, 0.1, "2016-12-31 09:00:00"))),
+    )
     tables = J.realtime_tables(spark, out)
     assert tables["summary"].first().processed_count == tables["predictions"].count() == 2
     assert spark.read.parquet(f"{out}/unresolved").count() == 1
@@ -149,20 +160,23 @@ def test_events_without_a_key_are_told_apart_by_their_contents(spark):
         '{"booking_id": 1, "lead_time": 5}',
         '{"booking_id": 1, "lead_time": 5, "hotel": null}',
         '{"booking_id": 99, "lead_time": 3}',
+        "no event",
     ]
 
     def scored(rows):
         values = predictions(spark, (1, 1, 0.9, "2017-01-13 09:00:00")).drop("booking_id")
         return score(rows.crossJoin(values))
 
-    write = J.from_lines(out, J.realtime_outputs(out, bookings, scored))
-    write(spark.createDataFrame([(line,) for line in [*lines[:3], lines[0]]], "value string"), 0)
-    write(spark.createDataFrame([(line,) for line in lines], "value string"), 1)
-    write(spark.createDataFrame([(line,) for line in lines], "value string"), 2)
+    log, checkpoint = fresh_dir(spark, "log"), None
+    for some in ([*lines[:3], lines[0]], lines, lines):
+        spark.createDataFrame([(line,) for line in some], "value string").write.mode("append").text(log)
+        checkpoint = J.run_lines(streams.file_lines(spark, log), out, bookings, scored, checkpoint)
     tables = J.realtime_tables(spark, out)
     assert tables["summary"].first().processed_count == tables["predictions"].count() == 4
     unresolved = spark.read.parquet(f"{out}/unresolved")
     assert unresolved.count() == 1 and V.DIGEST not in unresolved.columns
+    rejects = K.read_batches(spark, f"{out}/rejected", S.struct("value string, reason string"))
+    assert [(r.value, r.reason) for r in rejects.collect()] == [("no event", "not readable")] * 2
 
 
 def test_null_prediction_ids_are_no_key(spark):
@@ -171,14 +185,42 @@ def test_null_prediction_ids_are_no_key(spark):
     third = predictions(spark, (None, 3, 0.9, "2017-01-13 08:00:00"), (7, 5, 0.1, "2017-01-13 08:00:00"))
     once, known = fresh_dir(spark, "once"), names(spark, *((i, "H", "PRT", "Direct") for i in range(1, 6)))
     job = fresh_dir(spark, "job")
-    for write in (K.append_once(once, ["prediction_id"]), J.realtime_outputs(job, known, score)):
-        for batch_id, rows in enumerate((first.union(first), second, third)):
-            write(rows, batch_id)
+
+    def plain(events, checkpoint):
+        return K.run_available(V.first_deliveries(events, ["prediction_id"]), K.append_batches(once), checkpoint=checkpoint)
+
+    for run in (plain, lambda events, checkpoint: J.run_events(events, job, known, score, checkpoint)):
+        deliver(spark, run, first.union(first), second, third)
     for stored in (K.read_batches(spark, once, S.PREDICTION_SCHEMA), J.realtime_tables(spark, job)["predictions"]):
         got = [(r.prediction_id, r.booking_id) for r in stored.collect()]
         assert sorted(got, key=str) == [(7, 2), (None, 1), (None, 2), (None, 2), (None, 3)]
 
 
+def test_what_a_batch_reads_does_not_depend_on_the_batches_before(spark):
+    """Scattered keys, half of them redelivered: the tenth batch looks up its own keys and no more."""
+    log, out = fresh_dir(spark, "log"), fresh_dir(spark, "once")
+    for n in range(10):
+        new = [((31 * (100 * n + i)) % 7919, 1, 0.5, "2017-01-13 08:00:00") for i in range(100)]
+        again = [((31 * (100 * max(n - 1, 0) + i)) % 7919, 1, 0.5, "2017-01-13 08:00:00") for i in range(100)]
+        predictions(spark, *new, *again).coalesce(1).write.mode("append").parquet(log)
+    stream = streams.parquet_stream(spark, log, S.PREDICTION_SCHEMA, max_files=1)
+    query = (
+        V.first_deliveries(stream, ["prediction_id"])
+        .writeStream.foreachBatch(K.append_batches(out))
+        .option("checkpointLocation", fresh_dir(spark, "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in batches] == [200] * 10
+    states = [p["stateOperators"][0] for p in batches]
+    assert states[-1]["numRowsTotal"] == 1_000
+    reads = [state["customMetrics"]["rocksdbGetCount"] for state in states]
+    assert reads[-1] <= max(reads[:2]) and reads[-1] <= 2 * 200, reads
+    assert K.read_batches(spark, out, S.PREDICTION_SCHEMA).select("prediction_id").distinct().count() == 1_000
+
+
 def test_a_fresh_checkpoint_over_old_outputs_is_refused(spark):
     known, out = names(spark, (1, "H", "PRT", "Direct")), fresh_dir(spark, "job")
     write = J.realtime_outputs(out, known, score)
@@ -197,10 +239,67 @@ def test_unfinished_batches_are_not_read(spark):
     assert K.read_batches(spark, out, rows.schema).count() == 1
 
 
+def test_two_hundred_batches_leave_few_folders(spark):
+    out, fs = fresh_dir(spark, "batches"), versions._file_system
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    rows = [spark.range(n, n + 1) for n in range(201)]
+    write, most = K.append_batches(out), 0
+    for n in range(201):
+        write(rows[n], n)
+        most = max(most, len(fs(spark, out).listStatus(path(out))))
+    assert most <= 45, "two of ten single batches, ranges of ten and ranges of a hundred at most"
+    stored = lambda: sorted(r.id for r in K.read_batches(spark, out, rows[0].schema).collect())
+    assert stored() == list(range(201))
+    write(rows[200], 200)  # the newest batch again: it compacts again too
+    assert stored() == list(range(201))
+
+
+def test_a_crash_during_compaction_loses_and_doubles_nothing(spark):
+    out = fresh_dir(spark, "batches")
+    write = K.append_batches(out, every=3)
+    stored = lambda: sorted(r.id for r in K.read_batches(spark, out, spark.range(1).schema).collect())
+    for n in range(4):
+        write(spark.range(n, n + 1), n)
+    assert versions.complete_pieces(spark, out) == {(0, 2), (0, 0), (1, 1), (2, 2), (3, 3)}, "replaced folders stay for a while"
+    assert stored() == [0, 1, 2, 3]
+    # Batch 6 stops before its range is finished, and comes again.
+    for n in (4, 5, 6):
+        K.append_batches(out, every=100)(spark.range(n, n + 1), n)
+    spark.range(99).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/range=3-5")
+    assert stored() == [0, 1, 2, 3, 4, 5, 6]
+    write(spark.range(6, 7), 6)
+    assert stored() == [0, 1, 2, 3, 4, 5, 6]
+    assert versions.cover(versions.complete_pieces(spark, out)) == {(0, 2), (3, 5), (6, 6)}
+    for n in (7, 8, 9):
+        write(spark.range(n, n + 1), n)
+    assert (0, 8) in versions.complete_pieces(spark, out) and stored() == list(range(10))
+
+
+def test_a_batch_leaves_the_sums_of_other_periods_alone(spark):
+    """Only the periods of a batch are written; compaction adds sums up."""
+    out = fresh_dir(spark, "trend")
+    write = K.append_trend(out, "month")
+    schema = X.trend_sums(predictions(spark, (1, 1, 0.9, "2017-01-13 08:00:00")), "month").schema
+    write(predictions(spark, (1, 1, 0.9, "2017-01-13 08:00:00")), 0)
+    first = {f.getPath().toString(): f.getModificationTime() for f in _files(spark, f"{out}/v=0")}
+    for n in range(1, 10):
+        write(predictions(spark, (n + 1, 1, 0.1, "2017-02-13 08:00:00")), n)
+        assert spark.read.parquet(f"{out}/v={n}").count() == 1
+    assert {f.getPath().toString(): f.getModificationTime() for f in _files(spark, f"{out}/v=0")} == first
+    write(predictions(spark, (11, 1, 0.9, "2017-01-31 08:00:00")), 10)
+    assert spark.read.parquet(f"{out}/range=0-9").count() == 2, "a row per month"
+    sums = {r.label: (r.inflow, r.predicted_cancellations) for r in K.read_trend(spark, out, schema).collect()}
+    assert sums == {"2017-01-01": (2, 2), "2017-02-01": (9, 0)}
+
+
+def _files(spark, folder):
+    return versions._file_system(spark, folder).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))
+
+
 def test_weeks_start_on_monday(spark):
     rows = predictions(spark, (1, 1, 0.5, "2017-01-15 23:00:00"), (2, 2, 0.5, "2017-01-16 00:00:00"))
-    assert sorted(r.label for r in X.windowed_trend(rows, "week").collect()) == ["2017-01-09", "2017-01-16"]
-    assert [r.label for r in X.windowed_trend(rows, "month").collect()] == ["2017-01-01"]
+    assert sorted(r.label for r in X.trend_sums(rows, "week").collect()) == ["2017-01-09", "2017-01-16"]
+    assert [r.label for r in X.trend_sums(rows, "month").collect()] == ["2017-01-01"]
 
 
 def test_running_summary_is_the_same_in_batch_and_stream(spark):
