@@ -15,10 +15,10 @@ from staylens.llm.embedding_dedup import usable
 
 #: Pivots are that many vectors of the table, those with the smallest hash of their id; a vector is
 #: represented by its nearest ones, in order.
-PIVOTS = 512
-NEAREST = 128
+PIVOTS = 1_024
+NEAREST = 64
 #: The share of a block's vectors that is reranked for a query.
-RERANK_SHARE = 0.12
+RERANK_SHARE = 0.16
 #: Rows of a block whose cosines with a query tell what a footrule distance means, in so many groups of them, and how
 #: many deviations above a group's mean a row of its distance may lie.
 SAMPLE = 512

@@ -562,7 +562,7 @@ def test_search_finds_the_largest_inner_products_at_unequal_lengths(spark, lengt
     if lengths == "few long":
         vectors *= np.where(rng.random((8_000, 1)) < 0.01, 8, 1)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    block = ann.build(table).rows.toPandas()  # one block of 12 % of 8,000 rows
+    block = ann.build(table).rows.toPandas()  # one block, of which a share is reranked
     queries = block[block["vec_id"] % 80 == 0]
     found = ann.search_block(block, queries, 20).groupby("query_id")["vec_id"].agg(set)
     hits = 0
@@ -585,7 +585,7 @@ def test_search_by_footrule_alone_chooses_the_candidates(spark):
         score[at] = -np.inf
         hits += len(found[query] & set(block["vec_id"].to_numpy()[np.argsort(-score)[:20]]))
     assert hits / (20 * len(queries)) >= 0.9
-    few = ann.search_block(block[:100], queries[:3], 20)  # 12 % of 100 rows are fewer than asked for
+    few = ann.search_block(block[:100], queries[:3], 20)  # the share of 100 rows is fewer than asked for
     assert few.groupby("query_id").size().tolist() == [20, 20, 20]
 
 
