@@ -124,30 +124,39 @@ def build(found: DataFrame) -> Trie:
 def ends_sha256(members: DataFrame) -> DataFrame:
     """(ends, ends_sha256) from rows (ends, conv_id): the hash of the decimal ids, ascending, joined by commas.
 
-    A hash reads its input in order, so the ids of one node stream through one task, sorted by Spark, which
-    spills; the task holds a hash state and an Arrow batch.
+    The ids are sorted over all partitions, which cuts a node with many of them, and each task joins its ids to
+    texts of at most an Arrow batch. A hash reads its input in order, so the texts of a node then stream
+    through one task, sorted by Spark, which spills; that task holds a hash state and an Arrow batch.
     """
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, ids = batch.column("ends").to_numpy(), batch.column("conv_id").to_numpy()
+            edges = np.flatnonzero(np.diff(ends, prepend=ends[:1] - 1))
+            spans = list(zip(edges, [*edges[1:], len(ends)]))
+            texts = [",".join(ids[a:b].astype(str)) for a, b in spans]
+            columns = [pa.array(ends[edges]), pa.array(ids[edges]), pa.array(texts, type=pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["ends", "first", "text"])
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
             done: list[tuple[int, str]] = []
-            ends, ids = batch.column("ends").to_numpy(), batch.column("conv_id").to_numpy().astype(str)
-            edges = np.flatnonzero(np.diff(ends, prepend=ends[:1] - 1))
-            for a, b in zip(edges, [*edges[1:], len(ends)]):
-                text = ",".join(ids[a:b]).encode()
-                if ends[a] == current:
-                    state.update(b"," + text)
+            for ends, text in zip(batch.column("ends").to_pylist(), batch.column("text").to_pylist()):
+                if ends == current:
+                    state.update(b"," + text.encode())
                     continue
                 if state is not None:
                     done.append((current, state.hexdigest()))
-                current, state = int(ends[a]), hashlib.sha256(text)
+                current, state = ends, hashlib.sha256(text.encode())
             yield _digest_rows(done)
         if state is not None:
             yield _digest_rows([(current, state.hexdigest())])
 
-    ordered = members.repartition("ends").sortWithinPartitions("ends", "conv_id")
-    return ordered.mapInArrow(digests, "ends long, ends_sha256 string")
+    ordered = members.repartitionByRange("ends", "conv_id").sortWithinPartitions("ends", "conv_id")
+    texts = ordered.mapInArrow(joined, "ends long, first long, text string")
+    texts = texts.repartition("ends").sortWithinPartitions("ends", "first")
+    return texts.mapInArrow(digests, "ends long, ends_sha256 string")
 
 
 def _digest_rows(rows: list[tuple[int, str]]) -> pa.RecordBatch:
