@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staylens import schemas as S
 from staylens.functions.dates import month_bounds
 from staylens.functions.numbers import ceil_div, half_even, ratio
 from staylens.functions.risk import RISK_PREDICATES
-from staylens.operators.cleaning import dense_position
+from staylens.session import stored
 
 MAX_PAGE_SIZE = 100
 
-# Up to this many leading rows a page is a top-k; beyond it the ids are ranked instead.
+# Up to this many leading rows a page is a top-k; beyond it the page's id ranges are looked up.
 TOP_K_ROWS = 100_000
+# Rows of an id range.
+RANGE_ROWS = 10_000
 
 OPTION_COLUMNS = {
     "hotels": ("hotel", "hotel_name"),
@@ -100,32 +102,57 @@ def _page_bounds(page, size, default_size: int) -> tuple[int, int]:
     return (max(int(page or 1), 1) - 1) * size, size
 
 
-def slice_by_id(df: DataFrame, offset: int, count: int, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
+def id_ranges(df: DataFrame, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """(first_id, last_id, rows, start) of consecutive id ranges of a table, `start` rows lying before each.
+
+    Made once per version of a table or of a filtered view of it, and stored beside it: `slice_by_ranges` then
+    needs no more than the ranges of a page. All rows of an id are in one range. It takes a range sort of the
+    ids alone; the window that adds the counts up has a row per range.
+    """
+    parts = df.count() // rows_per_range + 1
+    ids = df.select("booking_id").repartitionByRange(parts, "booking_id").withColumn("_part", F.spark_partition_id())
+    ranges = ids.groupBy("_part").agg(
+        F.min("booking_id").alias("first_id"), F.max("booking_id").alias("last_id"), F.count("*").alias("rows")
+    )
+    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.select("first_id", "last_id", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+
+
+def slice_by_ranges(df: DataFrame, ranges: DataFrame, offset: int, count: int) -> DataFrame:
+    """The rows at positions [offset, offset + count) in id order, reading only the id ranges that hold them.
+
+    `ranges` are the stored `id_ranges` of the same rows. The scan prunes by the ids, and a top-k per task over
+    the rows of the few ranges gives the slice.
+    """
+    overlap = ranges.where((F.col("start") < offset + count) & (F.col("start") + F.col("rows") > offset))
+    found = overlap.agg(F.min("first_id"), F.max("last_id"), F.min("start")).first()
+    if found[0] is None:
+        return df.limit(0)
+    inside = df.where(F.col("booking_id").between(found[0], found[1]))
+    return inside.orderBy("booking_id").offset(offset - found[2]).limit(count)
+
+
+def slice_by_id(df: DataFrame, offset: int, count: int, top_k_rows: int = TOP_K_ROWS, ranges: DataFrame | None = None) -> DataFrame:
     """The rows at positions [offset, offset + count) in id order: `count` rows, or what is left, also where ids repeat.
 
     Near the front this is a top-k per task. Far back that would move every row before the slice
-    through one task, so there only the ids are range sorted and ranked; the slice lies between
-    two ids, a range that the scan prunes by, and only the first and last id are cut to their rows.
+    through one task, so there the slice is found from the id ranges of the table: stored ones if
+    given, else they are made for this slice.
     """
     if offset + count <= top_k_rows:
         return df.orderBy("booking_id").offset(offset).limit(count)
-    ranked = dense_position(df.select("booking_id"), "booking_id")
-    inside = F.col("position").between(offset + 1, offset + count)
-    ends = ranked.where(inside).agg(F.min("booking_id"), F.max("booking_id")).first()  # one row
-    if ends[0] is None:
-        return df.limit(0)
-    at_ends = ranked.where(inside & F.col("booking_id").isin(*ends)).groupBy("booking_id").count()
-    rows_at = {row["booking_id"]: row["count"] for row in at_ends.collect()}  # two rows
-    between = df.where((F.col("booking_id") > ends[0]) & (F.col("booking_id") < ends[1]))
-    return reduce(DataFrame.unionByName, (df.where(F.col("booking_id") == key).limit(n) for key, n in rows_at.items()), between)
+    if ranges is None:
+        ranges = stored(id_ranges(df), "id-ranges")
+    return slice_by_ranges(df, ranges, offset, count)
 
 
 def paginate(
-    df: DataFrame, page: int = 1, size: int = 20, fields: list[str] = S.LIST_COLUMNS, top_k_rows: int = TOP_K_ROWS
+    df: DataFrame, page: int = 1, size: int = 20, fields: list[str] = S.LIST_COLUMNS, top_k_rows: int = TOP_K_ROWS,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of rows by booking id; page at least 1, size 1 to MAX_PAGE_SIZE."""
+    """One page of rows by booking id; page at least 1, size 1 to MAX_PAGE_SIZE. `ranges` are the table's stored `id_ranges`."""
     offset, size = _page_bounds(page, size, 20)
-    return slice_by_id(df, offset, size, top_k_rows).select(*fields)
+    return slice_by_id(df, offset, size, top_k_rows, ranges).select(*fields)
 
 
 def page_after(df: DataFrame, last_id: int, size: int = 20, fields: list[str] = S.LIST_COLUMNS) -> DataFrame:

@@ -8,26 +8,32 @@ from staylens import schemas as S
 from staylens.functions.dates import assemble_date, iso_date
 from staylens.functions.labels import label_or_code, label_or_null
 from staylens.functions.numbers import lenient_int, lenient_money
-from staylens.session import reliable_checkpoint
+from staylens.session import stored
 
 
-def dense_position(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+#: Splits of the input files up to which their offsets, two longs each, are broadcast.
+BROADCAST_SPLITS = 1_000_000
+
+
+def dense_position(df: DataFrame, *order: str, name: str = "position", parts: int | None = None) -> DataFrame:
     """Add the 1-based position of each row under a total order.
 
     A global `row_number` would sort everything in one task. Instead the rows are range
-    partitioned and sorted, materialised once in the shared folder so that both reads below see
+    partitioned and sorted, stored once as Parquet in the shared folder so that both reads below see
     the same partitions, and each partition's offset is the number of rows in the partitions
     before it. The offsets table has one row per shuffle partition, which bounds the broadcast
     and the one unpartitioned window. All columns of `order` together must be unique: ties are
-    then never split at random, and a frequent first column still spreads over partitions.
+    then never split at random, and a frequent first column still spreads over partitions. `parts`
+    is the number of ranges, `spark.sql.shuffle.partitions` unless given.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = reliable_checkpoint(
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
-        .withColumn("_rank", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+        .withColumn("_rank", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)),
+        "positions",
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -46,18 +52,29 @@ def position_in_files(read: DataFrame, name: str = "position") -> DataFrame:
     """Add the 1-based position of each row in its files, which `files.file_position` has marked.
 
     A split holds a run of consecutive rows, so a row's position is the number of rows in the
-    splits before it plus its rank in the split. That takes one more read, of the marks only,
-    and no shuffle of the rows; the offsets have one row per split.
+    splits before it plus its rank in the split. That takes one more read, of the marks only. The
+    offsets are found in two levels, files and the splits of a file, and have one row per split,
+    known by a number; up to BROADCAST_SPLITS of them are broadcast and the rows aren't shuffled.
     """
     splits = read.groupBy("file_path", "split_start").agg(F.count("*").alias("_rows"), F.min("split_row").alias("_first"))
-    before = Window.orderBy("file_path", "split_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "file_path", "split_start", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_offset")
+    splits = stored(splits, "splits")
+    paths = splits.groupBy("file_path").agg(F.sum("_rows").alias("_rows"))
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    paths = paths.select("file_path", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("file_path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    rows_before = F.col("_before") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))
+    number = F.xxhash64("file_path", "split_start")
+    offsets = splits.join(paths, "file_path").select(
+        "file_path", "split_start", number.alias("_split"), (rows_before - F.col("_first")).alias("_offset")
     )
-    return (
-        read.join(offsets, ["file_path", "split_start"])
-        .withColumn(name, (F.col("_offset") + F.col("split_row") + 1).cast("bigint"))
-        .drop("file_path", "split_start", "split_row", "_offset")
+    offsets = stored(offsets, "split-offsets")
+    known, numbers = offsets.agg(F.count("*"), F.count_distinct("_split")).first()
+    if known == numbers and known <= BROADCAST_SPLITS:
+        placed = read.withColumn("_split", number).join(F.broadcast(offsets.select("_split", "_offset")), "_split").drop("_split")
+    else:
+        placed = read.join(offsets.drop("_split"), ["file_path", "split_start"])
+    return placed.withColumn(name, (F.col("_offset") + F.col("split_row") + 1).cast("bigint")).drop(
+        "file_path", "split_start", "split_row", "_offset"
     )
 
 

@@ -43,9 +43,11 @@ def split_counts(df: DataFrame, cutoff: str = OFFLINE_CUTOFF, start: str = REALT
     )
 
 
-def event_slice(df: DataFrame, start: int, count: int, first_day: str = REALTIME_START) -> DataFrame:
-    """`count` realtime rows from position `start`, in id order, with the event fields."""
-    return as_events(slice_by_id(realtime_side(df, first_day), start, count))
+def event_slice(
+    df: DataFrame, start: int, count: int, first_day: str = REALTIME_START, ranges: DataFrame | None = None
+) -> DataFrame:
+    """`count` realtime rows from position `start`, in id order, with the event fields; `ranges` are their stored `id_ranges`."""
+    return as_events(slice_by_id(realtime_side(df, first_day), start, count, ranges=ranges))
 
 
 def as_events(df: DataFrame) -> DataFrame:

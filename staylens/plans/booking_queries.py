@@ -11,7 +11,7 @@ from staylens.operators import overview as O
 from staylens.plans import tables as D
 from staylens.plans.catalog import query
 from staylens.plans.oracle_tables import even, wire
-from staylens.session import fresh_dir
+from staylens.session import fresh_dir, stored
 from staylens.sources import files
 
 _LIST = wire(S.LIST_COLUMNS)
@@ -85,7 +85,8 @@ def paginate(spark, sf):
 @query("paginate_deep", f"SELECT {_LIST} FROM active ORDER BY booking_id LIMIT 100 OFFSET 1000")
 def paginate_deep(spark, sf):
     """A page past the top-k bound; the bound is lowered so that the small tables reach it."""
-    return B.paginate(_active(spark, sf), page=11, size=500, top_k_rows=1000)
+    active = _active(spark, sf)
+    return B.paginate(active, page=11, size=500, top_k_rows=1000, ranges=stored(B.id_ranges(active), "id-ranges"))
 
 
 @query("paginate_keyset", f"SELECT {_LIST} FROM active WHERE booking_id > 700 ORDER BY booking_id LIMIT 25")
@@ -225,14 +226,12 @@ def upsert_by_key(spark, sf):
 
 @query("rewrite_table", f"SELECT {_ALL} FROM (SELECT * REPLACE (case when booking_id IN (SELECT booking_id FROM predictions) then 1 else is_deleted end AS is_deleted) FROM bookings)")
 def rewrite_table(spark, sf):
-    """Store the table, edit it, store the result as the next version and read that back."""
-    from staylens.sources import versions
-
-    path = fresh_dir(spark, "bookings-versions")
-    versions.replace_table(D.bookings(spark, sf), path)
-    current = versions.read_version(spark, path, S.CONTRACT_SCHEMA)
-    versions.replace_table(E.soft_delete(current, D.predictions(spark, sf)), path)
-    return versions.read_version(spark, path, S.CONTRACT_SCHEMA)
+    """Store the table by month, mark the predicted bookings deleted in the months that hold any, and read it back."""
+    path = fresh_dir(spark, "bookings")
+    files.write_bookings_table(D.bookings(spark, sf), path)
+    gone = D.predictions(spark, sf)
+    files.rewrite_months(spark, path, gone, lambda rows: E.soft_delete(rows, gone))
+    return files.read_bookings_table(spark, path).drop("arrival_month")
 
 
 # --- overview --------------------------------------------------------------------------------

@@ -87,7 +87,8 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
-def reliable_checkpoint(df):
-    """Materialise to the shared folder and cut the lineage; survives lost executors."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df, label: str):
+    """Write to the shared folder as Parquet and read back: later jobs neither recompute it nor depend on an executor."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

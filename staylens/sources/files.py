@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from staylens import schemas as S
 from staylens.functions.dates import iso_date
 from staylens.functions.labels import null_tokens
+from staylens.session import fresh_dir
 
 
 LOOKUP_BUCKETS = 64
@@ -80,13 +82,12 @@ def write_bookings_table(cleaned: DataFrame, path: str) -> None:
     Ranging on (month, id) gives each task one or few months, hence few files, and splits a month
     that holds a large share of the rows over several tasks.
     """
-    (
-        cleaned.withColumn("arrival_month", F.date_format("arrival_date", "yyyy-MM"))
-        .repartitionByRange("arrival_month", "booking_id")
-        .sortWithinPartitions("arrival_month", "booking_id")
-        .write.partitionBy("arrival_month")
-        .parquet(path)
-    )
+    _by_month(cleaned.withColumn("arrival_month", F.date_format("arrival_date", "yyyy-MM"))).parquet(path)
+
+
+def _by_month(rows: DataFrame) -> DataFrameWriter:
+    ranged = rows.repartitionByRange("arrival_month", "booking_id").sortWithinPartitions("arrival_month", "booking_id")
+    return ranged.write.partitionBy("arrival_month")
 
 
 def read_bookings_table(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +95,38 @@ def read_bookings_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def rewrite_months(spark: SparkSession, path: str, ids: DataFrame, edit: Callable[[DataFrame], DataFrame]) -> list[str | None]:
+    """Replace the month folders of a bookings table that hold any of `ids` by what `edit` makes of their rows.
+
+    The folders of all other months keep their files. `edit` leaves the arrival date alone, as edits, soft
+    deletes and replacements of rows do, so no row changes its month. Returns the months, None for rows
+    without a date. The edited rows are stored aside first: if the exchange of the folders breaks off,
+    `exchange_months` with the folder named in the error's notes finishes it.
+    """
+    table = read_bookings_table(spark, path)
+    touched = table.join(ids.select("booking_id"), "booking_id", "left_semi").select("arrival_month").distinct()
+    months = [row["arrival_month"] for row in touched.collect()]  # a row per month
+    if not months:
+        return []
+    month = F.col("arrival_month")
+    inside = month.isin([m for m in months if m is not None])
+    rows = table.where(inside | month.isNull() if None in months else inside)
+    staged = fresh_dir(spark, "edited-months")
+    _by_month(edit(rows).select(*table.columns)).parquet(staged)
+    try:
+        exchange_months(spark, staged, path)
+    except Exception as error:
+        error.add_note(f"the edited months are in {staged}")
+        raise
+    return months
+
+
+def exchange_months(spark: SparkSession, staged: str, path: str) -> None:
+    """Put the month folders of one bookings table in the place of another's; running it again does no harm."""
+    rows = read_bookings_table(spark, staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("arrival_month").parquet(path)
+
+
 def write_lookup_table(cleaned: DataFrame, path: str, buckets: int = LOOKUP_BUCKETS) -> None:
     """Parquet in buckets by id, sorted in each, for `read_lookup_table`.
 

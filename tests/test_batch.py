@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 import statistics
 
 import pytest
@@ -17,7 +18,7 @@ from staylens.operators import overview as O
 from staylens.operators import predictions as P
 from staylens.operators import series as R
 from staylens.operators import splits as L
-from staylens.session import fresh_dir
+from staylens.session import fresh_dir, stored
 from staylens.sources import files, versions
 
 RAW = {
@@ -94,6 +95,68 @@ def test_dense_position_with_a_hot_first_column(spark):
     assert [r.position for r in got] == list(range(1, 5001))
 
 
+def test_file_positions_shuffle_no_rows(spark, monkeypatch):
+    """Even where nothing is small enough to broadcast by its size; beyond the bound on splits the result is the same."""
+    path = fresh_dir(spark, "ordered-csv")
+    raw = raw_rows(spark, *({"lead_time": str(n)} for n in range(300)))
+    files.write_raw_csv(raw.repartitionByRange(3, "pos").sortWithinPartitions("pos").drop("pos"), path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        marked = files.read_raw_csv(spark, path, positions=True)
+        numbered = C.import_files(marked)
+        text = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
+        found = sorted((r.booking_id, r.lead_time) for r in numbered.collect())
+        assert found == [(n + 1, n) for n in range(300)]
+        monkeypatch.setattr(C, "BROADCAST_SPLITS", 2)
+        assert sorted((r.booking_id, r.lead_time) for r in C.import_files(marked).collect()) == found
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_deep_pages_read_the_stored_ranges_of_their_rows(spark):
+    table = spark.range(0, 300_000, 3).select(F.col("id").alias("booking_id")).repartition(8)
+    ranges = stored(B.id_ranges(table, 500), "ranges")
+    assert ranges.agg(F.sum("rows"), F.max(F.col("start") + F.col("rows"))).first() == (100_000, 100_000)
+    for offset, count in ((0, 1), (499, 2), (50_000, 100), (99_950, 100), (100_000, 5)):
+        page = B.slice_by_id(table, offset, count, 0, ranges)
+        assert sorted(r.booking_id for r in page.collect()) == [3 * n for n in range(offset, min(offset + count, 100_000))]
+    text = B.slice_by_id(table, 70_000, 100, 0, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    low, high = (int(n) for n in re.search(r">= (\d+)\).*?<= (\d+)\)", text).groups())
+    assert (high - low) / 3 + 1 <= 0.012 * 100_000, "a page reads the rows of one or two ranges"
+
+
+def test_edits_rewrite_only_their_months(spark):
+    path = fresh_dir(spark, "months")
+    table = booking_rows(spark, *({"arrival_date_month": month} for month in ("January", "March", "March", "July")), {"arrival_date_day_of_month": "32"})
+    files.write_bookings_table(table, path)
+    fs = versions._file_system(spark, path)
+
+    def stamps():
+        found, listed = {}, fs.listFiles(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        while listed.hasNext():
+            status = listed.next()
+            if status.getPath().getName().startswith("part-"):
+                found[status.getPath().toString()] = status.getModificationTime()
+        return found
+
+    before = stamps()
+    ids = [r.booking_id for r in table.orderBy("booking_id").collect()]
+    gone = spark.createDataFrame([(ids[1],), (-5,)], "booking_id bigint")
+    assert files.rewrite_months(spark, path, gone, lambda rows: E.soft_delete(rows, gone)) == ["2017-03"]
+    after = stamps()
+    assert {name for name in before if before[name] != after.get(name)} == {name for name in before if "=2017-03" in name}
+    assert {name for name in before if "=2017-03" not in name} == {name for name in after if "=2017-03" not in name}
+    assert {r.booking_id: r.is_deleted for r in files.read_bookings_table(spark, path).collect()} == {i: int(i == ids[1]) for i in ids}
+    dateless = spark.createDataFrame([(ids[4],)], "booking_id bigint")
+    assert files.rewrite_months(spark, path, dateless, lambda rows: E.soft_delete(rows, dateless)) == [None]
+    assert {r.booking_id: r.is_deleted for r in files.read_bookings_table(spark, path).collect()} == {i: int(i in (ids[1], ids[4])) for i in ids}
+    assert files.rewrite_months(spark, path, spark.createDataFrame([(-5,)], "booking_id bigint"), lambda rows: rows) == []
+
+
 def test_align_and_required_columns(spark):
     df = spark.createDataFrame([(1, "City Hotel")], "booking_id bigint, hotel string")
     row = C.align_to_contract(df).first()
