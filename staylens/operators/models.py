@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,7 +13,7 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     SQLTransformer,
     StandardScaler,
-    StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +27,7 @@ from staylens.functions.numbers import half_even
 from staylens.operators.cleaning import require_columns
 from staylens.operators.predictions import confusion_matrix, quality
 from staylens.operators.splits import (
+    category_counts,
     category_profile,
     class_weights,
     exact_test_part,
@@ -32,7 +35,7 @@ from staylens.operators.splits import (
     offline_side,
     split_counts,
 )
-from staylens.session import use_checkpoints
+from staylens.session import stored, use_checkpoints
 
 # A category list lives on the driver and in every task, so its size is checked.
 MAX_CATEGORIES = 10_000
@@ -55,11 +58,16 @@ def preprocessing(
     `max_categories` values is an error.
     """
     indexed = [name for name in S.CATEGORICAL_FEATURES if name not in hashed]
-    profile = {row["column_name"]: row for row in category_profile(train).collect()}  # one row per column
+    counts = stored(category_counts(train), "category-counts")  # a row per value of a column
+    profile = {row["column_name"]: row for row in category_profile(counts).collect()}  # one row per column
     wide = [name for name in indexed if name in profile and profile[name]["n_values"] > max_categories]
     if wide:
         raise ValueError(f"more than {max_categories} values in {wide}: name them in `hashed`, or raise `max_categories`")
-    medians = {row["column_name"]: row["median"] for row in feature_stats(train).collect()}  # likewise
+    values: dict[str, list[str]] = {name: [] for name in indexed}
+    listed = counts.where(F.col("column_name").isin(indexed)).orderBy("column_name", F.desc("n"), "value")
+    for row in listed.collect():  # max_categories per column at most
+        values[row["column_name"]].append(row["value"])
+    medians = {row["column_name"]: row["median"] for row in feature_stats(train).collect()}  # one row per column
     filled = [
         f"coalesce(`{name}`, {sql_literal(profile[name]["mode"])}) AS `{name}_filled`" if name in profile else f"`{name}` AS `{name}_filled`"
         for name in S.CATEGORICAL_FEATURES
@@ -75,10 +83,10 @@ def preprocessing(
     vectors = ["scaled"]
     if indexed:
         stages += [
-            StringIndexer(
-                inputCols=[f"{name}_filled" for name in indexed],
-                outputCols=[f"{name}_index" for name in indexed],
-                handleInvalid="keep",
+            # The values by falling frequency, as an indexer would find them in a pass of its own.
+            *(
+                StringIndexerModel.from_labels(values[name], f"{name}_filled", f"{name}_index", handleInvalid="keep")
+                for name in indexed
             ),
             OneHotEncoder(
                 inputCols=[f"{name}_index" for name in indexed], outputCols=[f"{name}_onehot" for name in indexed], dropLast=True
@@ -173,36 +181,48 @@ def evaluate(name: str, model: PipelineModel, train: DataFrame, test: DataFrame)
     )
 
 
-def train(
-    bookings: DataFrame, cutoff: str, only: list[str] | None = None, max_depth: int = MAX_DEPTH, trees: int = 120,
-    max_bins: int = MAX_BINS, hashed: tuple[str, ...] = (), max_categories: int = MAX_CATEGORIES,
-) -> Trained:
-    """Fit the candidates on the offline side, grade them on a held-out fifth of each class and select the best by F1.
+@contextmanager
+def held_parts(bookings: DataFrame, cutoff: str) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The train rows of the offline side with their class weights, and a held-out fifth of each class.
 
     The feature columns are held for the many passes of the fits, so the table is read once; on a
-    lost executor Spark reads its part again. Tree nodes reach over many jobs, so their ids are cut
-    off from their lineage in the shared folder.
+    lost executor Spark reads its part again.
     """
-    use_checkpoints(bookings.sparkSession)
     source = training_frame(offline_side(bookings, cutoff)).persist()
     rows = exact_test_part(source, label="label").persist()
     try:
-        train_part = balanced(rows.where(~F.col("is_test")))
-        test_part = rows.where("is_test")
-        fits = candidates(train_part.count(), max_depth, trees, max_bins)
-        wanted = {name: fits[name] for name in only or fits}
-        prepared = Pipeline(stages=preprocessing(train_part, hashed, max_categories=max_categories)).fit(train_part)
-        features = spread(prepared.transform(train_part).select("booking_id", "label", "weight", "features")).persist()
-        models, grades = {}, []
-        for name, estimator in wanted.items():
-            models[name] = PipelineModel(stages=[*prepared.stages, estimator.fit(features)])
-            grades.append(evaluate(name, models[name], train_part, test_part).first().asDict())
-        features.unpersist()
+        yield balanced(rows.where(~F.col("is_test"))), rows.where("is_test")
     finally:
         rows.unpersist()
         source.unpersist()
+
+
+def train(bookings: DataFrame, cutoff: str, *args, **options) -> Trained:
+    """Fit the candidates on the offline side, see `fit`, and grade them on a held-out fifth of each class."""
+    with held_parts(bookings, cutoff) as (train_part, test_part):
+        return fit(train_part, test_part, *args, **options)
+
+
+def fit(
+    train_part: DataFrame, test_part: DataFrame, only: list[str] | None = None, max_depth: int = MAX_DEPTH, trees: int = 120,
+    max_bins: int = MAX_BINS, hashed: tuple[str, ...] = (), max_categories: int = MAX_CATEGORIES,
+) -> Trained:
+    """Fit the candidates on weighted rows, grade them on others and select the best by F1.
+
+    Tree nodes reach over many jobs, so their ids are cut off from their lineage in the shared folder.
+    """
+    use_checkpoints(train_part.sparkSession)
+    fits = candidates(train_part.count(), max_depth, trees, max_bins)
+    wanted = {name: fits[name] for name in only or fits}
+    prepared = Pipeline(stages=preprocessing(train_part, hashed, max_categories=max_categories)).fit(train_part)
+    features = spread(prepared.transform(train_part).select("booking_id", "label", "weight", "features")).persist()
+    models, grades = {}, []
+    for name, estimator in wanted.items():
+        models[name] = PipelineModel(stages=[*prepared.stages, estimator.fit(features)])
+        grades.append(evaluate(name, models[name], train_part, test_part).first().asDict())
+    features.unpersist()
     selected = max(grades, key=lambda grade: (grade["f1_score"], grade["accuracy"], grade["model_name"]))["model_name"]
-    report = bookings.sparkSession.createDataFrame(grades)  # one row per model
+    report = train_part.sparkSession.createDataFrame(grades)  # one row per model
     return Trained(models, report.withColumn("is_selected", (F.col("model_name") == selected).cast("int")), selected)
 
 
@@ -303,17 +323,18 @@ def linear_probability(bookings: DataFrame, model: PipelineModel, name: str = "l
     by_kind = {type(stage).__name__: stage for stage in model.stages}
     if "FeatureHasherModel" in by_kind or "FeatureHasher" in by_kind:
         raise ValueError("hashed columns have no coefficient per value")
-    scaler, indexer, fit = by_kind["StandardScalerModel"], by_kind["StringIndexerModel"], by_kind["LogisticRegressionModel"]
+    scaler, fit = by_kind["StandardScalerModel"], by_kind["LogisticRegressionModel"]
+    indexers = [stage for stage in model.stages if isinstance(stage, StringIndexerModel)]
     weights = fit.coefficients.toArray().tolist()
     score: Column = F.lit(float(fit.intercept))
     for feature, mean, deviation in zip(S.NUMERIC_FEATURES, scaler.mean.toArray().tolist(), scaler.std.toArray().tolist()):
         weight = weights.pop(0)
         if deviation:
             score = score + (F.col(f"{feature}_number") - F.lit(mean)) / F.lit(deviation) * F.lit(weight)
-    for column, labels in zip(indexer.getInputCols(), indexer.labelsArray):
-        effects = [part for label in labels for part in (F.lit(label), F.lit(weights.pop(0)))]
+    for indexer in indexers:
+        effects = [part for label in indexer.labels for part in (F.lit(label), F.lit(weights.pop(0)))]
         if effects:
-            score = score + F.coalesce(F.create_map(*effects)[F.col(column)], F.lit(0.0))
+            score = score + F.coalesce(F.create_map(*effects)[F.col(indexer.getInputCol())], F.lit(0.0))
     filled = model.stages[0].transform(bookings)
     return filled.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-score))).select(*bookings.columns, name)
 

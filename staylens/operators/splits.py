@@ -166,9 +166,13 @@ def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> Dat
     ).select("own.column_name", "median", "own.mean", "own.deviation")
 
 
-def category_profile(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
-    """Per categorical feature the most frequent value, the smallest among equals, its rows and the number of values; one pass."""
-    counts = _long(df, columns, "string").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+def category_counts(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
+    """(column_name, value, n): rows per value of each categorical feature, missing ones left out; one pass."""
+    return _long(df, columns, "string").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+
+
+def category_profile(counts: DataFrame) -> DataFrame:
+    """Per column of `category_counts` the most frequent value, the smallest among equals, its rows and the number of values."""
     return counts.groupBy("column_name").agg(
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
         F.max("n").alias("row_count"),
@@ -178,4 +182,4 @@ def category_profile(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES)
 
 def category_modes(df: DataFrame, columns: list[str] = S.CATEGORICAL_FEATURES) -> DataFrame:
     """Most frequent value per categorical feature, and its rows."""
-    return category_profile(df, columns).drop("n_values")
+    return category_profile(category_counts(df, columns)).drop("n_values")

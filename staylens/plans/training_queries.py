@@ -41,22 +41,17 @@ def _tested(report):
     )
 
 
-def _train_part(active):
-    rows = L.exact_test_part(T.training_frame(L.offline_side(active, D.CUTOFF)), label="label")
-    return T.balanced(rows.where(~F.col("is_test")))
-
-
 @query(
     "train_lr",
     f"SELECT 'logistic_regression' AS model_name, test_rows, test_positives, 1::bigint AS is_selected, true AS at_optimum FROM {_PARTS}",
 )
 def train_lr(spark, sf):
     """The fit, its test matrix and whether the penalised loss is flat there."""
-    active = _active(spark, sf)
-    trained = T.train(active, D.CUTOFF, only=["logistic_regression"])
-    slope = T.steepest(trained.models["logistic_regression"], _train_part(active)).scalar()
+    with T.held_parts(_active(spark, sf), D.CUTOFF) as (train_part, test_part):
+        trained = T.fit(train_part, test_part, only=["logistic_regression"])
+        slope = T.steepest(trained.models["logistic_regression"], train_part).first()["slope"]
     return _tested(trained.report).select(
-        "model_name", "test_rows", "test_positives", F.col("is_selected").cast("bigint"), (slope < 1e-3).alias("at_optimum")
+        "model_name", "test_rows", "test_positives", F.col("is_selected").cast("bigint"), F.lit(slope < 1e-3).alias("at_optimum")
     )
 
 
@@ -148,6 +143,21 @@ def ml_artifact_roundtrip(spark, sf):
     return before.join(after, "booking_id").select("booking_id", (F.col("saved") == F.col("loaded")).alias("equal"))
 
 
+@query("ml_forest_roundtrip", f"SELECT booking_id, true AS equal FROM {_REALTIME}")
+def ml_forest_roundtrip(spark, sf):
+    """A small forest, saved and loaded with its metrics document: the served model name and the probabilities are the same."""
+    path = fresh_dir(spark, "artifacts")
+    active = _active(spark, sf)
+    trained = T.train(active, D.CUTOFF, only=["random_forest"], max_depth=8, trees=10)
+    T.save_artifacts(trained, T.metrics_document(trained, active, D.CUTOFF, D.START), path)
+    loaded, served = T.load_model(path), T.metrics_of(spark.read.json(f"{path}/metrics")).select("model_name").scalar()
+    rows = L.realtime_side(active, D.START)
+    before = T.score(rows, trained.models["random_forest"], "v1").select("booking_id", F.col("cancel_probability").alias("saved"))
+    after = T.score(rows, loaded, "v1").select("booking_id", F.col("cancel_probability").alias("loaded"))
+    same = (F.col("saved") == F.col("loaded")) & (served == "random_forest")
+    return before.join(after, "booking_id").select("booking_id", same.alias("equal"))
+
+
 @query(
     "train_and_select",
     f"""SELECT 1::bigint AS is_selected, 'selected by training pipeline' AS reason, true AS is_best, 2::bigint AS models,

@@ -174,6 +174,7 @@ LABEL = "is_canceled"
 # ---------------------------------------------------------------------------
 # Stream and result tables.
 # ---------------------------------------------------------------------------
+# Fields of events, predictions and metrics.
 EVENT_SCHEMA = struct(
     "booking_id bigint, hotel string, hotel_name string, country_code string, country_name string, "
     "market_segment string, customer_type string, lead_time int, adr double, total_guests int, total_nights int, "
@@ -192,5 +193,6 @@ METRIC_SCHEMA = struct(
 SUMMARY_METRICS = ["processed_count", "high_risk_count", "average_cancel_probability", "predicted_cancellations"]
 TREND_METRICS = ["inflow", "predicted_cancellations", "cancel_rate"]
 METRIC_TYPES = ["summary", "trend", "trend_day", "trend_week", "trend_month", "country_risk", "channel_risk"]
+# The name of the stream among the sources, and the rows of the offline side in the published split.
 STREAM_SOURCE = "storm"
 DEFAULT_OFFLINE_ROWS = 80008

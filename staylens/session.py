@@ -76,9 +76,23 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables, under the scratch folder."""
+    return f"{scratch_root(spark)}/staylens/{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new path under the scratch folder that nothing else uses."""
-    return f"{scratch_root(spark)}/staylens/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's folder that nothing else uses."""
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; for the end of a job, when its results are stored elsewhere.
+
+    Frames that the library has returned may still read them, so nothing is deleted before.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def use_checkpoints(spark: SparkSession) -> None:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staylens import schemas as S
+from staylens import session
 from staylens.operators import bookings as B
 from staylens.operators import cleaning as C
 from staylens.operators import edits as E
@@ -157,6 +158,14 @@ def test_edits_rewrite_only_their_months(spark):
     assert files.rewrite_months(spark, path, spark.createDataFrame([(-5,)], "booking_id bigint"), lambda rows: rows) == []
 
 
+def test_scratch_is_removed_on_demand(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
+    rows = stored(spark.range(5), "some")
+    assert rows.count() == 5 and list(tmp_path.rglob("*.parquet"))
+    session.remove_scratch(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_align_and_required_columns(spark):
     df = spark.createDataFrame([(1, "City Hotel")], "booking_id bigint, hotel string")
     row = C.align_to_contract(df).first()

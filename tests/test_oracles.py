@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from staylens import plans
 from tests.oracle_check import compare
 
-# Fits a full forest; the small forest of train_and_select covers the same code.
+# Fits a full forest alone, as train_and_select does beside the regression.
 SLOW = {"train_rf"}
 
 
