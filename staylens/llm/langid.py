@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,6 +108,20 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def slices(text: str, letters: np.ndarray) -> Iterator[tuple[int, str]]:
+    """A long text in pieces of at most CHUNK characters, each with its start, cut between words; a word of more than half a CHUNK is cut too."""
+    at = 0
+    while at < len(text):
+        end = min(at + CHUNK, len(text))
+        if end < len(text):
+            cut = end
+            while cut > at + CHUNK // 2 and letters[ord(text[cut - 1])] and letters[ord(text[cut])]:
+                cut -= 1
+            end = cut if cut > at + CHUNK // 2 else end
+        yield at, text[at:end]
+        at = end
+
+
 def fit(docs: DataFrame, use: Column | None = None) -> LanguageModel:
     """Learn from all rows of ``docs`` (text, lang) for which ``use`` holds and neither column is null.
 
@@ -125,7 +140,7 @@ def fit(docs: DataFrame, use: Column | None = None) -> LanguageModel:
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 total = sums.setdefault(lang, np.zeros(BUCKETS + scripts, dtype=np.int64))
-                texts = rows["text"].tolist()
+                texts = [piece for text in rows["text"] for _, piece in slices(text, letters)]
                 for a, b in chunks(texts):
                     words = Words(texts[a:b], letters)
                     for _, bucket in words.ngrams():
@@ -198,6 +213,38 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     return labels
 
 
+def long_path(text: str, model: LanguageModel, switch: float, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and language of each word of one long text, slice by slice.
+
+    The scores of the best paths go from slice to slice; what is kept of a word are its place, a flag per
+    language and the language to come from, so the scores of the whole text are never held.
+    """
+    many = len(model.languages)
+    starts, ends, flags, comes_from = [], [], bytearray(), array("l")
+    best: list[float] = []
+    for at, piece in slices(text, letters):
+        words = Words([piece], letters)
+        starts.append(words.start - words.text_start[0] + at)
+        ends.append(words.end - words.text_start[0] + at)
+        for row in word_scores(words, model).tolist():
+            if not best:
+                best, leader, stays = row, 0, [True] * many
+            else:
+                top = max(best)
+                leader, moved = best.index(top), top - switch
+                stays = [old >= moved for old in best]
+                best = [(old if stay else moved) + new for old, stay, new in zip(best, stays, row)]
+            flags.extend(stays)
+            comes_from.append(leader)
+    labels = np.zeros(len(comes_from), dtype=np.int64)
+    state = best.index(max(best)) if best else 0
+    for t in range(len(labels) - 1, -1, -1):
+        labels[t] = state
+        if not flags[t * many + state]:
+            state = comes_from[t]
+    return np.concatenate([*starts, np.zeros(0, dtype=np.int64)]), np.concatenate([*ends, np.zeros(0, dtype=np.int64)]), labels
+
+
 def identify(text: Column, model: LanguageModel, switch: float = SWITCH) -> Column:
     """Struct of lang_pred, score and spans: (start, end, lang) over runs of words in one language.
 
@@ -211,28 +258,37 @@ def identify(text: Column, model: LanguageModel, switch: float = SWITCH) -> Colu
         for texts in batches:
             yield answers(texts, letters)
 
+    def paths(texts: list[str], letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Start, end and language of the words of each text."""
+        nothing = np.zeros(0, dtype=np.int64)
+        if not model.languages:
+            yield from [(nothing, nothing, nothing)] * len(texts)
+        elif len(texts) == 1 and len(texts[0]) > CHUNK:
+            yield long_path(texts[0], model, switch, letters)
+        else:
+            words = Words(texts, letters)
+            labels = viterbi(word_scores(words, model), words.first_word, switch)
+            for i in range(len(texts)):
+                own = slice(words.first_word[i], words.first_word[i + 1])
+                yield words.start[own] - words.text_start[i], words.end[own] - words.text_start[i], labels[own]
+
     def answers(texts: pd.Series, letters: np.ndarray) -> pd.DataFrame:
         values = ["" if text is None else text for text in texts]
         langs, scores, spans = [], [], []
         for a, b in chunks(values):
-            words = Words(values[a:b], letters)
-            labels = viterbi(word_scores(words, model), words.first_word, switch) if model.languages else None
-            for i in range(b - a):
-                own = slice(words.first_word[i], words.first_word[i + 1])
-                if labels is None or own.start == own.stop:
+            for start, end, labels in paths(values[a:b], letters):
+                if not len(labels):
                     langs.append("und"), scores.append(0.0), spans.append([])
                     continue
-                size = words.end[own] - words.start[own]
-                share = np.bincount(labels[own], size, minlength=len(model.languages))
+                share = np.bincount(labels, end - start, minlength=len(model.languages))
                 top = int(share.argmax())
                 langs.append(model.languages[top]), scores.append(float(share[top] / share.sum()))
-                turns = np.concatenate([[0], np.flatnonzero(np.diff(labels[own])) + 1])
-                ends = np.append(turns[1:], own.stop - own.start) - 1
-                begin, end = words.start[own][turns] - words.text_start[i], words.end[own][ends] - words.text_start[i]
+                turns = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1])
+                lasts = np.append(turns[1:], len(labels)) - 1
                 spans.append(
                     [
                         {"start": int(s), "end": int(e), "lang": model.languages[int(k)]}
-                        for s, e, k in zip(begin, end, labels[own][turns])
+                        for s, e, k in zip(start[turns], end[lasts], labels[turns])
                     ]
                 )
         return pd.DataFrame(
@@ -249,6 +305,7 @@ def identify(text: Column, model: LanguageModel, switch: float = SWITCH) -> Colu
 def predict(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, spans) of every row; held_out marks ids whose crc32 is divisible by 5.
 
+    A text of more than CHUNK characters is worked on in slices, so its size doesn't decide the memory it takes.
     Repeated rows get the same answer, a null doc_id isn't held out, an empty table gives an empty table, and
     other columns are ignored.
     """
