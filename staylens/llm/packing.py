@@ -14,7 +14,7 @@ from staylens.llm.common import materialize, prepare, word_count
 LENGTHS = (512, 1_024, 2_048, 4_096, 8_192)
 #: What a sequence costs besides its length, in words.
 SEQUENCE_COST = 64
-#: Pieces that are packed together. The loss by packing apart is a few bins in thousands.
+#: Most pieces that are packed together. The loss by packing apart is a few bins in thousands.
 GROUP = 20_000
 
 
@@ -90,6 +90,9 @@ def best_fit(
 ) -> DataFrame:
     """(doc_id, piece, start, size, bin_id, bin_offset, bin_length): where every word of ``docs`` goes.
 
+    Pieces are counted by id, place and size and dealt to the groups that are packed together in blocks, so
+    that rows of one id are no large group.
+
     size is the number of words unless given. A document longer than the largest permitted length is cut
     into pieces of that length and a rest. bin_id is unique over the table. Null and empty texts have one
     row of size 0 without a bin; repeated rows are packed each; an empty table gives an empty table. Other
@@ -105,9 +108,10 @@ def best_fit(
     pieces = pieces.withColumn("start", F.col("piece") * largest)
     pieces = pieces.withColumn("size", F.least(F.col("words") - F.col("start"), F.lit(largest)))
     total = pieces.filter("size > 0").count()
-    groups = total // GROUP + 1
+    groups = 2 * total // GROUP + 1  # half a GROUP in each on average
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.loc[rows.index.repeat(rows["many"])].drop(columns="many")
         rows = rows.sort_values(["doc_id", "piece", "size"], kind="stable").reset_index(drop=True)
         bins, offsets, capacity = pack(rows["size"].tolist(), lengths, sequence_cost)
         first = int(rows["grp"].iat[0]) << 32
@@ -116,8 +120,18 @@ def best_fit(
         ).drop(columns="grp")
 
     schema = "doc_id long, piece long, start long, size long, bin_id long, bin_offset long, bin_length long"
-    grouped = pieces.filter("size > 0").select(
-        F.col("doc_id").cast("long"), "piece", "start", "size", F.expr(f"pmod(xxhash64(doc_id, piece), {groups})").alias("grp")
+    block = max(GROUP // 20, 1)
+    counted = pieces.filter("size > 0").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "size").agg(
+        F.count("*").alias("rows")
+    )
+    counted = counted.withColumn("block", F.explode(F.expr(f"sequence(0L, (rows - 1) div {block})")))
+    grouped = counted.select(
+        "doc_id",
+        "piece",
+        "start",
+        "size",
+        F.least(F.lit(block), F.col("rows") - F.col("block") * block).cast("long").alias("many"),
+        F.expr(f"pmod(xxhash64(doc_id, piece, size, block), {groups})").alias("grp"),
     )
     out = grouped.groupBy("grp").applyInPandas(packed, schema)
     nothing = F.lit(None).cast("long")

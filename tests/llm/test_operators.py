@@ -359,6 +359,23 @@ def test_viterbi_equals_the_best_of_all_paths():
         assert tuple(got[a:b]) == best
 
 
+def test_long_texts_are_worked_on_in_slices(spark, monkeypatch):
+    """Slices give the answer of the whole text; a word without an end is cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(12).collect()]
+    rows = [(1, " ".join(texts)), (2, "... 12 !" * 300), (3, "Das ist " * 200 + "это русский текст " * 200 + texts[0]), (4, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: r for r in langid.predict(table, model).collect()}
+    monkeypatch.setattr(langid, "CHUNK", 700)
+    cut = {r["doc_id"]: r for r in langid.predict(table, model).collect()}
+    assert cut == whole and len(whole[1]["spans"]) > 3
+    endless = langid.predict(spark.createDataFrame([(5, "слово" * 1_000)], "doc_id long, text string"), model).first()
+    assert endless["score"] == 1.0 and sum(s["end"] - s["start"] for s in endless["spans"]) == 5_000
+    again = langid.fit(docs)
+    assert np.allclose(again.table, model.table, atol=0.05)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
