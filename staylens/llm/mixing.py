@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.common import materialize, prepare, word_count
+from staylens.operators.cleaning import dense_position
 
 #: No document is taken more often.
 MOST_COPIES = 3
@@ -27,25 +28,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
 
     Sources in code point order, null last, weigh as ``weights`` say, which repeat. They share the sum of
     all sizes by weight; no target exceeds MOST_COPIES times its source's size, and the excess is shared
-    again by weight among the rest until none does. There is a row per source from here on.
-
-    In the order of limit by weight, the first sources are at their limit, and a unit of weight of the others
-    gets an equal part of what these leave.
+    again by weight among the rest until none does. There is a row per source from here on, and there may be
+    very many: places come from a range sort, and each round of sharing is one sum over the sources.
     """
     sources = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    sources = materialize(sources.withColumn("absent", F.col("source").isNull()), "sources")
+    parts = sources.count() // CHUNK + 1
+    place = (F.col("position") - 1).cast("int")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     limit = F.col("source_size") * float(MOST_COPIES)
-    by_room = Window.orderBy("room", "place")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.orderBy("room", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sources = sources.withColumn("place", place).withColumn("weight", weight).withColumn("limit", limit)
-    sources = sources.withColumn("room", F.col("limit") / F.col("weight"))
-    left = F.sum("source_size").over(all_rows) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    rest = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    sources = sources.withColumn("share", left / rest)
-    level = F.min(F.when(F.col("share") <= F.col("room"), F.struct("room", "place", "share"))).over(all_rows)["share"]
-    target = F.least(F.col("limit"), F.coalesce(level, F.col("room")) * F.col("weight"))
+    sources = dense_position(sources, "absent", "source", parts=parts).withColumn("place", place)
+    sources = sources.withColumn("weight", weight).withColumn("limit", limit)
+    sources = materialize(sources.withColumn("room", F.col("limit") / F.col("weight")), "rooms")
+    level, full = 0.0, -1  # what a unit of weight gets, and how many sources are at their limit
+    while level is not None:
+        is_full = F.col("room") < level
+        left = F.sum("source_size") - F.coalesce(F.sum(F.when(is_full, F.col("limit"))), F.lit(0.0))
+        many, share = sources.agg(F.count_if(is_full), left / F.sum(F.when(~is_full, F.col("weight")))).first()
+        if many == full:
+            break
+        level, full = share, many
+    target = F.least(F.col("limit"), F.coalesce(F.lit(level).cast("double"), F.col("room")) * F.col("weight"))
     return sources.withColumn("target", target).select("source", "place", "documents", "source_size", "target")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from staylens.llm import packing, quality, toxicity
+from staylens.llm import embedding_dedup, mixing, packing, quality, toxicity
 
 
 def packed_by_hand(sizes, lengths, sequence_cost):
@@ -70,6 +70,27 @@ def test_a_frequent_id_makes_no_large_packing_group(spark, monkeypatch):
     assert seen.value == 0
 
 
+def test_targets_of_very_many_sources(spark, monkeypatch):
+    """Places and the level of sharing by hand; sources take several ranges, and many rounds until none is over its limit."""
+    monkeypatch.setattr(mixing, "CHUNK", 40)
+    rng = np.random.default_rng(2)
+    sizes = {f"s{i:03d}": int(1.08 ** rng.integers(0, 180)) for i in range(200)} | {None: 50, "é": 7, "Z": 3, "z": 0}
+    rows = [(1, source, size) for source, size in sizes.items()]
+    got = {r["source"]: r for r in mixing.source_targets(spark.createDataFrame(rows, "doc_id long, source string, size long"), (1, 2, 3)).collect()}
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    assert {s: got[s]["place"] for s in order} == {s: i for i, s in enumerate(order)}
+    full: set = set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+        over = {s for s in order if s not in full and level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    for s in order:
+        assert abs(got[s]["target"] - (3 * sizes[s] if s in full else level * weight[s])) <= 1e-9 * sum(sizes.values())
+
+
 def labelled(spark, rows, label):
     docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
     return docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], f"doc_id long, {label} int")
@@ -144,3 +165,25 @@ def test_the_noisy_or_fit_is_at_the_optimum_of_a_plain_loss(spark, monkeypatch):
             1 - 1 / (1 + math.exp(-(model.intercept + sum(model.weights.get(w, 0) for w in toxicity.features(s))))) for s in toxicity.SENTENCE.findall(text)
         )
         assert abs(score[text] - (1 - alone)) < 1e-9
+
+
+def test_embedding_links_against_all_pairs(spark):
+    """16,000 vectors, most in pairs and triples just above and below the threshold: every exact link is found, and no other."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((6_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = []
+    for at, cosine in zip(rng.integers(0, 6_000, 10_000), rng.uniform(0.88, 0.93, 10_000)):
+        away = rng.standard_normal(32)
+        away -= (away @ base[at]) * base[at]
+        near.append(cosine * base[at] + math.sqrt(1 - cosine**2) * away / np.linalg.norm(away))
+    vectors = np.vstack([base, near]) * rng.uniform(0.5, 4, (16_000, 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    links = np.zeros(16_000, dtype=int)
+    for start in range(0, 16_000, 1_000):
+        links[start : start + 1_000] = (unit[start : start + 1_000] @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(table.repartition(8)).collect()}
+    found = np.array([got[i] for i in range(16_000)])
+    assert links.sum() > 10_000 and (found <= links).all()
+    assert found.sum() >= 0.999 * links.sum()
