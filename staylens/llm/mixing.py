@@ -170,8 +170,8 @@ def _round_level(rows: DataFrame, level: int, last: bool) -> DataFrame:
 def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
     """The rows of ``docs``, all columns whatever their names, each as often as the mix takes it.
 
-    Rows that repeat doc_id, source and size share out their decisions, in the order of their texts, the most
-    copies first. Decisions are counted, not gathered. Where such rows are more than CHUNK and one row in
+    Rows that repeat doc_id, source and size share out their decisions, in the order of a hash of their texts, the
+    most copies first. Decisions are counted, not gathered. Where such rows are more than CHUNK and one row in
     HOT_GROUPS, they are numbered within the partitions in which they stand, with the counts of the partitions
     before them, so a doc_id may repeat without limit.
     """
@@ -184,15 +184,17 @@ def repeat_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> D
     is_hot = (F.col("rows") > CHUNK) & (F.col("rows") * HOT_GROUPS >= total)
     hot = decisions.filter(is_hot)
     words = word_count(F.col("text")).alias("size")
-    rows = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", "source", words).cast(key_type).alias("key"))
-    by_text = Window.partitionBy("key").orderBy(F.col("doc.text").asc_nulls_last())
+    # A hash of the text orders the rows; the text itself would be shuffled a second time.
+    order = F.xxhash64("text").alias("order")
+    rows = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", "source", words).cast(key_type).alias("key"), order)
+    by_text = Window.partitionBy("key").orderBy("order")
     if hot.limit(1).count():
         few = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
         found = materialize(rows.join(F.broadcast(hot), "key").withColumn("part", F.spark_partition_id()), "hot-rows")
         before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         starts = found.groupBy("key", "part").agg(F.count("*").alias("n"))
         starts = materialize(starts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "starts")
-        inside = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.col("doc.text").asc_nulls_last()))
+        inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("order"))
         more = _repeated(found.join(starts, ["key", "part"]).withColumn("place", F.col("start") + inside))
         rows, decisions = few, decisions.filter(~is_hot)
     else:
