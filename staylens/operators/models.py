@@ -11,6 +11,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     FeatureHasher,
     OneHotEncoder,
+    OneHotEncoderModel,
     SQLTransformer,
     StandardScaler,
     StringIndexerModel,
@@ -39,6 +40,8 @@ from staylens.session import stored, use_checkpoints
 
 # A category list lives on the driver and in every task, so its size is checked.
 MAX_CATEGORIES = 10_000
+# So many of the most frequent values of a pooled column have a place of their own.
+POOLED_VALUES = 1_000
 
 # MLlib's own limit; a caller whose trees outgrow the driver passes less.
 MAX_DEPTH = 30
@@ -48,25 +51,31 @@ MODEL_VERSION_SUFFIX = "_v1"
 
 
 def preprocessing(
-    train: DataFrame, hashed: tuple[str, ...] = (), hashed_width: int = 1 << 14, max_categories: int = MAX_CATEGORIES
+    train: DataFrame, hashed: tuple[str, ...] = (), hashed_width: int = 1 << 14, max_categories: int = MAX_CATEGORIES,
+    pooled: tuple[str, ...] = (), pooled_values: int = POOLED_VALUES,
 ) -> list:
     """Stages from the 24 feature columns to one vector.
 
     Missing numbers become the exact median and are standardised; missing categories become the most
-    frequent value and are one-hot encoded, an unseen value being the zero vector. The columns named in
-    `hashed` are hashed to `hashed_width` places instead; any other column with more than
-    `max_categories` values is an error.
+    frequent value and are one-hot encoded, an unseen value being the zero vector. For columns with very many
+    values: those named in `pooled` have a place for each of the `pooled_values` most frequent ones and one for
+    all the rest, unseen ones too; those in `hashed` are hashed to `hashed_width` places. Any other column with
+    more than `max_categories` values is an error. The values are counted and ranked by Spark; the driver gets
+    those that have a place.
     """
-    indexed = [name for name in S.CATEGORICAL_FEATURES if name not in hashed]
+    indexed = [name for name in S.CATEGORICAL_FEATURES if name not in hashed and name not in pooled]
     counts = stored(category_counts(train), "category-counts")  # a row per value of a column
     profile = {row["column_name"]: row for row in category_profile(counts).collect()}  # one row per column
     wide = [name for name in indexed if name in profile and profile[name]["n_values"] > max_categories]
     if wide:
-        raise ValueError(f"more than {max_categories} values in {wide}: name them in `hashed`, or raise `max_categories`")
+        raise ValueError(f"more than {max_categories} values in {wide}: name them in `pooled` or `hashed`, or raise `max_categories`")
     values: dict[str, list[str]] = {name: [] for name in indexed}
     listed = counts.where(F.col("column_name").isin(indexed)).orderBy("column_name", F.desc("n"), "value")
     for row in listed.collect():  # max_categories per column at most
         values[row["column_name"]].append(row["value"])
+    for name in pooled:
+        frequent = counts.where(F.col("column_name") == name).orderBy(F.desc("n"), "value").limit(pooled_values)
+        values[name] = [row["value"] for row in frequent.collect()]
     medians = {row["column_name"]: row["median"] for row in feature_stats(train).collect()}  # one row per column
     filled = [
         f"coalesce(`{name}`, {sql_literal(profile[name]["mode"])}) AS `{name}_filled`" if name in profile else f"`{name}` AS `{name}_filled`"
@@ -81,18 +90,20 @@ def preprocessing(
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
     ]
     vectors = ["scaled"]
-    if indexed:
-        stages += [
+    # The last place of a column is that of all values without one; it is dropped unless they are pooled.
+    for names, drop_last in ((indexed, True), (list(pooled), False)):
+        if names:
             # The values by falling frequency, as an indexer would find them in a pass of its own.
-            *(
+            stages += [
                 StringIndexerModel.from_labels(values[name], f"{name}_filled", f"{name}_index", handleInvalid="keep")
-                for name in indexed
-            ),
-            OneHotEncoder(
-                inputCols=[f"{name}_index" for name in indexed], outputCols=[f"{name}_onehot" for name in indexed], dropLast=True
-            ),
-        ]
-        vectors += [f"{name}_onehot" for name in indexed]
+                for name in names
+            ]
+            stages.append(
+                OneHotEncoder(
+                    inputCols=[f"{name}_index" for name in names], outputCols=[f"{name}_onehot" for name in names], dropLast=drop_last
+                )
+            )
+            vectors += [f"{name}_onehot" for name in names]
     if hashed:
         stages.append(
             FeatureHasher(
@@ -206,6 +217,7 @@ def train(bookings: DataFrame, cutoff: str, *args, **options) -> Trained:
 def fit(
     train_part: DataFrame, test_part: DataFrame, only: list[str] | None = None, max_depth: int = MAX_DEPTH, trees: int = 120,
     max_bins: int = MAX_BINS, hashed: tuple[str, ...] = (), max_categories: int = MAX_CATEGORIES,
+    pooled: tuple[str, ...] = (), pooled_values: int = POOLED_VALUES,
 ) -> Trained:
     """Fit the candidates on weighted rows, grade them on others and select the best by F1.
 
@@ -214,7 +226,8 @@ def fit(
     use_checkpoints(train_part.sparkSession)
     fits = candidates(train_part.count(), max_depth, trees, max_bins)
     wanted = {name: fits[name] for name in only or fits}
-    prepared = Pipeline(stages=preprocessing(train_part, hashed, max_categories=max_categories)).fit(train_part)
+    stages = preprocessing(train_part, hashed, max_categories=max_categories, pooled=pooled, pooled_values=pooled_values)
+    prepared = Pipeline(stages=stages).fit(train_part)
     features = spread(prepared.transform(train_part).select("booking_id", "label", "weight", "features")).persist()
     models, grades = {}, []
     for name, estimator in wanted.items():
@@ -331,10 +344,12 @@ def linear_probability(bookings: DataFrame, model: PipelineModel, name: str = "l
         weight = weights.pop(0)
         if deviation:
             score = score + (F.col(f"{feature}_number") - F.lit(mean)) / F.lit(deviation) * F.lit(weight)
+    encoders = [stage for stage in model.stages if isinstance(stage, OneHotEncoderModel)]
+    kept = {name for encoder in encoders if not encoder.getDropLast() for name in encoder.getInputCols()}
     for indexer in indexers:
         effects = [part for label in indexer.labels for part in (F.lit(label), F.lit(weights.pop(0)))]
-        if effects:
-            score = score + F.coalesce(F.create_map(*effects)[F.col(indexer.getInputCol())], F.lit(0.0))
+        rest = F.lit(weights.pop(0) if indexer.getOutputCol() in kept else 0.0)
+        score = score + (F.coalesce(F.create_map(*effects)[F.col(indexer.getInputCol())], rest) if effects else rest)
     filled = model.stages[0].transform(bookings)
     return filled.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-score))).select(*bookings.columns, name)
 

@@ -7,10 +7,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from staylens import schemas as S
 from staylens.operators.bookings import slice_by_id
 from staylens.operators.cleaning import require_columns
+from staylens.session import stored
 
 # The published date boundary.
 OFFLINE_CUTOFF, REALTIME_START = "2017-01-12", "2017-01-13"
 
+# Different values of a column that are put in order in one task, and bins of the histograms that narrow them down to that.
+ORDERED_VALUES = 100_000
+HISTOGRAM_BINS = 4_096
+
 
 def _on_or_before(day: str) -> Column:
     return F.to_date("arrival_date") <= F.lit(day).cast("date")
@@ -130,12 +135,41 @@ def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*measures).alias("profile"))
 
 
-def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> DataFrame:
+def _narrowed(counts: DataFrame) -> DataFrame:
+    """`counts` (index, value, n) with the same rows, all of them -inf or inf but those near the median of their column.
+
+    The finite values of a column are counted in HISTOGRAM_BINS bins of equal width; those in the bins of the
+    two middle ranks stay. The tables joined have a row per bin at most.
+    """
+    is_finite = F.abs("value") < float("inf")
+    bounds = counts.where(is_finite).groupBy("index").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    share = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))  # null where all values are one
+    inside = F.coalesce(F.least(F.floor(share * HISTOGRAM_BINS), F.lit(HISTOGRAM_BINS - 1)), F.lit(0))
+    place = F.when(is_finite, inside).when(F.col("value") < 0, F.lit(-1)).otherwise(F.lit(HISTOGRAM_BINS))
+    binned = counts.join(F.broadcast(bounds), "index", "left").withColumn("bin", place.cast("int")).drop("lo", "hi")
+    upto = Window.partitionBy("index").orderBy("bin")
+    bins = binned.groupBy("index", "bin").agg(F.sum("n").alias("rows")).withColumns(
+        {"upto": F.sum("rows").over(upto), "total": F.sum("rows").over(Window.partitionBy("index"))}
+    )
+    at_rank = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("rows") < rank), F.col("bin")))
+    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+    middle = bins.groupBy("index").agg(at_rank(lower).alias("first"), at_rank(upper).alias("last"))
+    value = (
+        F.when(F.col("bin") < F.col("first"), F.lit(float("-inf")))
+        .when(F.col("bin") > F.col("last"), F.lit(float("inf")))
+        .otherwise(F.col("value"))
+    )
+    narrowed = binned.join(F.broadcast(middle), "index").select("index", value.alias("value"), "n")
+    return narrowed.groupBy("index", "value").agg(F.sum("n").alias("n"))
+
+
+def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES, most: int = ORDERED_VALUES) -> DataFrame:
     """Exact median, mean and population deviation per numeric feature.
 
     No task holds a column's values: a sketch encloses the median between two values (its rank
     error is a tenth of the margin), and a second pass counts the rows below and above them and
-    the rows per value between. Only those few values are then put in order.
+    the rows per value between. While these are more than `most` different values of a column, a
+    histogram of them narrows the bounds. Only the values left are then put in order.
     """
     profile = _profile(df, columns).scalar()
     places = []
@@ -152,6 +186,12 @@ def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES) -> Dat
         .groupBy("index", "value")
         .agg(F.count("*").alias("n"))
     )
+    counts = stored(counts, "value-counts")
+    largest = lambda: counts.groupBy("index").count().agg(F.max("count")).first()[0] or 0
+    size, before = largest(), None
+    while size > most and size != before:  # values that lie too close for a bin stay as they are
+        counts = stored(_narrowed(counts), "value-counts")
+        size, before = largest(), size
     through = Window.partitionBy("index").orderBy("value")
     ranked = counts.withColumns(
         {"upto": F.sum("n").over(through), "total": F.sum("n").over(Window.partitionBy("index"))}

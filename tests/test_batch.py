@@ -158,6 +158,26 @@ def test_edits_rewrite_only_their_months(spark):
     assert files.rewrite_months(spark, path, spark.createDataFrame([(-5,)], "booking_id bigint"), lambda rows: rows) == []
 
 
+def test_medians_of_continuous_columns_order_few_values(spark):
+    """Histograms narrow a column until few values are left; medians stay exact, with hot values, nulls and outliers too."""
+    rng = random.Random(7)
+    columns = {
+        "smooth": [rng.random() for _ in range(6_001)],
+        "skewed": [10 ** rng.uniform(-9, 9) for _ in range(6_000)] + [None],
+        "hot": [1.0] * 2_900 + [rng.random() * 5 for _ in range(3_101)],
+        "gap": [rng.random() for _ in range(3_000)] + [1e12 + rng.random() for _ in range(3_000)] + [None],
+        "empty": [None] * 6_001,
+    }
+    table = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{name} double" for name in columns)).repartition(7)
+    exact = {name: statistics.median([v for v in values if v is not None]) for name, values in columns.items() if name != "empty"}
+    for most in (100_000, 3, 1):
+        got = {r.column_name: r.median for r in L.feature_stats(table, list(columns), most).collect()}
+        assert got == exact
+    counts = table.select(F.lit(0).alias("index"), F.col("smooth").alias("value"), F.lit(1).alias("n"))
+    few = L._narrowed(L._narrowed(counts))
+    assert few.count() <= 5 and few.agg(F.sum("n")).first()[0] == 6_001
+
+
 def test_scratch_is_removed_on_demand(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
     rows = stored(spark.range(5), "some")

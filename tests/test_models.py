@@ -70,3 +70,20 @@ def test_the_fit_is_read_from_its_coefficients(spark, learnable):
     assert T.steepest(model, train).first().slope < 1e-3
     others = T.training_frame(learnable).withColumns({"label": 1 - F.col("label"), "weight": F.lit(1.0)})
     assert T.steepest(model, others).first().slope > 0.1
+
+
+def test_very_many_values_are_pooled(spark, learnable):
+    """A column with 100,000 values: the frequent ones and the rest have places, and the coefficients give the probability."""
+    many = spark.range(100_000).select(F.col("id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("f"), F.col("id") % 32)).otherwise(F.concat(F.lit("v"), "id")).alias("code"))
+    rows = many.join(learnable.withColumn("k", F.col("booking_id") - 1), F.col("id") % 80 == F.col("k")).drop("k")
+    rows = rows.withColumns({"booking_id": F.col("id"), "country_code": F.col("code")}).drop("id", "code")
+    train = T.balanced(T.training_frame(rows))
+    with pytest.raises(ValueError, match="pooled"):
+        T.preprocessing(train)
+    trained = T.fit(train, train.where("booking_id % 50 = 0"), only=["logistic_regression"], pooled=("country_code",), pooled_values=8)
+    model = trained.models["logistic_regression"]
+    width = T.Pipeline(stages=T.preprocessing(train, pooled=("country_code",), pooled_values=8)).fit(train).transform(train).schema
+    assert width["country_code_onehot"].metadata["ml_attr"]["num_attrs"] == 9, "eight frequent values and the rest"
+    few = rows.where("booking_id < 200").withColumn("country_code", F.when(F.col("booking_id") % 3 == 0, "new").otherwise(F.col("country_code")))
+    scored = T.score(T.linear_probability(few, model), model, "v1").select("cancel_probability", "linear_probability").collect()
+    assert len(scored) == 200 and all(abs(float(row[0]) - row[1]) < 0.000051 for row in scored)
