@@ -57,8 +57,96 @@ SENTENCES = {
     "this work has been dedicated to the public domain under cc0 1 0": "Cc0Ref",
     "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
     "all rights reserved": "Reserved",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitWarranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdWarranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdLiability",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2Warranty",
+    "see the license for the specific language governing permissions and limitations under the license": "Apache2See",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscWarranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "IscLiability",
+    "this software is provided as is without any express or implied warranty": "ZlibWarranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BoostGrant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "Lgpl21Later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3Later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3Later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplNoWarranty",
+    "see the gnu lesser general public license for more details": "LgplSee",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LgplCopy",
+    "you should have received a copy of the gnu lesser general public license along with this program": "LgplCopy",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3Later",
+    "see the gnu affero general public license for more details": "AgplSee",
+    "you should have received a copy of the gnu affero general public license along with this program": "AgplCopy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "Mpl2Copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "Mpl2Copy",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseUse",
 }
 
+# SPDX short names of licences, their identifier, and what running text calls them.
+NAMES = [
+    ("MIT", "MitRef", ["the mit license", "the expat license"]),
+    ("Apache-2.0", "Apache2Ref", ["the apache license version 2 0", "the apache license 2 0", "the apache 2 0 license"]),
+    ("GPL-3.0-only", "Gpl3Ref", ["the gnu general public license version 3", "the gnu general public license v3 0", "the gnu gpl version 3", "the gnu gplv3"]),
+    ("GPL-2.0-only", "Gpl2Ref", ["the gnu general public license version 2", "the gnu general public license v2 0", "the gnu gpl version 2", "the gnu gplv2"]),
+    ("LGPL-3.0-only", "Lgpl3Ref", ["the gnu lesser general public license version 3", "the gnu lgpl version 3"]),
+    ("LGPL-2.1-only", "Lgpl21Ref", ["the gnu lesser general public license version 2 1", "the gnu lgpl version 2 1"]),
+    ("AGPL-3.0-only", "Agpl3Ref", ["the gnu affero general public license version 3", "the gnu agpl version 3"]),
+    ("MPL-2.0", "Mpl2Ref", ["the mozilla public license version 2 0", "the mozilla public license 2 0"]),
+    ("BSD-2-Clause", "Bsd2Ref", ["the bsd 2 clause license", "the 2 clause bsd license"]),
+    ("BSD-3-Clause", "Bsd3Ref", ["the bsd 3 clause license", "the 3 clause bsd license"]),
+    ("ISC", "IscRef", ["the isc license"]),
+    ("Zlib", "ZlibRef", ["the zlib license"]),
+    ("BSL-1.0", "BoostRef", ["the boost software license version 1 0"]),
+    ("EPL-2.0", "Epl2Ref", ["the eclipse public license version 2 0", "the eclipse public license v2 0"]),
+    ("Unlicense", "UnlicenseGrant", ["the unlicense"]),
+    ("CC0-1.0", "Cc0Ref", ["cc0 1 0"]),
+    ("CC-BY-4.0", "CcBy4Ref", ["cc by 4 0"]),
+    ("CC-BY-SA-4.0", "CcBySa4Ref", ["cc by sa 4 0"]),
+    ("CC-BY-NC-4.0", "CcByNc4Ref", ["cc by nc 4 0"]),
+    ("CC-BY-NC-SA-4.0", "CcByNcSa4Ref", ["cc by nc sa 4 0"]),
+    ("CC-BY-ND-4.0", "CcByNd4Ref", ["cc by nd 4 0"]),
+    ("GPL-3.0-or-later", "Gpl3Later", []),
+    ("GPL-2.0-or-later", "Gpl2Later", []),
+    ("LGPL-3.0-or-later", "Lgpl3Later", []),
+    ("LGPL-2.1-or-later", "Lgpl21Later", []),
+    ("AGPL-3.0-or-later", "Agpl3Later", []),
+]
+WORK = ["", "this project is ", "this software is ", "this library is ", "this program is ", "this file is ", "this code is ", "this work is "]
+VERBS = ["licensed under ", "released under ", "distributed under "]
+# The sentences that refer to a licence follow a rule: what is licensed, how, and the licence's name; and a line for tools.
+SENTENCES |= {work + verb + called: name for _, name, every in NAMES for called in every for work in WORK for verb in VERBS}
+SENTENCES |= {"spdx license identifier " + short.lower().replace("-", " ").replace(".", " "): name for short, name, _ in NAMES}
+
+# As RULES, and tried before them: whole notices with their disclaimers, and licences without an older rule.
+NOTICES = [
+    ("MIT", ["MitTitle", "MitGrant", "MitNotice", "MitWarranty", "MitLiability"]),
+    ("MIT", ["MitGrant", "MitNotice", "MitWarranty", "MitLiability"]),
+    ("Apache-2.0", ["Apache2Ref", "Apache2Comply", "Apache2Copy", "Apache2Warranty", "Apache2See"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdWarranty", "BsdLiability"]),
+    ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdWarranty", "BsdLiability"]),
+    ("ISC", ["IscGrant", "IscWarranty", "IscLiability"]),
+    ("ISC", ["IscGrant"]),
+    ("ISC", ["IscRef"]),
+    ("Zlib", ["ZlibWarranty", "ZlibLiability", "ZlibGrant"]),
+    ("Zlib", ["ZlibGrant"]),
+    ("Zlib", ["ZlibRef"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["BoostRef"]),
+    ("EPL-2.0", ["Epl2Ref"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Later", "GplNoWarranty", "LgplSee", "LgplCopy"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Later"]),
+    ("LGPL-3.0-or-later", ["Lgpl3Later", "GplNoWarranty", "LgplSee", "LgplCopy"]),
+    ("LGPL-3.0-or-later", ["Lgpl3Later"]),
+    ("AGPL-3.0-or-later", ["Agpl3Later", "GplNoWarranty", "AgplSee", "AgplCopy"]),
+    ("AGPL-3.0-or-later", ["Agpl3Later"]),
+    ("MPL-2.0", ["Mpl2Ref", "Mpl2Copy"]),
+    ("Unlicense", ["UnlicenseGrant", "UnlicenseUse"]),
+]
+
 # Licence and the identifiers that follow one another for it. The first rule that matches takes
 # its identifiers away from the later ones; the longer of two comes first.
 RULES = [
@@ -163,7 +251,7 @@ def _known(sequence: Column) -> Column:
 def _match(sequence: Column) -> Column:
     """Fold the rules over the sequence: a match leaves a ``!`` in its place and adds its licence."""
     rules = F.array(
-        *[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(ids) + ",").alias("ids")) for name, ids in RULES]
+        *[F.struct(F.lit(name).alias("name"), F.lit("," + ",".join(ids) + ",").alias("ids")) for name, ids in [*NOTICES, *RULES]]
     )
     start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
     return F.aggregate(
@@ -186,7 +274,7 @@ def _sql_list(values: list[str]) -> str:
 def oracle() -> str:
     """DuckDB SQL for the rows of scan(documents)."""
     steps, previous = [], "ids"
-    for i, (name, ids) in enumerate(RULES):
+    for i, (name, ids) in enumerate([*NOTICES, *RULES]):
         rule = "," + ",".join(ids) + ","
         steps.append(
             f"r{i} AS (SELECT doc_id, names, replace(seq, '{rule}', ',!,') AS seq,"

@@ -491,11 +491,67 @@ def test_licence_rules_on_wrapped_texts(spark):
         assert ",".join(ids) in row["sentence_ids"], where
 
 
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to somebody"""
+MIT_END = """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_whole_notices_and_references(spark):
+    """Notices with disclaimers, lines for tools, and references by any name, all of them taken by a rule."""
+    cases = {
+        "MIT": ["MIT License\n\nCopyright (c) 2020 Somebody\n\n" + MIT_GRANT[: MIT_GRANT.index("\n\nTHE SOFTWARE")] + MIT_END, "// SPDX-License-Identifier: MIT", "This library is licensed under\nthe Expat License."],
+        "ISC": [ISC, "# SPDX-License-Identifier: ISC", "Released under the ISC license"],
+        "LGPL-2.1-or-later": [LGPL, "/* SPDX-License-Identifier: LGPL-2.1-or-later */"],
+        "Apache-2.0": ["SPDX-License-Identifier: Apache-2.0", "This code is distributed under the Apache 2.0 License."],
+        "GPL-3.0": ["This program is released under the GNU GPLv3.", "SPDX-License-Identifier: GPL-3.0-only"],
+        "GPL-3.0-or-later": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+        "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0", OFFICIAL[14]],
+        "EPL-2.0": ["This work is licensed under the Eclipse Public License, v2.0."],
+        "Zlib": ["SPDX-License-Identifier: Zlib"],
+        "CC-BY-NC-SA-4.0": ["SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    }
+    texts = [(name, text) for name, every in cases.items() for text in every]
+    docs = spark.createDataFrame(list(enumerate(text for _, text in texts)), "doc_id long, text string")
+    for row in licenses.scan(docs).collect():
+        name, text = texts[row["doc_id"]]
+        assert (row["licenses"], row["unmatched"]) == (name, ""), text
+    assert len(licenses.SENTENCES) > 150 and {i for _, ids in [*licenses.NOTICES, *licenses.RULES] for i in ids} <= set(licenses.SENTENCES.values())
+
+
 def test_every_licence_sentence_is_reachable(spark):
     rows = [(i, "x\n" + sentence.replace(" ", "\n") + "\ny") for i, sentence in enumerate(licenses.SENTENCES)]
-    rows += [(1000, "(c) All rights reserved"), (1001, "(a) All rights reserved"), (1002, "not all rights\nreserved"), (1003, "12\n" * 50_000)]
+    rows += [(10_000, "(c) All rights reserved"), (10_001, "(a) All rights reserved"), (10_002, "not all rights\nreserved"), (10_003, "12\n" * 50_000)]
     got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == dict(enumerate(licenses.SENTENCES.values())) | {1000: "", 1001: "Reserved", 1002: "", 1003: ""}
+    assert got == dict(enumerate(licenses.SENTENCES.values())) | {10_000: "", 10_001: "Reserved", 10_002: "", 10_003: ""}
 
 
 def test_shards(spark, tmp_path):
