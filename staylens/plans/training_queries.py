@@ -14,7 +14,6 @@ from staylens.plans.stream_queries import _damaged_log
 from staylens.session import fresh_dir
 from staylens.sources import files, streams
 from staylens.streaming import jobs as J
-from staylens.streaming import sinks as K
 
 
 def _active(spark, sf):
