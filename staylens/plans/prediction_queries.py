@@ -368,6 +368,14 @@ def serve_recent(spark, sf):
     return M.serve_recent(_missing(stored), stored)
 
 
+@query("serve_recent_snapshot", _RECENT_ITEMS.replace("ORDER BY", "WHERE booking_id % 3 = 0 ORDER BY"))
+def serve_recent_snapshot(spark, sf):
+    """A snapshot that has items serves, whatever the stored predictions are."""
+    predictions, bookings = D.predictions(spark, sf), D.bookings(spark, sf)
+    snapshot = P.recent(predictions.where(F.col("booking_id") % 3 == 0), bookings, 10)
+    return M.serve_recent(snapshot, P.recent(predictions, bookings, 10))
+
+
 @query("listed_total", f"SELECT o + processed_count AS total FROM ({_TOTALS}), (SELECT count(*) AS o FROM active WHERE arrival_date <= DATE '{D.CUTOFF}')")
 def listed_total(spark, sf):
     active = _active(spark, sf)
