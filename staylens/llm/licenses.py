@@ -118,8 +118,9 @@ NAMES = [
 WORK = ["", "this project is ", "this software is ", "this library is ", "this program is ", "this file is ", "this code is ", "this work is "]
 VERBS = ["licensed under ", "released under ", "distributed under "]
 # The sentences that refer to a licence follow a rule: what is licensed, how, and the licence's name; and a line for tools.
-SENTENCES |= {work + verb + called: name for _, name, every in NAMES for called in every for work in WORK for verb in VERBS}
-SENTENCES |= {"spdx license identifier " + short.lower().replace("-", " ").replace(".", " "): name for short, name, _ in NAMES}
+REFERENCES = {work + verb + called: name for _, name, every in NAMES for called in every for work in WORK for verb in VERBS}
+LINES = {"spdx license identifier " + short.lower().replace("-", " ").replace(".", " "): name for short, name, _ in NAMES}
+SENTENCES |= REFERENCES | LINES
 
 # As RULES, and tried before them: whole notices with their disclaimers, and licences without an older rule.
 NOTICES = [
@@ -200,6 +201,14 @@ def pieces(text: Column) -> Column:
     return F.regexp_replace(words, " ?\n[ \n]*", "\n")
 
 
+def known_pattern() -> str:
+    """A pattern for all SENTENCES, the longest first; those of the rule as its parts, so that a piece is tried a few times only."""
+    either = lambda parts: "(?:" + "|".join(sorted(filter(None, parts), key=len, reverse=True)) + ")"
+    whole = [s for s in SENTENCES if s not in REFERENCES and s not in LINES]
+    references = f"{either(WORK)}?{either(VERBS)}{either({called for _, _, every in NAMES for called in every})}"
+    return "|".join([*sorted(whole, key=len, reverse=True), references, either(LINES)]).replace(" ", "[ \n]")
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, each between commas; others are a ``?``.
 
@@ -208,8 +217,7 @@ def sentence_ids(text: Column) -> Column:
     Runs of ``?`` are one, so a long text without licences is a single mark.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    longest_first = "|".join(s.replace(" ", "[ \n]") for s in sorted(SENTENCES, key=len, reverse=True))
-    parts = F.split(F.regexp_replace(pieces(text), rf"\n({longest_first})(?=\n)", "\t=$1\t"), "\t")
+    parts = F.split(F.regexp_replace(pieces(text), rf"\n({known_pattern()})(?=\n)", "\t=$1\t"), "\t")
     ids = F.transform(
         parts,
         lambda s: F.when(s.startswith("="), F.element_at(known, F.translate(F.substring(s, 2, 1 << 30), "\n", " ")))
