@@ -67,19 +67,20 @@ class Words:
         self.script = codes[np.searchsorted(SCRIPT_STARTS, points[self.start], side="right") - 1]
 
     def ngrams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order the positions at which n-grams begin, and their buckets. None reaches over a word's edge."""
-        points, letter = self.points, self.is_letter
+        """For each order, by position, whether an n-gram begins there and its bucket. None reaches over a word's edge."""
+        points, letter = self.points.astype(np.uint64), self.is_letter
         for order in ORDERS:
             count = len(points) - order
             inside = letter[1 : count + 1] | letter[:count] if order == 2 else letter[1 : count + 1].copy()
             for k in range(2, order - 1):
                 inside &= letter[k : count + k]
-            at = np.flatnonzero(inside)
-            value = np.full(len(at), order, dtype=np.uint64)
+            value = np.full(count, order, dtype=np.uint64)
             for k in range(order):
-                value = value * np.uint64(0x9E3779B97F4A7C15) + points[at + k].astype(np.uint64)
+                value *= np.uint64(0x9E3779B97F4A7C15)
+                value += points[k : count + k]
                 value ^= value >> np.uint64(29)
-            yield at, (value * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
+            value *= np.uint64(0xBF58476D1CE4E5B9)
+            yield inside, (value >> np.uint64(48)).astype(np.int64)
 
 
 def lower(text: str) -> str:
@@ -143,8 +144,8 @@ def fit(docs: DataFrame, use: Column | None = None) -> LanguageModel:
                 texts = [piece for text in rows["text"] for _, piece in slices(text, letters)]
                 for a, b in chunks(texts):
                     words = Words(texts[a:b], letters)
-                    for _, bucket in words.ngrams():
-                        total[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                    for inside, bucket in words.ngrams():
+                        total[:BUCKETS] += np.bincount(bucket[inside], minlength=BUCKETS)
                     total[BUCKETS:] += np.bincount(
                         words.script, words.end - words.start, minlength=scripts
                     ).astype(np.int64)
@@ -172,8 +173,9 @@ def fit(docs: DataFrame, use: Column | None = None) -> LanguageModel:
 def word_scores(words: Words, model: LanguageModel) -> np.ndarray:
     """Log likelihood of each word by language; languages that the script rules out are far behind."""
     total = np.zeros((len(words.points) + 1, len(model.languages)))
-    for at, bucket in words.ngrams():
-        total[at + 1] += model.table[bucket]
+    table = np.vstack([model.table, np.zeros(len(model.languages))])  # the last row is for no n-gram
+    for inside, bucket in words.ngrams():
+        total[1 : len(bucket) + 1] += table.take(np.where(inside, bucket, BUCKETS), axis=0)
     np.cumsum(total, axis=0, out=total)
     scores = total[words.end] - total[words.start - 1]
     return np.where(model.candidates[words.script], scores, scores - 1e6)
@@ -186,31 +188,39 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     """
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = first[:-1][order], lengths[order]
-    labels = np.zeros(len(scores), dtype=np.int64)
-    if not len(scores):
-        return labels
-    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts with more than t words
-    stay = np.ones(scores.shape, dtype=bool)
-    jump = np.zeros(len(scores), dtype=np.int64)
-    best = scores[starts[: active[0]]]
-    for t in range(1, lengths[0]):
-        n = active[t]
-        at, previous = starts[:n] + t, best[:n]
-        leader = previous.argmax(axis=1)
-        moved = previous[np.arange(n), leader][:, None] - switch
-        stay[at] = previous >= moved
-        jump[at] = leader
-        best[:n] = np.maximum(previous, moved) + scores[at]
-    state = np.zeros(len(starts), dtype=np.int64)
-    for t in range(lengths[0] - 1, -1, -1):
-        n = active[t]
-        ending = active[t + 1] if t + 1 < lengths[0] else 0
-        state[ending:n] = best[ending:n].argmax(axis=1)
-        at = starts[:n] + t
-        labels[at] = state[:n]
-        state[:n] = np.where(stay[at, state[:n]], state[:n], jump[at])
-    return labels
+    longest = int(lengths.max(initial=0))
+    if not longest:
+        return np.zeros(len(scores), dtype=np.int64)
+    active = np.searchsorted(-lengths[order], -np.arange(longest), side="left")  # texts with more than t words
+    offset = np.concatenate([[0], np.cumsum(active)])
+    # The words by their place in their text and then by text, so that a step is a slice.
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    place = offset[np.arange(len(scores)) - first[text]] + rank[text]
+    ordered = np.empty((scores.shape[1], len(scores)))
+    ordered[:, place] = scores.T
+    stay = np.ones(ordered.shape, dtype=bool)
+    jump = np.zeros(len(scores), dtype=np.int32)
+    best = ordered[:, : active[0]].copy()
+    for t in range(1, longest):
+        n, at = active[t], slice(offset[t], offset[t + 1])
+        previous = best[:, :n]
+        moved = previous.max(axis=0) - switch
+        np.greater_equal(previous, moved, out=stay[:, at])
+        jump[at] = previous.argmax(axis=0)
+        np.maximum(previous, moved, out=previous)
+        previous += ordered[:, at]
+    state = np.zeros(active[0], dtype=np.int64)
+    found = np.zeros(len(scores), dtype=np.int64)
+    for t in range(longest - 1, -1, -1):
+        n, at = active[t], slice(offset[t], offset[t + 1])
+        ending = active[t + 1] if t + 1 < longest else 0
+        state[ending:n] = best[:, ending:n].argmax(axis=0)
+        found[at] = state[:n]
+        stays = stay[:, at][state[:n], np.arange(n)]
+        state[:n] = np.where(stays, state[:n], jump[at])
+    return found[place]
 
 
 def long_path(text: str, model: LanguageModel, switch: float, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
