@@ -15,6 +15,8 @@ OFFLINE_CUTOFF, REALTIME_START = "2017-01-12", "2017-01-13"
 # Different values of a column that are put in order in one task, and bins of the histograms that narrow them down to that.
 ORDERED_VALUES = 100_000
 HISTOGRAM_BINS = 4_096
+# Sketches of a column, each of the rows of some partitions; one task would merge those of all partitions.
+SKETCHES = 64
 
 
 def _on_or_before(day: str) -> Column:
@@ -75,7 +77,7 @@ def exact_test_part(df: DataFrame, share: float = 0.2, seed: int = 42, key: str
 
     The hash that cuts a class is found by counting hashes in 65,536 buckets per class, which
     combine map side; only the bucket that the cut falls into is ranked row by row. So no task
-    ever holds a class.
+    ever holds a class. The cuts, a row per class, are found once and stored.
     """
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
     hashed = df.withColumn("_hash", digest).withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
@@ -88,6 +90,7 @@ def exact_test_part(df: DataFrame, share: float = 0.2, seed: int = 42, key: str
         .select(F.col(label).alias("_label"), F.col("_bucket").alias("_cut"),
                 (F.col("_wanted") - (F.col("_through") - F.col("_rows"))).alias("_take"))
     )
+    cuts = stored(cuts, "class-cuts")
     joined = hashed.join(F.broadcast(cuts), F.col(label) == F.col("_label"))
     on_cut = F.col("_bucket") == F.col("_cut")
     edge = joined.where(on_cut).withColumn(
@@ -118,21 +121,31 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def _profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with an array: per numeric column, bounds that enclose the median, mean and population deviation."""
-    measures = []
-    for name in columns:
-        value = F.col(name).cast("double")
-        bounds = F.percentile_approx(value, [0.499, 0.501], 10_000)
-        measures.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                bounds[0].alias("lo"),
-                bounds[1].alias("hi"),
-                F.avg(value).alias("mean"),
-                F.stddev_pop(value).alias("deviation"),
+    """One row with an array: per numeric column, bounds that enclose the median, mean and population deviation.
+
+    The rows of some partitions have a sketch of their own, whose bounds enclose their median. The median of
+    all rows lies between the smallest and the largest of these medians, however the rows are dealt, so the
+    outermost bounds enclose it.
+    """
+    values = {name: F.col(name).cast("double") for name in columns}
+    part = F.pmod(F.spark_partition_id(), F.lit(SKETCHES))
+    sketches = df.withColumn("_part", part).groupBy("_part").agg(
+        F.array(*(F.percentile_approx(value, [0.499, 0.501], 10_000) for value in values.values())).alias("bounds")
+    )
+    bound = lambda index, end: F.col("bounds")[index][end]
+    bounds = sketches.agg(
+        F.array(*(F.struct(F.min(bound(i, 0)).alias("lo"), F.max(bound(i, 1)).alias("hi")) for i in range(len(columns)))).alias("bounds")
+    )
+    moments = df.agg(
+        F.array(
+            *(
+                F.struct(F.lit(name).alias("column_name"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+                for name, value in values.items()
             )
-        )
-    return df.agg(F.array(*measures).alias("profile"))
+        ).alias("moments")
+    )
+    measure = lambda moment, ends: F.struct(moment["column_name"], ends["lo"], ends["hi"], moment["mean"], moment["deviation"])
+    return moments.withColumn("bounds", bounds.scalar()).select(F.zip_with("moments", "bounds", measure).alias("profile"))
 
 
 def _narrowed(counts: DataFrame) -> DataFrame:
@@ -166,12 +179,12 @@ def _narrowed(counts: DataFrame) -> DataFrame:
 def feature_stats(df: DataFrame, columns: list[str] = S.NUMERIC_FEATURES, most: int = ORDERED_VALUES) -> DataFrame:
     """Exact median, mean and population deviation per numeric feature.
 
-    No task holds a column's values: a sketch encloses the median between two values (its rank
+    No task holds a column's values: sketches enclose the median between two values (their rank
     error is a tenth of the margin), and a second pass counts the rows below and above them and
     the rows per value between. While these are more than `most` different values of a column, a
     histogram of them narrows the bounds. Only the values left are then put in order.
     """
-    profile = _profile(df, columns).scalar()
+    profile = stored(_profile(df, columns), "profile").scalar()
     places = []
     for index, name in enumerate(columns):
         value, bounds = F.col(name).cast("double"), F.col("_profile")[index]

@@ -27,9 +27,9 @@ def _active(spark, sf):
     return B.active_bookings(D.bookings(spark, sf))
 
 
-def _booking_events(spark, sf):
-    """Events of the realtime bookings; half of them carry no business time."""
-    events = L.as_events(L.realtime_side(_active(spark, sf), D.START))
+def _booking_events(spark, sf, active=None):
+    """Events of the realtime bookings; half of them carry no business time. `active` are the bookings if they are at hand."""
+    events = L.as_events(L.realtime_side(active or _active(spark, sf), D.START))
     created = F.concat("business_time", F.lit(" 08:00:00"))
     return events.withColumns(
         {"generated_at": created, "business_time": F.when(F.col("booking_id") % 2 == 0, F.col("business_time"))}
@@ -67,10 +67,10 @@ def stream_file_source(spark, sf):
     return K.read_batches(spark, out, lines.schema)
 
 
-def _damaged_log(spark, sf):
+def _damaged_log(spark, sf, active=None):
     """A log in which some lines break off and some name no booking."""
     path = fresh_dir(spark, "event-log")
-    events = _booking_events(spark, sf)
+    events = _booking_events(spark, sf, active)
     whole = F.to_json(F.struct(*events.columns))
     nameless = F.to_json(F.struct(*(c for c in events.columns if c != "booking_id")))
     line = (

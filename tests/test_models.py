@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staylens.operators import models as T
+from staylens.plans import training_queries as Q
 from tests.test_batch import booking_rows
 
 
@@ -87,3 +88,13 @@ def test_very_many_values_are_pooled(spark, learnable):
     few = rows.where("booking_id < 200").withColumn("country_code", F.when(F.col("booking_id") % 3 == 0, "new").otherwise(F.col("country_code")))
     scored = T.score(T.linear_probability(few, model), model, "v1").select("cancel_probability", "linear_probability").collect()
     assert len(scored) == 200 and all(abs(float(row[0]) - row[1]) < 0.000051 for row in scored)
+
+
+def test_the_bookings_are_derived_once_per_query(spark, sf_dir, monkeypatch):
+    """Training and both scorings read the stored bookings; nothing is left in memory."""
+    derived, derive = [], Q.D.bookings
+    monkeypatch.setattr(Q.D, "bookings", lambda *args: derived.append(args) or derive(*args))
+    spark.catalog.clearCache()
+    rows = Q.score_rules(spark, sf_dir)
+    assert len(derived) == 1 and all("active-bookings" in path for path in rows.inputFiles())
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
