@@ -17,6 +17,8 @@ from staylens.session import fresh_dir
 from staylens.sources import files
 
 _IDS = ["booking_id"]
+# Rows of a raw file, about.
+ROWS_PER_FILE = 200_000
 
 
 @query("scan_raw_csv", f"SELECT src_pos, {', '.join(S.RAW_COLUMNS)} FROM raw_nulls")
@@ -152,9 +154,10 @@ def clean_bookings(spark, sf):
     f"""SELECT {wire(S.CONTRACT_COLUMNS)} FROM (SELECT * REPLACE (row_number() OVER (ORDER BY booking_id) AS booking_id) FROM cleaned)""",
 )
 def import_raw_files(spark, sf):
-    """Several raw CSV files; the ids are the positions in file order."""
+    """Several raw CSV files, more of them for more rows, as one task sorts a file; the ids are the positions in file order."""
     path = fresh_dir(spark, "raw-csv")
-    files.write_raw_csv(D.raw_bookings(spark, sf).repartitionByRange(5, "src_pos").sortWithinPartitions("src_pos").drop("src_pos"), path)
+    parts = max(5, -(-D.table(spark, sf, "orders").count() // ROWS_PER_FILE))
+    files.write_raw_csv(D.raw_bookings(spark, sf).repartitionByRange(parts, "src_pos").sortWithinPartitions("src_pos").drop("src_pos"), path)
     return C.import_files(files.read_raw_csv(spark, path, positions=True))
 
 

@@ -19,6 +19,7 @@ from staylens.operators import overview as O
 from staylens.operators import predictions as P
 from staylens.operators import series as R
 from staylens.operators import splits as L
+from staylens.plans import cleaning_queries
 from staylens.session import fresh_dir, stored
 from staylens.sources import files, versions
 
@@ -90,6 +91,18 @@ def test_file_order_gives_the_ids(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_raw_files_grow_in_number_with_the_rows(spark, sf_dir, monkeypatch):
+    """No task sorts more than about the rows of a file, however many there are."""
+    written, write = [], files.write_raw_csv
+    monkeypatch.setattr(files, "write_raw_csv", lambda raw, path: (write(raw, path), written.append(path)))
+    monkeypatch.setattr(cleaning_queries, "ROWS_PER_FILE", 100)
+    got = cleaning_queries.import_raw_files(spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    sizes = [r["count"] for r in spark.read.csv(written[0], header=True).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == rows and max(sizes) <= 300
+    assert sorted(r.booking_id for r in got.select("booking_id").collect()) == list(range(1, rows + 1))
+
+
 def test_dense_position_with_a_hot_first_column(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("day"), "id")
     got = C.dense_position(rows.repartition(7), "day", "id").orderBy("day", "id").select("position").collect()
@@ -178,6 +191,15 @@ def test_medians_of_continuous_columns_order_few_values(spark):
     assert few.count() <= 5 and few.agg(F.sum("n")).first()[0] == 6_001
 
 
+def test_sketches_are_not_merged_in_one_task(spark):
+    """A sketch per group of partitions; the bounds hold the median although each partition has other values."""
+    table = spark.range(0, 20_000, 1, 100).select(F.col("id").cast("double").alias("x"))
+    steps = L._profile(table, ["x"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("ObjectHashAggregate" in step and "percentile_approx" in step and "_part" in step for step in steps)
+    row = L.feature_stats(table, ["x"]).first()
+    assert (row.median, row.mean) == (9999.5, 9999.5) and row.deviation == pytest.approx(5773.502690)
+
+
 def test_scratch_is_removed_on_demand(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
     rows = stored(spark.range(5), "some")
@@ -339,6 +361,13 @@ def test_join_with_a_hot_key_is_whole(spark):
         assert got.exceptAll(expected).count() == 0
 
 
+def test_join_without_a_hot_key_is_one_join(spark):
+    many, one = spark.range(9000).withColumnRenamed("id", "k"), spark.range(0, 2500).withColumnRenamed("id", "k")
+    joined = joins.join_unique(many, one, "k", "left")
+    assert "Union" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 9000
+
+
 def test_serving_order(spark):
     snapshot = spark.createDataFrame([("12", 3, 0.25, "2017-02-01 00:00:00")],
                                      "realtime_processed_count string, high_risk_count int, avg_cancel_probability double, updated_at string")
