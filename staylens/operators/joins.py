@@ -12,14 +12,15 @@ def join_unique(many: DataFrame, one: DataFrame, key: str, how: str = "left") ->
     """Join `many` with `one`, whose `key` is unique, where some keys of `many` may hold a large share of the rows.
 
     The rows of the hot keys meet their few partners by broadcast and stay where they are; only
-    the other rows are shuffled by the key. Both broadcasts have at most HOT_KEYS rows. Batch
-    jobs leave skew to adaptive execution, which streams do not have. `many` is read three
-    times, so the caller should hold it.
+    the other rows are shuffled by the key. The hot keys, HOT_KEYS at most, are found first and named to the
+    scans; where there are none, one plain join is left. Batch jobs leave skew to adaptive execution, which
+    streams do not have. `many` is read several times, so the caller should hold it.
     """
     total = many.agg(F.count("*")).scalar()
     counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-    hot = counts.where(F.col("_rows") * HOT_KEYS >= total).select(key)
-    hot_rows = many.join(F.broadcast(hot), key, "left_semi")
-    hot_partners = one.join(F.broadcast(hot), key, "left_semi")
-    other_rows = many.join(F.broadcast(hot), key, "left_anti")
-    return hot_rows.join(F.broadcast(hot_partners), key, how).unionByName(other_rows.join(one, key, how))
+    hot = [row[key] for row in counts.where(F.col("_rows") * HOT_KEYS >= total).select(key).collect()]
+    if not hot:
+        return many.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    hot_joined = many.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how)
+    return hot_joined.unionByName(many.where(~is_hot).join(one, key, how))

@@ -88,14 +88,13 @@ def lookup(batch: DataFrame, bookings: DataFrame) -> Iterator[DataFrame]:
     unresolved output.
     """
     own = [name for name in batch.columns if name == "booking_id" or name not in bookings.columns]
-    known = known_bookings(batch, bookings).withColumn("is_known", F.lit(True)).persist()
+    known = known_bookings(batch, bookings).withColumn("is_known", F.lit(True))
     found = join_unique(batch.select(*own), known, "booking_id")
     found = found.withColumn("is_known", F.coalesce("is_known", F.lit(False))).persist()
     try:
         yield found
     finally:
         found.unpersist()
-        known.unpersist()
 
 
 def resolved(looked_up: DataFrame) -> DataFrame:
