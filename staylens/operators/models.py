@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
-from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import (
     FeatureHasher,
     OneHotEncoder,
@@ -18,8 +19,10 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from staylens import schemas as S
@@ -48,6 +51,11 @@ POOLED_VALUES = 1_000
 MAX_DEPTH = 30
 MAX_BINS = 256
 
+# A forest grows as smaller ones of so many trees; their rows lie in parts of so many.
+TREES_PER_FIT, ROWS_PER_PART = 10, 200_000
+# Between the seeds of two of them; a fit adds the number of a partition to its seed.
+SEED_STEP = 1_000_003
+
 MODEL_VERSION_SUFFIX = "_v1"
 
 
@@ -150,16 +158,62 @@ def balanced(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", weight)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows by booking id in `spark.sql.shuffle.partitions` partitions, sorted.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows by booking id in `parts` or else `spark.sql.shuffle.partitions` partitions, sorted.
 
-    A forest draws its samples per partition, so the fit depends on that setting alone, not on the
-    cores or the files. One shuffle serves all passes of the fits.
+    The fit depends on that number alone, not on the cores or the files. One shuffle serves all passes of the fits.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, "booking_id").sortWithinPartitions("booking_id")
 
 
+class SummedVotes(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """The probability and prediction of a forest from the votes of its parts, as one forest derives them from all its trees."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        first, *others = (vector_to_array(name) for name in self.getInputCols())
+        votes = first
+        for more in others:
+            votes = F.zip_with(votes, more, lambda x, y: x + y)
+        summed = dataset.withColumn("_votes", votes)
+        total = F.aggregate("_votes", F.lit(0.0), lambda x, y: x + y)
+        share = F.transform("_votes", lambda vote: F.when(total > 0, vote / total).otherwise(vote))
+        winner = F.array_position("_votes", F.array_max("_votes")) - 1
+        return summed.withColumns({"probability": array_to_vector(share), "prediction": winner.cast("double")}).drop("_votes")
+
+
+def grow(forest: RandomForestClassifier, features: DataFrame, rows: int) -> list:
+    """The fitted stages of a forest: smaller forests of its trees and the sum of their votes, or one alone.
+
+    In a pass over the rows every task holds the counts of all open nodes, and the driver handles each of them. So
+    the work grows with nodes times partitions and a single fit keeps few cores busy: the rows come in as few
+    partitions as their number allows, and as many fits run at once as there are cores for. A forest draws its samples per partition, so
+    it depends on the rows alone, not on the session.
+    """
+    trees = forest.getNumTrees()
+    sizes = [min(TREES_PER_FIT, trees - done) for done in range(0, trees, TREES_PER_FIT)]
+    forests = [
+        forest.copy({forest.numTrees: size, forest.seed: forest.getSeed() + index * SEED_STEP}) for index, size in enumerate(sizes)
+    ]
+    spark, parts = features.sparkSession, -(-rows // ROWS_PER_PART)
+    dealt = spread(features, parts).persist(StorageLevel.DISK_ONLY)
+    at_once = max(1, spark.sparkContext.defaultParallelism // max(parts, 1))
+    with ThreadPool(min(at_once, len(forests))) as pool:
+        fitted = pool.map(inheritable_thread_target(spark)(lambda part: part.fit(dealt)), forests, chunksize=1)
+    dealt.unpersist()
+    if len(fitted) == 1:
+        return fitted
+    votes = [f"votes_{index}" for index in range(len(fitted))]
+    for model, name in zip(fitted, votes):
+        model.setRawPredictionCol(name).setProbabilityCol("").setPredictionCol("")
+    summed = SummedVotes()
+    return [*fitted, summed._set(inputCols=votes)]
+
+
+def trees_of(model: PipelineModel) -> int:
+    return sum(stage.getNumTrees for stage in model.stages if isinstance(stage, RandomForestClassificationModel))
+
+
 @dataclass
 class Trained:
     """What one training run leaves behind."""
@@ -222,7 +276,8 @@ def fit(
     features wait on disk, as the classifiers hold them in memory in a form of their own.
     """
     use_checkpoints(train_part.sparkSession)
-    fits = candidates(train_part.count(), max_depth, trees, max_bins)
+    rows = train_part.count()
+    fits = candidates(rows, max_depth, trees, max_bins)
     wanted = {name: fits[name] for name in only or fits}
     stages = preprocessing(train_part, hashed, max_categories=max_categories, pooled=pooled, pooled_values=pooled_values)
     prepared = Pipeline(stages=stages).fit(train_part)
@@ -231,9 +286,9 @@ def fit(
     tested = prepared.transform(test_part).select("label", "features")
     models, grades = {}, []
     for name, estimator in wanted.items():
-        fitted = estimator.fit(features)
-        models[name] = PipelineModel(stages=[*prepared.stages, fitted])
-        grades.append(evaluate(name, fitted, features, tested).first().asDict())
+        fitted = grow(estimator, features, rows) if isinstance(estimator, RandomForestClassifier) else [estimator.fit(features)]
+        models[name] = PipelineModel(stages=[*prepared.stages, *fitted])
+        grades.append(evaluate(name, PipelineModel(stages=fitted), features, tested).first().asDict())
     features.unpersist()
     selected = max(grades, key=lambda grade: (grade["f1_score"], grade["accuracy"], grade["model_name"]))["model_name"]
     report = train_part.sparkSession.createDataFrame(grades)  # one row per model

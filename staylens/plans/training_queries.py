@@ -65,7 +65,7 @@ def train_rf(spark, sf):
     trained = T.train(_active(spark, sf), D.CUTOFF, only=["random_forest"])
     return _tested(trained.report).select(
         "model_name", "test_rows", "test_positives", F.col("is_selected").cast("bigint"),
-        F.lit(trained.models["random_forest"].stages[-1].getNumTrees).cast("bigint").alias("trees"),
+        F.lit(T.trees_of(trained.models["random_forest"])).cast("bigint").alias("trees"),
         (F.col("train_score") >= 0.9).alias("knows_its_rows"),
     )
 

@@ -98,3 +98,33 @@ def test_the_bookings_are_derived_once_per_query(spark, sf_dir, monkeypatch):
     rows = Q.score_rules(spark, sf_dir)
     assert len(derived) == 1 and all("active-bookings" in path for path in rows.inputFiles())
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_a_forest_depends_on_the_rows_not_on_the_session(spark, learnable, tmp_path, monkeypatch):
+    """Grown in parts, three at once: all its trees, each of its own sample, the votes of one forest, saved and loaded as one."""
+    seen, spread = [], T.spread
+    monkeypatch.setattr(T, "spread", lambda df, parts=None: seen.append(parts) or spread(df, parts))
+    before, scores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            trained = T.train(learnable, "2017-12-31", only=["random_forest"], max_depth=5, trees=25)
+            model = trained.models["random_forest"]
+            scores.append([tuple(row) for row in model.transform(learnable).select(
+                "booking_id", T.vector_to_array("probability").alias("p"), "prediction").orderBy("booking_id").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == scores[1] and len(scores[0]) == 80
+    assert 1 in seen, "64 rows are one part, whatever the session says"
+    forests = [stage for stage in model.stages if isinstance(stage, T.RandomForestClassificationModel)]
+    assert [stage.getNumTrees for stage in forests] == [10, 10, 5] and T.trees_of(model) == 25
+    assert len({stage.toDebugString.split("\n", 1)[1] for stage in forests[:2]}) == 2
+    votes = model.transform(learnable).select("booking_id", *(T.vector_to_array(f"votes_{i}").alias(f"v{i}") for i in range(3)))
+    for row, (key, p, prediction) in zip(votes.orderBy("booking_id").collect(), scores[0]):
+        summed = [sum(v[k] for v in row[1:]) for k in (0, 1)]
+        assert row.booking_id == key and sum(summed) == pytest.approx(25)
+        assert p == pytest.approx([summed[0] / 25, summed[1] / 25]) and prediction == float(summed[1] > summed[0])
+    path = str(tmp_path / "forest")
+    model.write().overwrite().save(path)
+    loaded = T.load_model(path).transform(learnable).select("booking_id", T.vector_to_array("probability").alias("p"), "prediction")
+    assert [tuple(row) for row in loaded.orderBy("booking_id").collect()] == scores[0]
