@@ -125,6 +125,6 @@ def test_a_forest_depends_on_the_rows_not_on_the_session(spark, learnable, tmp_p
         assert row.booking_id == key and sum(summed) == pytest.approx(25)
         assert p == pytest.approx([summed[0] / 25, summed[1] / 25]) and prediction == float(summed[1] > summed[0])
     path = str(tmp_path / "forest")
-    model.write().overwrite().save(path)
+    model.write().overwrite().save(f"{path}/model")
     loaded = T.load_model(path).transform(learnable).select("booking_id", T.vector_to_array("probability").alias("p"), "prediction")
     assert [tuple(row) for row in loaded.orderBy("booking_id").collect()] == scores[0]
