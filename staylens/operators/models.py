@@ -30,6 +30,7 @@ from staylens.functions import risk
 from staylens.functions.labels import sql_literal
 from staylens.functions.numbers import half_even
 from staylens.operators.cleaning import require_columns
+from staylens.operators.forests import grow_forests
 from staylens.operators.predictions import confusion_matrix, quality
 from staylens.operators.splits import (
     category_counts,
@@ -51,8 +52,8 @@ POOLED_VALUES = 1_000
 MAX_DEPTH = 30
 MAX_BINS = 256
 
-# A forest grows as smaller ones of so many trees; their rows lie in parts of so many.
-TREES_PER_FIT, ROWS_PER_PART = 10, 200_000
+# A forest grows as smaller ones of so many trees; their rows lie in parts of so many, where they are packed in parts of fewer.
+TREES_PER_FIT, ROWS_PER_PART, PACKED_PER_PART = 10, 200_000, 50_000
 # Between the seeds of two of them; a fit adds the number of a partition to its seed.
 SEED_STEP = 1_000_003
 
@@ -183,26 +184,28 @@ class SummedVotes(Transformer, HasInputCols, DefaultParamsReadable, DefaultParam
 
 
 def grow(forest: RandomForestClassifier, features: DataFrame, rows: int) -> list:
-    """The fitted stages of a forest: smaller forests of its trees and the sum of their votes, or one alone.
+    """The fitted stages of a forest: smaller forests of its trees and the sum of their votes.
 
-    In a pass over the rows every task holds the counts of all open nodes, and the driver handles each of them. So
-    the work grows with nodes times partitions and a single fit keeps few cores busy: the rows come in as few
-    partitions as their number allows, and as many fits run at once as there are cores for. A forest draws its samples per partition, so
-    it depends on the rows alone, not on the session.
+    A tree grows in one task that holds all rows, packed. Rows that don't fit a task are left to MLlib: there every
+    task holds the counts of all open nodes in a pass over the rows, and the driver handles each of them. So the work
+    grows with nodes times partitions and a single fit keeps few cores busy: the rows come in as few partitions as
+    their number allows, and as many fits run at once as there are cores for. Both draw samples by the partitions of
+    the rows, so a forest depends on the rows alone, not on the session.
     """
     trees = forest.getNumTrees()
     sizes = [min(TREES_PER_FIT, trees - done) for done in range(0, trees, TREES_PER_FIT)]
     forests = [
         forest.copy({forest.numTrees: size, forest.seed: forest.getSeed() + index * SEED_STEP}) for index, size in enumerate(sizes)
     ]
-    spark, parts = features.sparkSession, -(-rows // ROWS_PER_PART)
-    dealt = spread(features, parts).persist(StorageLevel.DISK_ONLY)
-    at_once = max(1, spark.sparkContext.defaultParallelism // max(parts, 1))
-    with ThreadPool(min(at_once, len(forests))) as pool:
-        fitted = pool.map(inheritable_thread_target(spark)(lambda part: part.fit(dealt)), forests, chunksize=1)
-    dealt.unpersist()
-    if len(fitted) == 1:
-        return fitted
+    spark = features.sparkSession
+    fitted = grow_forests(forests, spread(features, -(-rows // PACKED_PER_PART)), rows)
+    if fitted is None:
+        parts = -(-rows // ROWS_PER_PART)
+        dealt = spread(features, parts).persist(StorageLevel.DISK_ONLY)
+        at_once = max(1, spark.sparkContext.defaultParallelism // max(parts, 1))
+        with ThreadPool(min(at_once, len(forests))) as pool:
+            fitted = pool.map(inheritable_thread_target(spark)(lambda part: part.fit(dealt)), forests, chunksize=1)
+        dealt.unpersist()
     votes = [f"votes_{index}" for index in range(len(fitted))]
     for model, name in zip(fitted, votes):
         model.setRawPredictionCol(name).setProbabilityCol("").setPredictionCol("")
