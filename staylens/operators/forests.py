@@ -12,10 +12,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext, cloudpickle
+from pyspark import Broadcast, StorageLevel, TaskContext, cloudpickle, inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReader, MLWriter
@@ -32,8 +33,8 @@ MOST_BYTES = 128 << 20
 SKETCHED_VALUES = 1 << 16
 # Numbers in a matrix of features, and rows whose counts are made at once, so that both stay in the caches.
 MATRIX_CELLS, ROWS_AT_ONCE = 1 << 20, 1 << 16
-# Tasks that grow trees, for each core; each reads all the packed rows.
-TASKS_PER_CORE = 2
+# Tasks that grow trees, for each core; each reads all the packed rows. Forests that pass through the driver at once.
+TASKS_PER_CORE, SENT_AT_ONCE = 2, 4
 
 _BLOCKS = "part int, block int, cells binary, label binary, weight binary"
 _TREES = "tree int, feature binary, bin binary, child binary, votes binary"
@@ -327,7 +328,7 @@ def grow_tree(cells: np.ndarray, label: np.ndarray, weight: np.ndarray, bins: Bi
 
 
 def _grow(bins: Bins, growth: Growth, seeds: list[list[int]], tasks: int) -> Callable:
-    """The trees of a task from the blocks of all rows; trees are dealt to the tasks in turn."""
+    """The trees of a task from the blocks of all rows. Neighbours grow together, so a forest is read from few files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict] = {}
@@ -342,7 +343,7 @@ def _grow(bins: Bins, growth: Growth, seeds: list[list[int]], tasks: int) -> Cal
         )
         cells = cells.reshape(-1, bins.width)
         blocks.clear()
-        for tree in (tree for tree in range(len(seeds)) if tree % tasks in held):
+        for tree in (tree for tree in range(len(seeds)) if tree * tasks // len(seeds) in held):
             parts = grow_tree(cells, label, weight, bins, growth, seeds[tree])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([tree], pa.int32()), *(pa.array([part.tobytes()], pa.binary()) for part in parts)],
@@ -421,11 +422,15 @@ class TabledForest(RandomForestClassificationModel):
         trees = [tuple(np.frombuffer(row[name], kind) for name, kind in zip(("feature", "bin", "child", "votes"), kinds)) for row in rows]
         return [(*tree[:3], tree[3].reshape(-1, self._classes)) for tree in trees]
 
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        context = dataset.sparkSession.sparkContext
+    def send(self) -> Broadcast:
+        """The trees, broadcast once in an application."""
+        context = self.trees.sparkSession.sparkContext
         if self._sent[0] != context.applicationId:
             self._sent = context.applicationId, context.broadcast({"trees": self._collected()})
-        bins, sent, classes = self.bins, self._sent[1], self._classes
+        return self._sent[1]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        bins, sent, classes = self.bins, self.send(), self._classes
 
         @F.arrow_udf("array<double>")
         def votes(vectors: pa.Array) -> pa.Array:
@@ -525,4 +530,6 @@ def grow_forests(forests: list[RandomForestClassifier], dealt: DataFrame, rows:
         model = TabledForest(bins, own, n, growth.classes)
         models.append(model.setFeaturesCol(forest.getFeaturesCol()))
         at += n
+    with ThreadPool(min(SENT_AT_ONCE, len(models))) as pool:  # they are graded next
+        pool.map(inheritable_thread_target(dealt.sparkSession)(lambda model: model.send()), models, chunksize=1)
     return models

@@ -16,9 +16,13 @@ from staylens.sources import files, streams
 from staylens.streaming import jobs as J
 
 
-def _active(spark, sf):
-    """Derived from the test tables once per query; every later read is a scan."""
-    return stored(B.active_bookings(D.bookings(spark, sf)), "active-bookings")
+def _active(spark, sf, *columns):
+    """Derived from the test tables once per query, all columns or those given; every later read is a scan."""
+    return stored(B.active_bookings(D.bookings(spark, sf)).select(*columns or "*"), "active-bookings")
+
+
+# What a training run and its metrics document read of a booking.
+_TRAINING = ("booking_id", "arrival_date", S.LABEL, *S.CATEGORICAL_FEATURES, *S.NUMERIC_FEATURES)
 
 
 _REALTIME = f"active WHERE arrival_date >= DATE '{D.START}'"
@@ -62,7 +66,7 @@ def train_lr(spark, sf):
 )
 def train_rf(spark, sf):
     """The fit and its test matrix; full trees know nearly all the rows they grew from."""
-    trained = T.train(_active(spark, sf), D.CUTOFF, only=["random_forest"])
+    trained = T.train(_active(spark, sf, *_TRAINING), D.CUTOFF, only=["random_forest"])
     return _tested(trained.report).select(
         "model_name", "test_rows", "test_positives", F.col("is_selected").cast("bigint"),
         F.lit(T.trees_of(trained.models["random_forest"])).cast("bigint").alias("trees"),
@@ -166,7 +170,7 @@ def ml_forest_roundtrip(spark, sf):
 def train_and_select(spark, sf):
     """Both candidates in full, the selection, the saved artifacts, and the served view of the metrics document."""
     path = fresh_dir(spark, "artifacts")
-    active = _active(spark, sf)
+    active = _active(spark, sf, *_TRAINING)
     trained = T.train(active, D.CUTOFF)
     T.save_artifacts(trained, T.metrics_document(trained, active, D.CUTOFF, D.START), path)
     documents = spark.read.json(f"{path}/metrics")

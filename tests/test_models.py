@@ -128,3 +128,10 @@ def test_a_forest_depends_on_the_rows_not_on_the_session(spark, learnable, tmp_p
     model.write().overwrite().save(f"{path}/model")
     loaded = T.load_model(path).transform(learnable).select("booking_id", T.vector_to_array("probability").alias("p"), "prediction")
     assert [tuple(row) for row in loaded.orderBy("booking_id").collect()] == scores[0]
+
+
+def test_training_stores_the_columns_it_reads(spark, sf_dir):
+    """The bookings a training query stores have the columns of the fit and the split, in all their rows."""
+    narrow, whole = Q._active(spark, sf_dir, *Q._TRAINING), Q._active(spark, sf_dir)
+    assert set(narrow.columns) == {"booking_id", "arrival_date", "is_canceled", *T.S.CATEGORICAL_FEATURES, *T.S.NUMERIC_FEATURES}
+    assert sorted(narrow.collect()) == sorted(whole.select(*narrow.columns).collect())
